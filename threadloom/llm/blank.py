@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MARKER = re.compile(r"[\s​﻿]*\[[^\[\]]*\][\s​﻿]*")
+_MARKER = re.compile(r"[\s\u200b\ufeff]*\[[^\[\]]*\][\s\u200b\ufeff]*")
 
 
 def is_blank(text: Column | str) -> Column:
