@@ -15,7 +15,7 @@ from threadloom.functions.json_edit import register
 from threadloom.functions.text import TEXT_BUDGET, search_term, term_words
 from threadloom.operators.profile import terrain
 from threadloom.operators.search import rescue
-from threadloom.plans.gate import GateError, admit, is_bare_count
+from threadloom.plans.gate import ROW_CAP, GateError, admit, is_bare_count
 from threadloom.plans.question import check_question, missing_referent
 from threadloom.plans.repair import repair
 
@@ -69,12 +69,10 @@ class Engine:
     # -- statements -----------------------------------------------------------------------------------
 
     def sql(self, statement: str, scope: Iterable[str] | str | None = None, cap: int | None = None) -> DataFrame:
-        """The result of an admitted statement as a DataFrame. ``cap`` lifts the row cap for results that stay distributed."""
+        """The result of an admitted statement as a DataFrame. A negative ``cap`` lifts the row cap, for results that stay distributed."""
         chosen = self.scope(scope)
         visible = self.visible(chosen)
-        said, used = admit(self.spark, statement, visible, cap or 1_000)
-        if cap is not None and cap <= 0:
-            said = said[: said.rindex(" LIMIT ")]
+        said, used = admit(self.spark, statement, visible, cap or ROW_CAP)
         for name in used:
             database, tab = visible[name]
             view = f"threadloom_{database}_{tab}"
