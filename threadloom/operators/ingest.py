@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.json_edit import merge_patch
 from threadloom.functions.text import instant
 from threadloom.operators.quality import typed_digest
+from threadloom.session import checkpoint
 
 
 def turn_ids(records: DataFrame, stream: str, order: list[str], opens: Column) -> DataFrame:
@@ -77,10 +78,10 @@ def match_cascade(incoming: DataFrame, stored: DataFrame, key_in: str, key_store
         one = hit.filter("n_in = 1 AND n_stored = 1").select("in_id", "stored_id", "stage", F.lit("matched").alias("outcome"))
         many = hit.filter("n_in > 1 OR n_stored > 1").select(*keys)
         vague = a.join(many, keys, "left_semi").select(F.col(key_in).alias("in_id"), F.lit(None).cast(stored.schema[key_stored].dataType).alias("stored_id"), F.lit(name).alias("stage"), F.lit("ambiguous").alias("outcome"))
-        found = one.unionByName(vague)
+        found = checkpoint(one.unionByName(vague))  # each stage reads what the last one left: cut the lineage here
         out = found if out is None else out.unionByName(found)
         open_in = open_in.join(found.select(F.col("in_id").alias(key_in)), key_in, "left_anti")
-        open_stored = open_stored.join(one.select(F.col("stored_id").alias(key_stored)), key_stored, "left_anti")
+        open_stored = open_stored.join(found.filter("outcome = 'matched'").select(F.col("stored_id").alias(key_stored)), key_stored, "left_anti")
     rest = open_in.select(F.col(key_in).alias("in_id"), F.lit(None).cast(stored.schema[key_stored].dataType).alias("stored_id"), F.lit(None).cast("string").alias("stage"), F.lit("unmatched").alias("outcome"))
     return rest if out is None else out.unionByName(rest)
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import author, fold_text, like_all, like_any, tokens
+from threadloom.functions.text import author, fold, fold_text, like_all, like_any, tokens
 from threadloom.model import SEARCH_EXCLUDED, current, thinking_blocks
 
 # Constants of the ranking function.
@@ -33,7 +33,7 @@ def _equals(word: str):
 
 def _statistics(base: DataFrame, words: list[str]) -> dict:
     """Rows, average length and document frequencies: one aggregate, one row on the driver."""
-    held = [F.count(F.when(F.array_contains("toks", w), 1)).alias(f"n{i}") for i, w in enumerate(words)]
+    held = [F.count(F.when(F.array_contains("own", w), 1)).alias(f"n{i}") for i, w in enumerate(words)]
     return base.agg(F.count("*").alias("rows"), F.avg(F.size("toks")).alias("average"), *held).first().asDict()
 
 
@@ -45,13 +45,15 @@ def bm25(df: DataFrame, key: str, columns: list[str], words: list[str], match: s
     """
     words = list(dict.fromkeys(fold_text(w) for w in words))
     held = only or columns
-    base = df.select(key, *carry, F.concat(*[tokens(c) for c in columns]).alias("toks"), F.concat(*[tokens(c) for c in held]).alias("own"))
+    every = F.concat(*[tokens(c) for c in columns])
+    base = df.select(key, *carry, *columns, every.alias("toks"), (F.concat(*[tokens(c) for c in held]) if only else every).alias("own"))
     if not words:
         return base.select(key, *carry, F.lit(0.0).alias("rank")).filter("false")
-    stats = _statistics(base if not only else base.select(F.col("own").alias("toks")), words)
-    average = stats["average"] if not only else base.agg(F.avg(F.size("toks"))).first()[0]
-    contains = [F.array_contains("own", w) for w in words]
-    base = base.filter(reduce(Column.__and__ if match == "all" else Column.__or__, contains))
+    stats = _statistics(base, words)
+    average, join = stats["average"], Column.__and__ if match == "all" else Column.__or__
+    # a substring test on the raw text is cheap and leaves few rows to cut into tokens a second time
+    near = [reduce(Column.__or__, [F.coalesce(fold(c).contains(w), F.lit(False)) for c in held]) for w in words]
+    base = base.filter(reduce(join, near)).filter(reduce(join, [F.array_contains("own", w) for w in words]))
     score = F.lit(0.0)
     for i, w in enumerate(words):
         n, rows = stats[f"n{i}"], stats["rows"]
