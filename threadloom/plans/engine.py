@@ -136,7 +136,7 @@ class Engine:
                 return answer
             break
         for names in (chosen, sorted(self.databases)):
-            found = [self._rescue(d, question) for d in names if "memories" in self.databases[d] or "exchanges" in self.databases[d]]
+            found = [self._rescue(d, question) for d in names if self._searchable(d)]
             rows = [r for part in found for r in part]
             if rows:
                 return Answer(rows, list(rows[0]), f"keyword search for {search_term(question)}", path="keyword", notes=notes)
@@ -145,6 +145,9 @@ class Engine:
             notes.append("nothing found in the chosen databases, all were searched")
         return Answer([], [], "", path="unresolved", notes=notes)
 
+    def _searchable(self, database: str) -> bool:
+        return "memories" in self.databases[database] or "exchanges" in self.databases[database]
+
     def _rescue(self, database: str, question: str) -> list[dict]:
         rows = rescue(self.databases[database], term_words(question)).limit(20).collect()
         return [r.asDict() | {"database": database} for r in rows]
@@ -152,7 +155,9 @@ class Engine:
     def explore(self, question: str, scope: Iterable[str] | str | None = None) -> dict:
         """Keyword hits of a question with their terrain: sources, months, terms and what is absent."""
         check_question(question)
-        hits = [rescue(self.databases[d], term_words(question)).withColumn("database", F.lit(d)) for d in self.scope(scope)]
+        hits = [rescue(self.databases[d], term_words(question)).withColumn("database", F.lit(d)) for d in self.scope(scope) if self._searchable(d)]
+        if not hits:
+            raise GateError("none of the chosen databases holds texts")
         whole = hits[0]
         for other in hits[1:]:
             whole = whole.unionByName(other)
