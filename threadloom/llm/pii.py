@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.llm.automaton import Automaton
+from threadloom.llm.spans import disjoint, splice
 from threadloom.operators.skew import join_unique
 from threadloom.session import checkpoint
 
@@ -75,10 +77,10 @@ _EMAIL = re.compile(r"(?<![\w.+\-/@:‑])[\w][\w.+\-‑]*(?:@|[ \xa0]\((?:at|AT|
 _ACCOUNTS = frozenset("git hg svn bot deploy root svc admin postgres ubuntu ec2-user www-data".split())
 
 _PHONE = re.compile(
-    rf"(?<![\w.\-‑/:#+@])(?<!\d[ \xa0])(?:"
+    rf"(?<![\w.\-‑/:#+@])(?:"
     rf"(?:\+1{_S})?\(\d{{3}}\)(?:{_S})?\d{{3}}{_H}\d{{4}}|\+1[ .\-\xa0]{{1,2}}\d{{3}}[ .\-\xa0]{{1,2}}\d{{3}}[ .\-‑\xa0]{{1,2}}\d{{4}}|\d{{3}}\.\d{{3}}\.\d{{4}}|[2-9]\d{{2}}{_H}[2-9]\d{{2}}{_H}\d{{4}}"
     rf"|(?:\+44{_S}(?:\(0\)(?:{_S})?)?|0)\d{{4}}{_S}\d{{6}}|\+44{_S}\d{{2,5}}{_S}\d{{3,4}}{_S}\d{{3,4}}"
-    rf"|\+34{_S}\d{{3}}{_S}\d{{3}}{_S}\d{{3}}|[69]\d\d{_H}\d{{3}}{_H}\d{{3}}|[69]\d\d{_S}\d{{3}}{_S}\d{{3}}(?!{_S}\d)"
+    rf"|\+34{_S}\d{{3}}{_S}\d{{3}}{_S}\d{{3}}|[69]\d\d{_H}\d{{3}}{_H}\d{{3}}|(?<!\d[ \xa0])[69]\d\d{_S}\d{{3}}{_S}\d{{3}}(?!{_S}\d)"
     rf"|(?:\+33{_S}(?:\(0\)(?:{_S})?)?|0033{_S})[1-9](?:[ .\-‑\xa0]{{1,2}}\d\d){{4}}|0[1-9](?:{_S}\d\d){{4}}|0[1-9](?:\.\d\d){{4}}|0[1-9](?:{_H}\d\d){{4}}"
     rf"|(?:\+49|0049){_S}(?:\(0\)(?:{_S})?)?\d{{2,4}}{_S}\d{{4,8}}(?:{_H}\d{{1,4}})?|0\d{{2,4}}{_S}\d{{4,6}}{_S}\d{{2,4}}|0\d{{2,4}}/\d{{4,8}}(?:{_H}\d{{1,4}})?"
     rf"|\+(?!1|33|34|44|49)\d{{1,3}}{_S}\d{{1,4}}(?:[ .\-‑\xa0]\d{{2,4}}){{2,4}}"
@@ -144,7 +146,8 @@ def _names(text: str, hits: bool) -> Iterator[tuple[int, int]]:
         yield from whole
         for m in _HALF.finditer(text):
             a, b = m.span()
-            if any(a < y and x < b for x, y in whole):
+            at = bisect_left(whole, (b,))
+            if at and whole[at - 1][1] > a:
                 continue
             parts = re.split(r"[,\s]+", m.group())
             while parts and parts[0].lower() in _NOT_NAME:
@@ -161,7 +164,7 @@ def _names(text: str, hits: bool) -> Iterator[tuple[int, int]]:
 def find_pii(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
     """For each text its disjoint (start, end, type) spans in order; null, empty and clean texts have none.
 
-    Where spans overlap the earlier type of TYPES wins, then the longer span.
+    Where spans overlap the earlier type of TYPES wins (addresses before all), then the longer span.
     """
     if not _MACHINE:
         _MACHINE.append(Automaton(_ANCHORS))
@@ -196,11 +199,7 @@ def find_pii(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
             found.append((*m.span(), "id_number"))
         if 0 in kinds or 2 in kinds:
             found += [(*s, "name") for s in _names(text, 0 in kinds)]
-        taken: list[tuple[int, int, str]] = []
-        for a, b, kind in sorted(set(found), key=lambda x: (TYPES.index(x[2]) if x[2] != "address" else -1, x[0] - x[1], x[0])):
-            if all(b <= x or y <= a for x, y, _ in taken):
-                taken.append((a, b, kind))
-        out.append(sorted(taken))
+        out.append(disjoint(sorted(set(found), key=lambda x: (TYPES.index(x[2]) if x[2] != "address" else -1, x[0] - x[1], x[0]))))
     return out
 
 
@@ -222,11 +221,7 @@ def redact(df: DataFrame, column: str, into: str) -> DataFrame:
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
         values = texts.tolist()
-        out = []
-        for text, spans in zip(values, find_pii(values)):
-            for a, b, kind in reversed(spans):
-                text = f"{text[:a]}[{kind.upper()}]{text[b:]}"
-            out.append(text)
+        out = [text if not spans else splice(text, [(a, b, f"[{kind.upper()}]") for a, b, kind in spans]) for text, spans in zip(values, find_pii(values))]
         return pd.Series(out, dtype=object)
 
     return df.withColumn(into, run(F.col(column)))
@@ -348,12 +343,8 @@ def with_surrogates(df: DataFrame, by: list[str], column: str, secret: str) -> D
     whole = known.groupBy(*by).agg(F.collect_list(F.struct("a", "b", "pii_type", "written", "plain")).alias("mentions"))  # bounded by the text's length
 
     @F.pandas_udf("string")
-    def splice(texts: pd.Series, every: pd.Series) -> pd.Series:
-        out = []
-        for text, own in zip(texts, every):
-            for m in sorted(own, key=lambda m: -m["a"]):
-                text = text[: m["a"]] + dress(m["pii_type"], m["written"], m["plain"]) + text[m["b"] :]
-            out.append(text)
+    def put_in(texts: pd.Series, every: pd.Series) -> pd.Series:
+        out = [splice(text, [(m["a"], m["b"], dress(m["pii_type"], m["written"], m["plain"])) for m in sorted(own, key=lambda m: m["a"])]) for text, own in zip(texts, every)]
         return pd.Series(out, dtype=object)
 
-    return base.join(whole, by).select(*by, splice(column, "mentions").alias(column))
+    return base.join(whole, by).select(*by, put_in(column, "mentions").alias(column))

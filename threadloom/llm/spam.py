@@ -25,9 +25,9 @@ LIST_REPEATS = 3
 #: Items that make a list of tags, and the share of its characters that repeated substrings cover.
 LIST_ITEMS, LIST_COVER = 12, 0.25
 _WORD = re.compile(r"[^\W_]+")
-_LINK = re.compile(r"<a\b[^>]*>.*?</a>|!?\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>\")\]]+", re.S | re.I)
+_LINK = re.compile(r"<a\b[^>]{0,2000}>.{0,2000}?</a>|!?\[[^\]\n]{0,500}\]\([^)\s]{0,2000}\)|(?:https?://|www\.)[^\s<>\")\]]+", re.S | re.I)
 _TAG = re.compile(r"(?<![\w&])#[^\W\d_][\w\-]*|(?<![\w&])#\d+[^\W\d_][\w\-]*")
-_MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]*>")
+_MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]{0,2000}>")
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _UNIT = re.compile(r"[^.!?\n]+[.!?]*")
 _ITEM = re.compile(r"[,;|·•»→]")
@@ -40,11 +40,20 @@ _FUNCTION = frozenset(
 )
 # What is laid out rather than written, and no junk: log lines, table rows, path lists, name: value, code.
 _LAID_OUT = re.compile(
-    r"\s*\||.*\|\s*$|\s*(?:DEBUG|INFO|WARN|WARNING|ERROR|TRACE|FATAL)\b|\s*\[?\d{4}-\d\d-\d\d[T ]|\s*\S*/\S+\.\w{1,5}\s+\d|\s*\S+/\S+\.\w{1,5}\s*$"
+    r"\s*\||.*\|\s*$|\s*(?:DEBUG|INFO|WARN|WARNING|ERROR|TRACE|FATAL)\b|\s*\[?\d{4}-\d\d-\d\d[T ]"
     r"|\s*[\w.\-]+\s*[:=]\s*[\"'\[{\d]|\s*[{}\[\]()]|.*[;{}]\s*$|\s*(?:def|class|func|return|import|from|select|const|let|var)\b.*[(\[=;:]"
 )
 
 
+_FILE = re.compile(r"\.\w{1,5}\Z")
+
+
+def _names_file(line: str) -> bool:
+    """Whether a line is a path, alone or before a number."""
+    parts = line.split(None, 2)
+    return bool(parts) and "/" in parts[0] and _FILE.search(parts[0][-8:]) is not None and (len(parts) == 1 or parts[1][0].isdigit())
+
+
 class SuffixAutomaton:
     """All substrings of a sequence; ``repeats`` gives the occurrences of each right-maximal class."""
 
@@ -140,7 +149,7 @@ def junk_share(text: str | None) -> float:
     units: list[tuple[list[str], bool]] = []  # words, has clause structure
     fragments = 0
     for line in rest.split("\n"):
-        if not line.strip() or line.lstrip().startswith("#") or (_LAID_OUT.match(line) and not re.search(r"\w\s*\|\s*\w.*\w\s*\|\s*\w.*\w\s*\|\s*\w", line.strip().strip("|") if not line.lstrip().startswith("|") else "")):
+        if not line.strip() or line.lstrip().startswith("#") or _names_file(line) or (_LAID_OUT.match(line) and not re.search(r"\w\s*\|\s*\w.*\w\s*\|\s*\w.*\w\s*\|\s*\w", line.strip().strip("|") if not line.lstrip().startswith("|") else "")):
             continue
         for sentence in _UNIT.findall(line):
             own = _WORD.findall(sentence.lower())
@@ -176,10 +185,11 @@ def junk_share(text: str | None) -> float:
     for own, clause in units:
         lengths = covered[at : at + len(own)]
         at += len(own) + 1
-        held = [False] * len(own)
-        for i, n in enumerate(lengths):
-            for j in range(max(0, i - n + 1), i + 1) if n else ():
-                held[j] = True
+        held, reach = [False] * len(own), len(own)
+        for i in range(len(own) - 1, -1, -1):  # a word is held if a substring that ends at it or later begins at it or before
+            if lengths[i]:
+                reach = min(reach, i - lengths[i] + 1)
+            held[i] = reach <= i
         if stuffed and _holds(own, phrase):
             junk += len(own)
         elif not clause and len(own) <= 6:
