@@ -156,7 +156,7 @@ def recent_failures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retention_cut(spark: SparkSession, d: str) -> DataFrame:
-    """Rows and days within thirty days of the newest event; the bound is one row."""
+    """Rows by day within seven days of the newest event; the bound is one row."""
     rows = table(spark, d, "events")
     newest = rows.agg(F.max("ts")).first()[0]
     return rows.filter(F.col("ts") > F.lit(newest) - F.expr("INTERVAL 7 DAYS")).groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n"))
