@@ -44,6 +44,14 @@ def test_secret_grammars():
         assert [text[a:b] for a, b in spans] == want, text
 
 
+def test_credentials_without_digits_and_with_slashes():
+    for value in ("_KS!-pTG.pteGm", "ZjdVtUDCBgI!cPhnR", "cbkgHCHawWhlE", "-PvpYWF_NV", "XbZ_NNbkgV", "qzvkxpwmtr", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMWLEKEY", "xTg4/Qm+z/Lk9w/pB"):
+        for text in (f'passwd="{value}"', f"password: {value}\n", f"redis://u:{value}@h:1" if "/" not in value else f"token='{value}'"):
+            assert [text[a:b] for a, b in find_secrets([text])[0]] == [value], text
+    for value in ("settings.anchor_api_key", "readPassword('x')", "os.environ['K']", "getTokenFromDb()", "/run/secrets/db_password1", "~/.ssh/keys/id2/host", "src/auth/token2.py", "passphrase", "host=nettle.example", "apiKeyHeaderName", "ANCHOR_TOKEN", "Geschwindigkeit", "strengths"):
+        assert find_secrets([f"password = {value}"]) == [[]], value
+
+
 def test_secrets_in_long_texts_and_redaction(spark):
     text = "word " * 4000 + f"token={KEY}" + " word" * 4000
     assert [text[a:b] for a, b in find_secrets([text])[0]] == [KEY]
