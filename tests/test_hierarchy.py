@@ -84,3 +84,20 @@ def test_components_ignore_order_and_repeats(spark):
     for hot in (1, 10**6):
         got = {n.node: n.component for n in connected_components(spark.createDataFrame(edges * 2 + [(None, 3)], "a bigint, b bigint"), hot_rows=hot).collect()}
         assert got == {x: top(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def test_large_components_get_paths_descendants_order_and_back_edges(spark):
+    r = random.Random(4)
+    rows = [("ab"[i % 2], str(i), None if i < 4 else str(i - r.choice((2, 2, 4, 20)) if i > 22 else i % 2)) for i in range(60)] + [("a", f"c{i}", f"c{(i + 1) % 5}") for i in range(5)] + [("a", "below", "c3")]
+    frame = spark.createDataFrame(rows, "s string, n string, p string")
+    want, tree = ({(x.scope, x.node): x for x in hierarchy(frame, "n", "p", scope="s", with_paths=True).collect()}, hierarchy(frame, "n", "p", scope="s", with_paths=True, component_limit=1).cache())
+    got = {(x.scope, x.node): x for x in tree.collect()}
+    assert len(got) == len(rows) and all((got[k].root, got[k].depth, got[k].descendants, got[k].path) == (x.root, x.depth, x.descendants, x.path) for k, x in want.items())
+
+    def order(found):
+        return {(s, root): [x.node for x in sorted((x for x in found.values() if (x.scope, x.root) == (s, root)), key=lambda x: x.visit)] for s, root in {(x.scope, x.root) for x in found.values() if x.root}}
+
+    assert order(got) == order(want)
+    placed = [(x.scope, x.visit) for x in got.values() if not x.in_cycle]
+    assert len(set(placed)) == len(placed) and sum(x.back_edge for x in got.values()) == 1
+    assert {tuple(p) for p in descendant_pairs(tree).collect()} == {(s, a, n, len(x.path) - 1 - i) for (s, n), x in want.items() if x.path for i, a in enumerate(x.path[:-1])}

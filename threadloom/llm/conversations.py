@@ -36,16 +36,16 @@ def fold_messages(events: DataFrame) -> DataFrame:
     )
 
 
-def message_trees(messages: DataFrame) -> DataFrame:
+def message_trees(messages: DataFrame, ordered: bool = True) -> DataFrame:
     """Folded messages with root, depth, visit order, cycle flag and nearest visible ancestor."""
-    tree = hierarchy(messages, "uuid", "parent", scope="conv_key", mark="visible")
+    tree = hierarchy(messages, "uuid", "parent", scope="conv_key", mark="visible", with_order=ordered)
     tree = tree.select(F.col("scope").alias("conv_key"), F.col("node").alias("uuid"), "has_parent", "in_cycle", "depth", "visit", F.col("marked").alias("asked_by"))
     return messages.join(tree, ["conv_key", "uuid"])
 
 
 def broken_chats(messages: DataFrame, conversations: DataFrame) -> DataFrame:
     """``(conv_key, reason)``: empty, broken or no_reply, the first that applies; sound conversations have no row."""
-    trees = checkpoint(message_trees(messages))
+    trees = checkpoint(message_trees(messages, ordered=False))
     answered = trees.filter("visible AND role = 'assistant' AND asked_by IS NOT NULL").select("conv_key", F.col("asked_by").alias("uuid")).distinct().withColumn("answered", F.lit(True))
     open_ = (F.col("role") == "human") & F.col("visible") & F.col("answered").isNull()
     state = trees.join(answered, ["conv_key", "uuid"], "left").groupBy("conv_key").agg(

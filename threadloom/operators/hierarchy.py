@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,8 +93,11 @@ def _schema(with_paths: bool) -> T.StructType:
     return T._parse_datatype_string(fields + (", path array<string>" if with_paths else ""))
 
 
-def _bucket_traversal(rows: DataFrame, total: int, bucket_rows: int, with_paths: bool) -> DataFrame:
-    """Each bucket holds whole components: ``component`` decides the bucket."""
+def _bucket_traversal(rows: DataFrame, total: int, bucket_rows: int, with_paths: bool, apart: bool = False) -> DataFrame:
+    """Each bucket holds whole components: ``component`` decides the bucket.
+
+    ``apart`` sets the visits of each bucket above those of the others, for scopes that lie in several.
+    """
     buckets = max(1, -(-total // bucket_rows), rows.sparkSession.sparkContext.defaultParallelism if total > 10_000 else 1)
     names = [f.name for f in _schema(with_paths)]
 
@@ -106,6 +110,8 @@ def _bucket_traversal(rows: DataFrame, total: int, bucket_rows: int, with_paths:
         ups = [(s, p) if p is not None else None for s, p in zip(whole["scope"], whole["parent"])]
         out = _traverse(keys, ups, whole["mark"].tolist(), with_paths)
         out["scope"] = whole["scope"]
+        if apart:
+            out["visit"] += (TaskContext.get().partitionId() + 1) << 40
         for c in ("node", "root", "marked"):
             out[c] = [x[1] if x is not None else None for x in out[c]]
         if with_paths:
@@ -117,11 +123,71 @@ def _bucket_traversal(rows: DataFrame, total: int, bucket_rows: int, with_paths:
     return spread.mapInPandas(run, _schema(with_paths))
 
 
-def _doubling(rows: DataFrame, total: int, with_paths: bool, hot_rows: int) -> DataFrame:
+def _sorted_nodes(rows: DataFrame, whole: DataFrame) -> DataFrame:
+    """The nodes of trees, siblings side by side in key order, numbered in ``at``.
+
+    ``pk`` is the parent with a mark before it, ``0`` for a root, ``k`` the node with that mark; ``next`` is the
+    following sibling, or for a root the following root of its scope. The order is a distributed sort.
+    """
+    trees = rows.select("scope", "node", "parent").join(whole.filter("root IS NOT NULL").select("scope", "node", "has_parent"), ["scope", "node"])
+    trees = trees.select("scope", "node", F.when(F.col("has_parent"), F.concat(F.lit("1"), "parent")).otherwise("0").alias("pk"), F.concat(F.lit("1"), "node").alias("k"))
+    ranged = checkpoint(trees.repartitionByRange("scope", "pk", "k").sortWithinPartitions("scope", "pk", "k").withColumn("at", F.monotonically_increasing_id()))
+    ends = sorted(ranged.groupBy(F.shiftright("at", 33)).agg(F.min("at"), F.max("at")).collect())  # one row a partition
+    after = rows.sparkSession.createDataFrame([(x[2], y[1]) for x, y in zip(ends, ends[1:])], "at bigint, begins bigint")
+    following = ranged.select(F.col("at").alias("next"), F.col("scope").alias("s"), F.col("pk").alias("p"))
+    linked = ranged.join(F.broadcast(after), "at", "left").withColumn("next", F.coalesce("begins", F.col("at") + 1)).drop("begins").join(following, "next", "left")
+    return checkpoint(linked.select("scope", "node", "pk", "k", "at", F.when((F.col("s") == F.col("scope")) & (F.col("p") == F.col("pk")), F.col("next")).alias("next")))
+
+
+def _visits(nodes: DataFrame) -> DataFrame:
+    """``(scope, node, visit, descendants)``: the Euler tour of the trees of a scope, ranked by pointer doubling.
+
+    Every node is entered (arc 2 at) and left (arc 2 at + 1). An arc has one successor and one
+    predecessor, so no join is skewed, and the rows are two a node however deep the trees are.
+    """
+    first = nodes.filter("pk <> '0'").groupBy("scope", F.col("pk").alias("k")).agg(F.min("at").alias("first"))
+    above = nodes.select("scope", F.col("k").alias("pk"), F.col("at").alias("above"))
+    entered = nodes.join(first, ["scope", "k"], "left").select((2 * F.col("at")).alias("arc"), F.coalesce(2 * F.col("first"), 2 * F.col("at") + 1).alias("to"), F.lit(1).cast("bigint").alias("n"))
+    left_last = nodes.filter("next IS NULL").join(above, ["scope", "pk"], "left").select((2 * F.col("at") + 1).alias("arc"), (2 * F.col("above") + 1).alias("to"), F.lit(0).cast("bigint").alias("n"))
+    left = nodes.filter("next IS NOT NULL").select((2 * F.col("at") + 1).alias("arc"), (2 * F.col("next")).alias("to"), F.lit(0).cast("bigint").alias("n"))
+    arcs = checkpoint(entered.unionByName(left_last).unionByName(left))
+    while arcs.filter("`to` IS NOT NULL").limit(1).count():
+        ahead = arcs.select(F.col("arc").alias("to"), F.col("to").alias("far"), F.col("n").alias("more"))
+        arcs = checkpoint(arcs.join(ahead, "to", "left").select("arc", F.col("far").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+    enter = F.col("arc") % 2 == 0
+    ranks = arcs.groupBy(F.shiftright("arc", 1).alias("at")).agg(F.max(F.when(enter, F.col("n"))).alias("entered"), F.max(F.when(~enter, F.col("n"))).alias("left"))
+    counts = nodes.groupBy("scope").agg(F.count("*").alias("all"))  # each scope holds a component beyond the limit
+    out = nodes.select("scope", "node", "at").join(ranks, "at").join(F.broadcast(counts), "scope")
+    return out.select("scope", "node", (F.col("all") - F.col("entered")).alias("visit"), (F.col("entered") - F.col("left") - 1).alias("descendants"))
+
+
+def _long_paths(nodes: DataFrame, total: int, hot_rows: int) -> DataFrame:
+    """``(scope, node, path)`` from all ancestor links: a round joins the links so far to jumps of 1, 2, 4, ... steps.
+
+    Every link is made once, so there are as many rows as the result itself demands.
+    """
+
+    def joined(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+        return join_unique(left, right.join(left.groupBy(key).agg(F.count("*").alias("times")), key), key, "times", max(total, left.count()), "inner", hot_rows)
+
+    below = nodes.filter("pk <> '0'").select("at", F.struct("scope", "pk").alias("key"))
+    jumps = checkpoint(joined(below, nodes.select(F.struct("scope", F.col("k").alias("pk")).alias("key"), F.col("at").alias("to")), "key").select("at", "to"))
+    links, step = jumps.select("at", F.col("to").alias("above"), F.lit(1).cast("bigint").alias("distance")), 1
+    while jumps.limit(1).count():
+        more = jumps.join(links.select(F.col("at").alias("to"), "above", "distance"), "to").select("at", "above", (F.col("distance") + step).alias("distance"))
+        links = links.unionByName(checkpoint(more))
+        jumps = checkpoint(joined(jumps, jumps.select(F.col("at").alias("to"), F.col("to").alias("far")), "to").select("at", F.col("far").alias("to")))
+        step *= 2
+    named = joined(links, nodes.select(F.col("at").alias("above"), F.col("node").alias("name")), "above")
+    paths = named.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("distance", "name")), asc=False)["name"].alias("up"))
+    return nodes.join(paths, "at", "left").select("scope", "node", F.concat(F.coalesce("up", F.array().cast("array<string>")), F.array("node")).alias("path"))
+
+
+def _doubling(rows: DataFrame, total: int, with_paths: bool, with_order: bool, hot_rows: int) -> DataFrame:
     """Exact way for components beyond COMPONENT_LIMIT: ancestors 1, 2, 4, ... steps up, one join a round.
 
-    ``visit`` orders by depth only, and ``descendants`` and ``back_edge`` are counted from the closed
-    ancestor links, which are as many rows as the result itself demands; without paths they are null.
+    ``visit`` and ``descendants`` come from the ranked Euler tour, paths from the closed ancestor links; each only
+    where asked for, else null. The smallest node of a cycle has its ``back_edge``.
     """
     key = F.struct("scope", "node")
     state = rows.select(
@@ -148,16 +214,26 @@ def _doubling(rows: DataFrame, total: int, with_paths: bool, hot_rows: int) -> D
         left, rounds = active.count(), rounds + 1
     whole = done.unionByName(active)
     cyclic = F.col("root").isNull()
-    out = whole.select(
+    # after more steps than there are nodes every jump ends on the cycle, and each node of the cycle is such an end
+    on_cycle = active.select("up.scope", "up.node").distinct().join(rows.select("scope", "node", "component"), ["scope", "node"])
+    closing = on_cycle.groupBy("component").agg(F.min(F.struct("scope", "node")).alias("c")).select("c.scope", "c.node", F.lit(True).alias("closes"))
+    out = whole.join(closing, ["scope", "node"], "left").select(
         "scope", "node", F.col("root.node").alias("root"), F.when(cyclic, F.lit(-1)).otherwise(F.col("depth")).cast("bigint").alias("depth"), cyclic.alias("in_cycle"),
-        F.lit(None).cast("boolean").alias("back_edge"), "has_parent", F.lit(None).cast("bigint").alias("descendants"), F.col("depth").alias("visit"), F.when(~cyclic, F.col("marked.node")).alias("marked"),
+        F.coalesce("closes", F.lit(False)).alias("back_edge"), "has_parent", F.when(~cyclic, F.col("marked.node")).alias("marked"),
     )
-    return out.withColumn("path", F.lit(None).cast("array<string>")) if with_paths else out
+    nodes = _sorted_nodes(rows, whole) if with_order or with_paths else None
+    if with_order:
+        out = out.join(_visits(nodes), ["scope", "node"], "left").withColumn("visit", F.when(F.col("in_cycle"), 0).otherwise(F.col("visit"))).withColumn("descendants", F.when(F.col("in_cycle"), -1).otherwise(F.col("descendants")))
+    else:
+        out = out.withColumn("visit", F.lit(None).cast("bigint")).withColumn("descendants", F.lit(None).cast("bigint"))
+    if with_paths:
+        out = out.join(_long_paths(nodes, total, hot_rows), ["scope", "node"], "left")
+    return out.select([f.name for f in _schema(with_paths)])
 
 
 def hierarchy(
     rows: DataFrame, node: str, parent: str, scope: str | None = None, mark: str | None = None, with_paths: bool = False,
-    component_limit: int = COMPONENT_LIMIT, bucket_rows: int = BUCKET_ROWS, hot_rows: int = HOT_ROWS,
+    component_limit: int = COMPONENT_LIMIT, bucket_rows: int = BUCKET_ROWS, hot_rows: int = HOT_ROWS, with_order: bool = True,
 ) -> DataFrame:
     """Every node of ``rows`` with root, depth, descendants and cycle flags.
 
@@ -165,7 +241,8 @@ def hierarchy(
     and nodes without any link are left out. Null nodes are ignored; of repeated nodes the smallest
     non-null parent holds; an empty input gives an empty result. A node on a cycle or below one has
     ``in_cycle``, depth -1 and no root. ``mark`` names a boolean column; ``marked`` is then the
-    nearest ancestor that has it. Children are visited in key order, so ``visit`` is stable.
+    nearest ancestor that has it. Children are visited in key order, so ``visit`` is stable and no two
+    nodes of trees in one scope share it. Without ``with_order`` it and ``descendants`` may be null.
     A scope of at most ``component_limit`` rows is itself a union of components and needs no search
     for them; larger scopes are cut into components, and components beyond the limit take doubling.
     """
@@ -192,11 +269,11 @@ def hierarchy(
     sizes = labelled.groupBy("component").agg(F.count("*").alias("n"))
     largest = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     if largest <= component_limit:
-        out = _bucket_traversal(labelled, total, bucket_rows, with_paths)
+        out = _bucket_traversal(labelled, total, bucket_rows, with_paths, apart=True)
     else:
         huge = sizes.filter(F.col("n") > component_limit).select("component")
-        out = _bucket_traversal(labelled.join(huge, "component", "left_anti"), total, bucket_rows, with_paths)
-        out = out.unionByName(_doubling(checkpoint(labelled.join(huge, "component", "left_semi")), total, with_paths, hot_rows))
+        out = _bucket_traversal(labelled.join(huge, "component", "left_anti"), total, bucket_rows, with_paths, apart=True)
+        out = out.unionByName(_doubling(checkpoint(labelled.join(huge, "component", "left_semi")), total, with_paths, with_order, hot_rows))
     return out if small is None else small.unionByName(out)
 
 
