@@ -8,7 +8,7 @@ from threadloom.llm.automaton import Automaton
 from threadloom.llm.formatdup import canonical, encode, format_duplicates, named_fields
 from threadloom.llm.leakage import Passages, cut_spans, leaked_spans, without_leaks, words
 from threadloom.llm.lexicon import Lexicon
-from threadloom.llm.pairs import TerminalModel, defect, defective_pairs, is_copy, is_other_language, is_refusal
+from threadloom.llm.pairs import TerminalModel, defect, defective_pairs, fit_terminal_model, is_copy, is_other_language, is_refusal
 from threadloom.llm.pii import TYPES, dress, entity_of, find_pii, surrogate, surrogate_table, with_surrogates
 from threadloom.llm.secrets import find_secrets, redact, secret_spans
 from threadloom.llm.spam import SuffixAutomaton, junk_pages, junk_share
@@ -202,6 +202,15 @@ def test_defects():
     assert not is_refusal("I can't open the old backup, so I used the archive. The rows are there.") and not is_copy(ask, ask + " Because the index was rebuilt with more rows than before.") and not is_other_language("no", "The kettle is fine and the copy is kept.")
 
 
+def test_terminal_model_counts_every_answer(spark):
+    texts = [f"The kettle reads file number {i} once." for i in range(9_000)] + ["- see the rare gantry", "- kept beside the rare gantry", "It runs at the rare gantry.", "He met the rare gantry.", "```\nx", None, " "]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id bigint, a string")
+    model, whole = fit_terminal_model(frame, "a"), TerminalModel.fit(texts)
+    assert model.rows == whole.rows == 9_005 and model.ends["rare", "gantry"] == 2 and model.finals["rare", "gantry"] == 2
+    assert all(model.is_truncated(t) == whole.is_truncated(t) for t in texts[-8:] if t and t.strip())
+    assert not model.is_truncated("- see the rare gantry")
+
+
 def test_defective_pairs_edges(spark):
     model = TerminalModel.fit([])
     frame = spark.createDataFrame([(1, None, None), (2, " ", "x"), (3, "What is it?", None), (3, "What is it?", None), (4, "q " * 20_000, "q " * 20_000)], "id bigint, q string, a string")

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import zstandard
@@ -19,8 +20,6 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.blank import blank
 
-#: Answers at most from which the terminal-context model is fitted.
-MODEL_ROWS = 8_000
 #: Compressed size, as a share of the answer plus a constant, up to which an answer may be a copy.
 COPY_SHARE, COPY_BYTES = 0.12, 40
 #: Words of a terminal context, and the share (one in so many answers) from which an unpunctuated ending is usual.
@@ -219,6 +218,77 @@ def last_context(text: str) -> tuple[tuple[str, ...], str] | None:
     return (*["^"] * (FAR[0] - len(shapes)), *shapes), tokens[-1]
 
 
+def ending(text: str) -> bool | tuple[tuple[str, ...], str]:
+    """Whether a text is cut off, or where only the counts can tell, its last context."""
+    tail = text.rstrip()
+    if tail.count("```") % 2:
+        return True
+    begin = tail.rfind("-----BEGIN ")
+    if begin >= 0 and "-----END " not in tail[begin:]:
+        return True
+    if tail.endswith("```"):
+        return False
+    line = tail.rsplit("\n", 1)[-1].strip()
+    if re.fullmatch(r"(?:[-*•]|\d+[.)])", line) or tail[-1] in ":,;-(" or tail[-1] in "–—/\\=":
+        return not (tail[-1] == ";" and re.search(r"[=()]", line))
+    if _END.search(tail):
+        return False
+    if tail[-1] in "\"'`)]}>”»|":
+        opened = tail[-1] in ")]}" and line.count("(") + line.count("[") + line.count("{") < line.count(")") + line.count("]") + line.count("}")
+        return opened
+    if re.match(r"(?:\s{2,}|\t)[\w.\-]+:\s+\S+$", tail.rsplit("\n", 1)[-1]):
+        return False  # the last entry of an indented block
+    return last_context(tail) or False
+
+
+@lru_cache(1 << 17)
+def _form(token: str) -> tuple[str, bool, tuple[str, ...]]:
+    """(shape, whether a sentence stops after it, word parts)."""
+    return shape(token), bool(_END.search(token)) and not token.endswith(".."), tuple(_parts(token))
+
+
+def _asked(context: tuple[str, ...], raw: str) -> Iterator[tuple[str, tuple[str, ...]]]:
+    """The counts that ``complete`` looks up for an ending."""
+    for n in range(2, CONTEXT + 1):
+        yield "near", context[-n:]
+    yield "far", context[: -FAR[1] + 1]
+    for part in _parts(raw)[-1:]:
+        yield "part", (part,)
+
+
+def _count(batches: Iterable[list[str | None]], wanted: dict[str, set] | None = None) -> tuple[dict, dict, dict, dict, int]:
+    """(ends, goes_on, parts, finals, answers) of all texts, or only what is ``wanted`` of them."""
+    ends, goes_on, parts, finals, rows = Counter(), Counter(), Counter(), Counter(), 0
+    near, distant, asked_parts = (wanted[k] for k in ("near", "far", "part")) if wanted is not None else (None, None, None)
+    for text in (t for batch in batches for t in batch):
+        if not text or blank(text):
+            continue
+        rows += 1
+        lines = [line for line in _CODE.sub("\n", text).split("\n") if line.strip()]
+        for at, line in enumerate(lines):
+            before = ("^",) * FAR[0]
+            tokens = [f for t in _TOKEN.findall(line) if (f := _form(t))[0]]
+            for i, (form, stop, pieces) in enumerate(tokens):
+                last = i == len(tokens) - 1
+                before = (*before[1:], form)
+                if last and at == len(lines) - 1 and not stop:
+                    if near is None or before[-2:] in near:
+                        finals[before[-2:]] += 1  # the text stops here, whole or cut: the counts will tell
+                    continue
+                into = ends if stop or last else goes_on
+                if near is None or before[-2:] in near:
+                    for n in range(2, CONTEXT + 1):
+                        if near is None or before[-n:] in near:
+                            into[before[-n:]] += 1
+                far = before[: -FAR[1] + 1]
+                if distant is None or far in distant:
+                    into["far", *far] += 1
+                parts.update(pieces if asked_parts is None else [p for p in pieces if (p,) in asked_parts])
+                if stop:
+                    before = ("^",) * FAR[0]
+    return dict(ends), dict(goes_on), dict(parts), dict(finals), rows
+
+
 class TerminalModel:
     """How often the last words of a unit are its end, and how often it goes on, by contexts of 4 to 2 words."""
 
@@ -227,30 +297,7 @@ class TerminalModel:
 
     @classmethod
     def fit(cls, texts: list[str | None]) -> TerminalModel:
-        ends, goes_on, parts, finals, rows = Counter(), Counter(), Counter(), Counter(), 0
-        for text in texts:
-            if not text or blank(text):
-                continue
-            rows += 1
-            lines = [line for line in _CODE.sub("\n", text).split("\n") if line.strip()]
-            for at, line in enumerate(lines):
-                before = ("^",) * FAR[0]
-                tokens = [(t, f) for t in _TOKEN.findall(line) if (f := shape(t))]
-                for i, (token, form) in enumerate(tokens):
-                    stop = bool(_END.search(token)) and not token.endswith("..")
-                    last = i == len(tokens) - 1
-                    before = (*before[1:], form)
-                    if last and at == len(lines) - 1 and not stop:
-                        finals[before[-2:]] += 1  # the text stops here, whole or cut: the counts will tell
-                        continue
-                    into = ends if stop or last else goes_on
-                    for n in range(2, CONTEXT + 1):
-                        into[before[-n:]] += 1
-                    into[("far", *before[-FAR[0] : -FAR[1] + 1])] += 1
-                    parts.update(_parts(token))
-                    if stop:
-                        before = ("^",) * FAR[0]
-        return cls(dict(ends), dict(goes_on), dict(parts), dict(finals), rows)
+        return cls(*_count([texts]))
 
     def complete(self, context: tuple[str, ...], raw: str) -> bool:
         """Whether a text may end with these words and no full stop: the longest context that was seen decides."""
@@ -271,34 +318,37 @@ class TerminalModel:
         return False
 
     def is_truncated(self, text: str) -> bool:
-        tail = text.rstrip()
-        if tail.count("```") % 2:
-            return True
-        begin = tail.rfind("-----BEGIN ")
-        if begin >= 0 and "-----END " not in tail[begin:]:
-            return True
-        if tail.endswith("```"):
-            return False
-        line = tail.rsplit("\n", 1)[-1].strip()
-        if re.fullmatch(r"(?:[-*•]|\d+[.)])", line) or tail[-1] in ":,;-(" or tail[-1] in "–—/\\=":
-            return not (tail[-1] == ";" and re.search(r"[=()]", line))
-        if _END.search(tail):
-            return False
-        if tail[-1] in "\"'`)]}>”»|":
-            opened = tail[-1] in ")]}" and line.count("(") + line.count("[") + line.count("{") < line.count(")") + line.count("]") + line.count("}")
-            return opened
-        if re.match(r"(?:\s{2,}|\t)[\w.\-]+:\s+\S+$", tail.rsplit("\n", 1)[-1]):
-            return False  # the last entry of an indented block
-        context = last_context(tail)
-        return context is not None and not self.complete(*context)
+        end = ending(text)
+        return end if isinstance(end, bool) else not self.complete(*end)
+
+
+def fit_terminal_model(df: DataFrame, column: str) -> TerminalModel:
+    """The model of all answers, with the counts that an unpunctuated ending among them asks for.
+
+    The first pass finds those endings, the second counts them over every answer, added up in each
+    task before the shuffle. What is sent grows with the distinct unpunctuated endings only.
+    """
+    held = df.select(F.col(column).alias("a")).filter("a IS NOT NULL")
+
+    def endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = {(kind, "\n".join(key)) for a in batch["a"].tolist() if not blank(a) and not isinstance(end := ending(a), bool) for kind, key in _asked(*end)}
+            yield pd.DataFrame(sorted(found), columns=["kind", "key"])
+
+    wanted: dict[str, set] = {"near": set(), "far": set(), "part": set()}
+    for r in held.mapInPandas(endings, "kind string, key string").distinct().toLocalIterator():
+        wanted[r.kind].add(tuple(r.key.split("\n")))
+    sent = df.sparkSession.sparkContext.broadcast(wanted)
 
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ends, goes_on, parts, finals, rows = _count((b["a"].tolist() for b in batches), sent.value)
+        found = [(kind, "\n".join(key), n) for kind, counter in (("ends", ends), ("goes_on", goes_on), ("finals", finals)) for key, n in counter.items()]
+        yield pd.DataFrame([*found, *(("parts", p, n) for p, n in parts.items()), ("rows", "", rows)], columns=["kind", "key", "n"])
 
-def fit_terminal_model(df: DataFrame, key: str, column: str, rows: int = MODEL_ROWS) -> TerminalModel:
-    """A model of at most about ``rows`` answers, chosen by the hash of their key, so any rerun fits the same."""
-    held = df.filter(F.col(column).isNotNull())
-    total = held.count()
-    part = held.filter(F.pmod(F.xxhash64(key), F.lit(max(1, -(-total // rows)))) == 0).select(column)
-    return TerminalModel.fit([r[0] for r in part.toLocalIterator()])
+    model: dict[str, dict] = {"ends": {}, "goes_on": {}, "parts": {}, "finals": {}, "rows": {}}
+    for r in held.mapInPandas(counts, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")).toLocalIterator():
+        model[r.kind][r.key if r.kind == "parts" else tuple(r.key.split("\n"))] = r.n
+    return TerminalModel(model["ends"], model["goes_on"], model["parts"], model["finals"], sum(model["rows"].values()))
 
 
 def defect(question: str | None, answer: str | None, model: TerminalModel) -> str | None:
@@ -318,7 +368,7 @@ def defect(question: str | None, answer: str | None, model: TerminalModel) -> st
 
 def defective_pairs(df: DataFrame, key: str, question: str, answer: str, model: TerminalModel) -> DataFrame:
     """``(key, defect)`` of every row with a defect. Rows whose question is blank are left out; repeated rows are repeated."""
-    sent = df.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary of MODEL_ROWS answers
+    sent = df.sparkSession.sparkContext.broadcast(model)  # grows with the distinct unpunctuated endings
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -11,7 +11,7 @@ from threadloom.session import table
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "exchanges").select("id", "human_text", "agent_text")
-    model = fit_terminal_model(pairs, "id", "agent_text")
+    model = fit_terminal_model(pairs, "agent_text")
     return defective_pairs(pairs, "id", "human_text", "agent_text", model).select(F.col("id").alias("exchange_id"), "defect")
 
 
