@@ -87,6 +87,13 @@ def test_pii_formats():
         assert [(k, text[a:b]) for a, b, k in spans] == want, text
 
 
+def test_every_street_kind_and_a_second_address_in_one_case():
+    for one in ("12 Elm Terrace, Port Ellis", "4 Oak St., Sandmere", "9 Birch Way, Holloway Bay", "Birkenring 4, Altenfurt", "Zur Linde 7, Altenfurt", "3 quai des Saulaies, Montbriac", "C/ Mayor 4, 99529 Puerto Celada", "Ronda del Olivar 16, Puerto Celada"):
+        assert [one] == [f"at {one}."[a:b] for a, b, k in find_pii([f"at {one}."])[0] if k == "address"], one
+    text = "From 25 Brindle Street, Holloway Bay to the house. Also 9 tallow court, sandmere."
+    assert [text[a:b] for a, b, k in find_pii([text])[0] if k == "address"] == ["25 Brindle Street, Holloway Bay", "9 tallow court, sandmere"]
+
+
 def test_surrogates_are_keyed_distinct_and_in_format(spark):
     assert entity_of("name", "LARRABIDE, Jörgen") == entity_of("name", "jörgen Larrabide") and entity_of("phone", "+44 1632 960493") == entity_of("phone", "01632 960493")
     assert surrogate("a", "name", "zoë x") == surrogate("a", "name", "zoë x") != surrogate("b", "name", "zoë x")

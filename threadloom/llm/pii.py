@@ -96,23 +96,28 @@ _ID_CUE = re.compile(r"\b(?:ssn|social security|national id|passport|tax|insuran
 
 # Kinds of street, and words that make two-word towns.
 _STREET = "Street|Lane|Avenue|Court|Drive|Road|Close|Square|Terrace|Crescent|Way|Boulevard|Place|St|Ave|Rd|Dr|Ln"
+_DE_ENDS = "straße|strasse|weg|gasse|platz|allee|ring|ufer|damm"
+_DE_AT = rf"Am|Im|Zum|Zur|An{_S}der|In{_S}der|Auf{_S}der"
+_FR_KINDS = "rue|avenue|boulevard|impasse|chemin|allée|place|quai|route|cours|passage"
+_ES_KINDS = r"Calle|Plaza|Avenida|Avda\.|Camino|Paseo|Ronda|C/"
 _TOWN_TAIL = "Ferry|Bay|Calder|Cross|Falls|Heights|Springs|City|Park|Beach|Grove|Creek|Point|Harbor|Harbour|Haven|Mills|Bridge|Celada"
 _TOWN_HEAD = "Port|Saint|Sainte|Fort|New|North|South|East|West|San|Santa|Puerto|Bad|Mount|Villa|Los|Las|El|La|Le"
 _TOWN = rf"(?:(?:{_TOWN_HEAD}){_S}[A-ZÀ-Þ][\w'’\-‑]+|[A-ZÀ-Þ][\w'’\-‑]+(?:{_S}(?:{_TOWN_TAIL}))?)"
 _FLAT = rf"(?:(?:Apt|Apartment|Flat|Unit|Suite)\.?{_S}\w{{1,4}}{_C})?"
 _ADDRESS = [
     rf"{_FLAT}\d{{1,4}}[a-z]?{_S}(?:[A-ZÀ-Þ][\w'’\-‑]+{_S}){{1,3}}(?:{_STREET})\b\.?(?:{_C}(?:Apt|Flat|Unit|Suite)\.?{_S}\w{{1,4}})?{_C}{_TOWN}(?:{_S}\d{{5}})?",
-    rf"(?:(?:Am|Im|Zum|Zur|An{_S}der|In{_S}der|Auf{_S}der){_S}(?:[\wäöüß]+{_S})?[A-ZÄÖÜ][\wäöüß\-‑]+|(?:[A-ZÄÖÜ][\wäöüß\-‑]+{_S})?(?:[A-ZÄÖÜ][\wäöüß]*(?:straße|strasse|weg|gasse|platz|allee|ring|ufer|damm)|Straße|Strasse|Weg|Gasse|Platz|Allee|Ring|Ufer|Damm)){_S}\d{{1,4}}[a-z]?{_C}(?:\d{{5}}{_S})?{_TOWN}",
-    rf"\d{{1,4}}(?:{_S}(?:bis|ter|quater))?,?{_S}(?:rue|avenue|boulevard|impasse|chemin|allée|place|quai|route|cours|passage){_S}(?:(?:de{_S}la|de{_S}l['’]|des|du|de|d['’])(?:{_S})?)?[A-ZÀ-Þ][\w'’\-‑]+(?:{_S}[A-ZÀ-Þ][\w'’\-‑]+){{0,2}}{_C}(?:\d{{5}}{_S})?{_TOWN}",
-    rf"(?:Calle|Plaza|Avenida|Avda\.|Camino|Paseo|Ronda|C/){_S}(?:(?:de{_S}los|de{_S}las|de{_S}la|del|de){_S})?[A-ZÀ-Þ][\w'’\-‑]+(?:{_S}[A-ZÀ-Þ][\w'’\-‑]+)?(?:,)?{_S}\d{{1,4}}[a-z]?(?:{_C}\d{{1,2}}[ºª](?:{_S})?\w{{0,3}})?{_C}(?:\d{{5}}{_S})?{_TOWN}",
+    rf"(?:(?:{_DE_AT}){_S}(?:[\wäöüß]+{_S})?[A-ZÄÖÜ][\wäöüß\-‑]+|(?:[A-ZÄÖÜ][\wäöüß\-‑]+{_S})?(?:[A-ZÄÖÜ][\wäöüß]*(?:{_DE_ENDS})|Straße|Strasse|Weg|Gasse|Platz|Allee|Ring|Ufer|Damm)){_S}\d{{1,4}}[a-z]?{_C}(?:\d{{5}}{_S})?{_TOWN}",
+    rf"\d{{1,4}}(?:{_S}(?:bis|ter|quater))?,?{_S}(?:{_FR_KINDS}){_S}(?:(?:de{_S}la|de{_S}l['’]|des|du|de|d['’])(?:{_S})?)?[A-ZÀ-Þ][\w'’\-‑]+(?:{_S}[A-ZÀ-Þ][\w'’\-‑]+){{0,2}}{_C}(?:\d{{5}}{_S})?{_TOWN}",
+    rf"(?:{_ES_KINDS}){_S}(?:(?:de{_S}los|de{_S}las|de{_S}la|del|de){_S})?[A-ZÀ-Þ][\w'’\-‑]+(?:{_S}[A-ZÀ-Þ][\w'’\-‑]+)?(?:,)?{_S}\d{{1,4}}[a-z]?(?:{_C}\d{{1,2}}[ºª](?:{_S})?\w{{0,3}})?{_C}(?:\d{{5}}{_S})?{_TOWN}",
 ]
 _ADDRESS_AS_WRITTEN = re.compile(r"(?<![\w.\-/])(?:" + "|".join(_ADDRESS) + r")(?!\w)")
 # in texts without letter case a town ends at a postcode, a stop or the next known word
 _ADDRESS_ANY_CASE = re.compile(r"(?<![\w.\-/])(?:" + "|".join(_ADDRESS) + r")(?!\w)", re.I)
+# what every address has, from the same street words: only texts that have it, in lower case, are searched
+_PLACE = re.compile(rf"(?:{_STREET})\.?[ \xa0]?[,;]|(?:{_DE_ENDS}){_S}\d|\b(?:{_DE_AT}){_S}(?:[\wäöüß]+{_S})?[\wäöüß\-‑]+{_S}\d|\b(?:{_FR_KINDS}){_S}|\b(?:{_ES_KINDS}){_S}".lower())
 _AFTER_TOWN = re.compile(rf"{_S}(?:now|and|to|und|et|y|jetzt)$", re.I)
 
 # Pieces of text that call for a closer look.
-_PLACES = [" street", " lane", " avenue", " court", " drive", " road", " close", " square", "straße ", "strasse ", "weg ", "gasse ", "platz ", "allee ", "am ", "im ", "zum ", "rue ", "avenue ", "impasse ", "boulevard ", "chemin ", "calle ", "plaza ", "avenida ", "camino ", "paseo "]
 _TITLES = ["herr", "frau ", "mme ", "mlle ", "señor", "mr.", "mrs.", "dr.", "signed off", "pair with", "laptop of", "number of", "attendees", "reviewer", "dossier de", "dni de", "steuer-id", "ssel hat", "llave la"]
 
 
@@ -121,8 +126,8 @@ def _both_cases(words: list[str]) -> list[str]:
 
 
 _LEXICON = _both_cases([w.replace("'", "") if "'" not in w else w.split("'")[1] for w in GIVEN_F + GIVEN_M + FAMILY])
-_ANCHORS = [*_LEXICON, *_both_cases(_PLACES), *_both_cases(_TITLES)]
-_N_LEXICON, _N_PLACES = len(_LEXICON), len(_LEXICON) + len(_both_cases(_PLACES))
+_ANCHORS = [*_LEXICON, *_both_cases(_TITLES)]
+_N_LEXICON = len(_LEXICON)
 _MACHINE: list[Automaton] = []
 
 
@@ -173,19 +178,18 @@ def find_pii(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         if not text:
             out.append([])
             continue
-        kinds = {0 if p < _N_LEXICON else 1 if p < _N_PLACES else 2 for _, p in events}
+        kinds = {0 if p < _N_LEXICON else 2 for _, p in events}
         found: list[tuple[int, int, str]] = []
         if "@" in text or "(at)" in text.lower() or "[at]" in text.lower():
             found += [(*s, "email") for s in _emails(text)]
-        if 1 in kinds:
+        if _PLACE.search(text.lower()):
             cased = any(c.islower() for c in text) and any(c.isupper() for c in text)
             for m in _ADDRESS_AS_WRITTEN.finditer(text):
                 found.append((*m.span(), "address"))
-            if not cased or not any(t == "address" for *_, t in found):
-                for m in _ADDRESS_ANY_CASE.finditer(text):
-                    if not cased or m.group().upper() == m.group() or m.group().lower() == m.group():
-                        end = _AFTER_TOWN.search(m.group())
-                        found.append((m.start(), m.start() + end.start() if end else m.end(), "address"))
+            for m in _ADDRESS_ANY_CASE.finditer(text):
+                if not cased or m.group().upper() == m.group() or m.group().lower() == m.group():
+                    end = _AFTER_TOWN.search(m.group())
+                    found.append((m.start(), m.start() + end.start() if end else m.end(), "address"))
         for m in _PHONE.finditer(text):
             found.append((*m.span(), "phone"))
         for m in _ID.finditer(text):
