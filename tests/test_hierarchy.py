@@ -101,3 +101,29 @@ def test_large_components_get_paths_descendants_order_and_back_edges(spark):
     placed = [(x.scope, x.visit) for x in got.values() if not x.in_cycle]
     assert len(set(placed)) == len(placed) and sum(x.back_edge for x in got.values()) == 1
     assert {tuple(p) for p in descendant_pairs(tree).collect()} == {(s, a, n, len(x.path) - 1 - i) for (s, n), x in want.items() if x.path for i, a in enumerate(x.path[:-1])}
+
+
+@pytest.mark.parametrize("limit", [10**6, 5, 0])
+def test_latest_row_holds_carries_columns_and_knows_its_replies(spark, limit):
+    rows = [("s", "1", None, True, False, 1, "old"), ("s", "1", None, True, False, 2, "new"), ("s", "2", "1", False, False, 1, None), ("s", "3", "2", True, True, 1, "c"), ("s", "4", "1", True, False, 1, "d"),
+            ("s", "5", "6", True, True, 1, "e"), ("s", "6", "5", True, True, 1, "f"), ("t", "1", "9", True, True, 1, "g")]
+    frame = spark.createDataFrame(rows, "s string, n string, p string, m boolean, r boolean, v int, said string")
+    tree = hierarchy(frame, "n", "p", scope="s", mark="m", reply="r", carry=["said"], latest=frame.v, component_limit=limit)
+    assert {(x.scope, x.node): (x.said, x.marked, x.answered, x.depth) for x in tree.collect()} == {
+        ("s", "1"): ("new", None, True, 0), ("s", "2"): (None, "1", False, 1), ("s", "3"): ("c", "1", False, 2), ("s", "4"): ("d", "1", False, 1),
+        ("s", "5"): ("e", None, False, -1), ("s", "6"): ("f", None, False, -1), ("t", "1"): ("g", None, False, 0),
+    }
+
+
+def test_paths_of_a_long_chain_come_in_bounded_batches():
+    from threadloom.operators import hierarchy as h
+
+    parts = list(h._with_paths(*_walk(h, 2_000)))
+    assert max(len(p) for p in parts) <= h.BATCH_ROWS and max(sum(map(len, p["path"])) for p in parts if p["path"].notna().any()) < h.BATCH_ENTRIES + 2_001
+    assert sum(len(p) for p in parts) == 2_000
+
+
+def _walk(h, n):
+    keys = [("", f"{i:06d}") for i in range(n)]
+    out, visited = h._traverse(keys, [None, *keys[:-1]], [False] * n, [False] * n)
+    return out, keys, visited

@@ -36,5 +36,5 @@ def connected_components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFram
         if total == 0 or (total, digest) == mark:
             break
         mark = (total, digest)
-        current = checkpoint(_star(_star(current, total, True, hot_rows), total, False, hot_rows))
+        current = checkpoint(_star(_star(current, total, True, hot_rows), total, False, hot_rows), in_loop=True)
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -1,17 +1,19 @@
 """Parent-child rows to full hierarchies: root, depth, path, descendants, cycles.
 
-Components are found first, each component is brought together in one bucket, and an iterative
-depth-first traversal with node colours runs over the bucket. A component too large for one task is
-resolved by pointer doubling instead, with the same result.
+Components are brought together in one bucket, and an iterative depth-first traversal with node colours
+runs over each of them. Rows without a scope are searched for components first; a scope is a union of
+components, so its rows are brought together by scope and parted into components in the bucket. A
+component too large for one task is resolved by pointer doubling instead, with the same result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,10 +25,45 @@ from threadloom.session import checkpoint
 COMPONENT_LIMIT = 500_000
 #: Nodes a bucket of small components holds on average.
 BUCKET_ROWS = 100_000
+#: Rows and path entries that a task hands over at once.
+BATCH_ROWS, BATCH_ENTRIES = 20_000, 500_000
 
 
-def _traverse(keys: list, parents: list, marks: list | None, with_paths: bool) -> pd.DataFrame:
-    """Iterative depth-first traversal. Colours: 0 unseen, 1 on the stack, 2 finished."""
+class Finish(NamedTuple):
+    """More columns for the nodes of a scope, computed twice with one meaning.
+
+    ``bucket`` sees whole scopes as pandas rows in the task that traversed them, ``frame`` sees the nodes
+    of scopes too large for a task.
+    """
+
+    schema: str
+    bucket: Callable[[pd.DataFrame], pd.DataFrame]
+    frame: Callable[[DataFrame], DataFrame]
+
+
+def _components(up: list[int]) -> list[list[int]]:
+    """The connected components of the links, by union and find; each in the order of its nodes."""
+    over = list(range(len(up)))
+
+    def find(i: int) -> int:
+        while over[i] != i:
+            over[i] = i = over[over[i]]
+        return i
+
+    for i, p in enumerate(up):
+        if p >= 0:
+            over[find(i)] = find(p)
+    members: dict[int, list[int]] = {}
+    for i in range(len(up)):
+        members.setdefault(find(i), []).append(i)
+    return list(members.values())
+
+
+def _traverse(keys: list, parents: list, marks: list, replies: list) -> tuple[pd.DataFrame, list[int]]:
+    """Each component's iterative depth-first traversal. Colours: 0 unseen, 1 on the stack, 2 finished.
+
+    Also gives the nodes of trees in the order of their visits.
+    """
     n = len(keys)
     place = {k: i for i, k in enumerate(keys)}
     up = [place.get(p, -1) if p is not None else -1 for p in parents]
@@ -35,41 +72,39 @@ def _traverse(keys: list, parents: list, marks: list | None, with_paths: bool) -
         if p >= 0:
             below[p].append(i)
     colour, root, depth, size, order = bytearray(n), [-1] * n, [-1] * n, [0] * n, [0] * n
-    seen_mark = [-1] * n
-    step = 0
-    for start in range(n):
-        if up[start] >= 0:
-            continue
-        stack = [start]
+    seen_mark, answered, back = [-1] * n, bytearray(n), bytearray(n)
+    visited: list[int] = []
+    for component in _components(up):
+        stack = [i for i in component if up[i] < 0]  # one root, or none where the links close a cycle
         while stack:
             i = stack[-1]
             if colour[i] == 0:
                 colour[i] = 1
-                order[i] = step
-                step += 1
+                order[i] = len(visited)
+                visited.append(i)
                 p = up[i]
                 root[i], depth[i] = (root[p], depth[p] + 1) if p >= 0 else (i, 0)
                 if p >= 0:
-                    seen_mark[i] = p if marks is not None and marks[p] else seen_mark[p]
+                    seen_mark[i] = p if marks[p] else seen_mark[p]
+                    if replies[i] and seen_mark[i] >= 0:
+                        answered[seen_mark[i]] = 1
                 stack.extend(sorted(below[i], key=keys.__getitem__, reverse=True))
             else:
                 stack.pop()
                 if colour[i] == 1:
                     colour[i] = 2
                     size[i] = sum(size[c] + 1 for c in below[i])
-    back = bytearray(n)
-    for start in range(n):  # what no root reaches lies on a cycle or below one
-        i, trail = start, []
-        while colour[i] == 0:
-            colour[i] = 1
-            trail.append(i)
-            i = up[i]
-        if trail and colour[i] == 1:  # the parent is still grey: this edge closes the cycle
-            back[trail[-1]] = 1
-        for j in trail:
-            colour[j] = 2
+        for start in component:  # what no root reaches lies on a cycle or below one
+            i, trail = start, []
+            while colour[i] == 0:
+                colour[i] = 1
+                trail.append(i)
+                i = up[i]
+            if trail and colour[i] == 1:  # the parent is still grey: this edge closes the cycle
+                back[trail[-1]] = 1
+            for j in trail:
+                colour[j] = 2
     out = {
-        "node": keys,
         "root": [keys[r] if r >= 0 else None for r in root],
         "depth": depth,
         "in_cycle": [d < 0 for d in depth],
@@ -78,49 +113,75 @@ def _traverse(keys: list, parents: list, marks: list | None, with_paths: bool) -
         "descendants": [s if d >= 0 else -1 for s, d in zip(size, depth)],
         "visit": order,
         "marked": [keys[m] if m >= 0 else None for m in seen_mark],
+        "answered": [bool(a) for a in answered],
     }
-    if with_paths:
-        paths: list = [None] * n
-        for i in sorted(range(n), key=depth.__getitem__):
-            if depth[i] >= 0:
-                paths[i] = [*(paths[up[i]] if up[i] >= 0 else []), keys[i]]
-        out["path"] = paths
-    return pd.DataFrame(out)
+    return pd.DataFrame(out), visited
+
+
+def _with_paths(out: pd.DataFrame, keys: list, visited: list[int]) -> Iterator[pd.DataFrame]:
+    """The rows in order of visit with their paths, a bounded number of path entries at once."""
+    trail: list = []
+    at: list[int] = []
+    paths: list = []
+    entries = 0
+    depth = out["depth"].tolist()
+    for i in visited:
+        del trail[depth[i] :]
+        trail.append(keys[i][1])
+        at.append(i)
+        paths.append(list(trail))
+        entries += len(trail)
+        if len(at) >= BATCH_ROWS or entries >= BATCH_ENTRIES:
+            yield out.iloc[at].assign(path=paths)
+            at, paths, entries = [], [], 0
+    if at:
+        yield out.iloc[at].assign(path=paths)
+    cyclic = out[out["depth"] < 0]
+    if len(cyclic):
+        yield cyclic.assign(path=[None] * len(cyclic))
+
+
+FIELDS = "scope string, node string, root string, depth bigint, in_cycle boolean, back_edge boolean, has_parent boolean, descendants bigint, visit bigint, marked string, answered boolean"
 
 
-def _schema(with_paths: bool) -> T.StructType:
-    fields = "scope string, node string, root string, depth bigint, in_cycle boolean, back_edge boolean, has_parent boolean, descendants bigint, visit bigint, marked string"
-    return T._parse_datatype_string(fields + (", path array<string>" if with_paths else ""))
+def _schema(with_paths: bool, more: str = "") -> T.StructType:
+    return T._parse_datatype_string(FIELDS + (", path array<string>" if with_paths else "") + (f", {more}" if more else ""))
 
 
-def _bucket_traversal(rows: DataFrame, total: int, bucket_rows: int, with_paths: bool, apart: bool = False) -> DataFrame:
-    """Each bucket holds whole components: ``component`` decides the bucket.
+def _bucket_traversal(rows: DataFrame, with_paths: bool, carried: str, apart: bool = False, finish: Finish | None = None) -> DataFrame:
+    """Traverses the partitions of ``rows``, each of which holds whole components, or whole scopes.
 
-    ``apart`` sets the visits of each bucket above those of the others, for scopes that lie in several.
+    ``apart`` sets the visits of each partition above those of the others, for scopes that lie in several.
     """
-    buckets = max(1, -(-total // bucket_rows), rows.sparkSession.sparkContext.defaultParallelism if total > 10_000 else 1)
-    names = [f.name for f in _schema(with_paths)]
+    schema = _schema(with_paths, ", ".join(x for x in (carried, finish.schema if finish else "") if x))
+    names = schema.names
+    own = [c for c in rows.columns if c not in ("scope", "node", "parent", "mark", "reply", "component")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts = [b for b in batches if len(b)]
         if not parts:
             return
         whole = pd.concat(parts, ignore_index=True)
+        del parts
         keys = list(zip(whole["scope"], whole["node"]))
         ups = [(s, p) if p is not None else None for s, p in zip(whole["scope"], whole["parent"])]
-        out = _traverse(keys, ups, whole["mark"].tolist(), with_paths)
-        out["scope"] = whole["scope"]
+        out, visited = _traverse(keys, ups, whole["mark"].tolist(), whole["reply"].tolist())
+        for c in ("root", "marked"):
+            out[c] = [x[1] if x is not None else None for x in out[c]]
         if apart:
             out["visit"] += (TaskContext.get().partitionId() + 1) << 40
-        for c in ("node", "root", "marked"):
-            out[c] = [x[1] if x is not None else None for x in out[c]]
+        for c in ("scope", "node", *own):
+            out[c] = whole[c]
+        del whole
+        if finish:
+            out = finish.bucket(out)
         if with_paths:
-            out["path"] = [[x[1] for x in p] if p is not None else None for p in out["path"]]
-        for at in range(0, len(out), 20_000):
-            yield out[names].iloc[at : at + 20_000]
+            yield from (part[names] for part in _with_paths(out, keys, visited))
+        else:
+            for at in range(0, len(out), BATCH_ROWS):
+                yield out[names].iloc[at : at + BATCH_ROWS]
 
-    spread = rows.select("scope", "node", "parent", "mark", "component").repartition(buckets, "component").drop("component")
-    return spread.mapInPandas(run, _schema(with_paths))
+    return rows.mapInPandas(run, schema)
 
 
 def _sorted_nodes(rows: DataFrame, whole: DataFrame) -> DataFrame:
@@ -153,7 +214,7 @@ def _visits(nodes: DataFrame) -> DataFrame:
     arcs = checkpoint(entered.unionByName(left_last).unionByName(left))
     while arcs.filter("`to` IS NOT NULL").limit(1).count():
         ahead = arcs.select(F.col("arc").alias("to"), F.col("to").alias("far"), F.col("n").alias("more"))
-        arcs = checkpoint(arcs.join(ahead, "to", "left").select("arc", F.col("far").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+        arcs = checkpoint(arcs.join(ahead, "to", "left").select("arc", F.col("far").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), in_loop=True)
     enter = F.col("arc") % 2 == 0
     ranks = arcs.groupBy(F.shiftright("arc", 1).alias("at")).agg(F.max(F.when(enter, F.col("n"))).alias("entered"), F.max(F.when(~enter, F.col("n"))).alias("left"))
     counts = nodes.groupBy("scope").agg(F.count("*").alias("all"))  # each scope holds a component beyond the limit
@@ -175,15 +236,15 @@ def _long_paths(nodes: DataFrame, total: int, hot_rows: int) -> DataFrame:
     links, step = jumps.select("at", F.col("to").alias("above"), F.lit(1).cast("bigint").alias("distance")), 1
     while jumps.limit(1).count():
         more = jumps.join(links.select(F.col("at").alias("to"), "above", "distance"), "to").select("at", "above", (F.col("distance") + step).alias("distance"))
-        links = links.unionByName(checkpoint(more))
-        jumps = checkpoint(joined(jumps, jumps.select(F.col("at").alias("to"), F.col("to").alias("far")), "to").select("at", F.col("far").alias("to")))
+        links = links.unionByName(checkpoint(more, in_loop=True))
+        jumps = checkpoint(joined(jumps, jumps.select(F.col("at").alias("to"), F.col("to").alias("far")), "to").select("at", F.col("far").alias("to")), in_loop=True)
         step *= 2
     named = joined(links, nodes.select(F.col("at").alias("above"), F.col("node").alias("name")), "above")
     paths = named.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("distance", "name")), asc=False)["name"].alias("up"))
     return nodes.join(paths, "at", "left").select("scope", "node", F.concat(F.coalesce("up", F.array().cast("array<string>")), F.array("node")).alias("path"))
 
 
-def _doubling(rows: DataFrame, total: int, with_paths: bool, with_order: bool, hot_rows: int) -> DataFrame:
+def _doubling(rows: DataFrame, total: int, with_paths: bool, with_order: bool, hot_rows: int, own: Sequence[str]) -> DataFrame:
     """Exact way for components beyond COMPONENT_LIMIT: ancestors 1, 2, 4, ... steps up, one join a round.
 
     ``visit`` and ``descendants`` come from the ranked Euler tour, paths from the closed ancestor links; each only
@@ -207,7 +268,7 @@ def _doubling(rows: DataFrame, total: int, with_paths: bool, with_order: bool, h
         known = state.select(F.col("k").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"), F.col("marked").alias("far_mark"), F.coalesce("root", F.when(F.col("up").isNull(), F.col("k"))).alias("far_root"))
         degree = active.groupBy("up").agg(F.count("*").alias("n"))
         stepped = join_unique(active.drop("root"), known.join(degree, "up"), "up", "n", left, "inner", hot_rows)
-        active_next = checkpoint(stepped.select("scope", "node", "k", F.col("far").alias("up"), "has_parent", (F.col("depth") + F.col("more")).alias("depth"), F.coalesce("marked", "far_mark").alias("marked"), F.col("far_root").alias("root")))
+        active_next = checkpoint(stepped.select("scope", "node", "k", F.col("far").alias("up"), "has_parent", (F.col("depth") + F.col("more")).alias("depth"), F.coalesce("marked", "far_mark").alias("marked"), F.col("far_root").alias("root")), in_loop=True)
         done = done.unionByName(active_next.filter("root IS NOT NULL"))
         active = active_next.filter("root IS NULL")
         state = done.unionByName(active)
@@ -228,52 +289,77 @@ def _doubling(rows: DataFrame, total: int, with_paths: bool, with_order: bool, h
         out = out.withColumn("visit", F.lit(None).cast("bigint")).withColumn("descendants", F.lit(None).cast("bigint"))
     if with_paths:
         out = out.join(_long_paths(nodes, total, hot_rows), ["scope", "node"], "left")
-    return out.select([f.name for f in _schema(with_paths)])
+    out = checkpoint(out.join(rows.select("scope", "node", "reply", *own), ["scope", "node"]))
+    asked = out.filter("reply AND marked IS NOT NULL").select("scope", F.col("marked").alias("node")).distinct().withColumn("answered", F.lit(True))
+    out = out.join(asked, ["scope", "node"], "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
+    return out.select(*_schema(with_paths).names, *own)
 
 
 def hierarchy(
-    rows: DataFrame, node: str, parent: str, scope: str | None = None, mark: str | None = None, with_paths: bool = False,
-    component_limit: int = COMPONENT_LIMIT, bucket_rows: int = BUCKET_ROWS, hot_rows: int = HOT_ROWS, with_order: bool = True,
+    rows: DataFrame, node: str, parent: str, scope: str | None = None, mark: str | None = None, reply: str | None = None, carry: Sequence[str] = (), latest: Column | None = None,
+    finish: Finish | None = None, with_paths: bool = False, component_limit: int = COMPONENT_LIMIT, bucket_rows: int = BUCKET_ROWS, hot_rows: int = HOT_ROWS, with_order: bool = True,
 ) -> DataFrame:
     """Every node of ``rows`` with root, depth, descendants and cycle flags.
 
     A parent counts if it is a node of the same ``scope``; without ``scope`` all rows are one scope,
-    and nodes without any link are left out. Null nodes are ignored; of repeated nodes the smallest
-    non-null parent holds; an empty input gives an empty result. A node on a cycle or below one has
-    ``in_cycle``, depth -1 and no root. ``mark`` names a boolean column; ``marked`` is then the
-    nearest ancestor that has it. Children are visited in key order, so ``visit`` is stable and no two
-    nodes of trees in one scope share it. Without ``with_order`` it and ``descendants`` may be null.
-    A scope of at most ``component_limit`` rows is itself a union of components and needs no search
-    for them; larger scopes are cut into components, and components beyond the limit take doubling.
+    and nodes without any link are left out. Null nodes are ignored; an empty input gives an empty
+    result. Of repeated nodes the row with the largest ``latest`` holds, or without it the smallest
+    non-null parent and any mark. A node on a cycle or below one has ``in_cycle``, depth -1 and no root.
+    ``mark`` names a boolean column; ``marked`` is then the nearest ancestor that has it, and ``answered``
+    tells whether a node is that of one with ``reply``. ``carry`` names columns that are handed through;
+    they need ``latest`` and names other than those of the result. Children are visited in key order, so
+    ``visit`` is stable and no two nodes of trees in one scope share it. Without ``with_order`` it and
+    ``descendants`` may be null. ``finish`` adds columns that depend on the whole scope.
+    A scope of at most ``component_limit`` rows is brought together in one shuffle; larger scopes are cut
+    into components, and components beyond the limit take doubling.
     """
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c else F.lit(False)
     base = rows.select(
-        (F.col(scope).cast("string") if scope else F.lit("")).alias("scope"), F.col(node).cast("string").alias("node"),
-        F.col(parent).cast("string").alias("parent"), (F.coalesce(F.col(mark), F.lit(False)) if mark else F.lit(False)).alias("mark"),
+        F.coalesce(F.col(scope).cast("string") if scope else F.lit(""), F.lit("")).alias("scope"), F.col(node).cast("string").alias("node"), F.col(parent).cast("string").alias("parent"),
+        flag(mark).alias("mark"), flag(reply).alias("reply"), *carry, *([latest.alias("latest")] if latest is not None else []),
     ).filter("node IS NOT NULL")
-    base = base.withColumn("scope", F.coalesce("scope", F.lit(""))).groupBy("scope", "node").agg(F.min("parent").alias("parent"), F.max("mark").alias("mark"))
-    base = checkpoint(base)
+    kinds = dict(base.dtypes)
+    carried = ", ".join(f"`{c}` {kinds[c]}" for c in carry)
+
+    def folded(df: DataFrame) -> DataFrame:
+        grouped = df.groupBy("scope", "node")
+        if latest is None:
+            return grouped.agg(F.min("parent").alias("parent"), F.max("mark").alias("mark"), F.max("reply").alias("reply"))
+        return grouped.agg(F.max(F.struct("latest", "parent", "mark", "reply", *carry)).alias("v")).select("scope", "node", *(f"v.{c}" for c in ("parent", "mark", "reply", *carry)))
+
+    def buckets(total: int) -> int:
+        return max(1, -(-total // bucket_rows), rows.sparkSession.sparkContext.defaultParallelism if total > 10_000 else 1)
+
+    small = None
     if scope:
         sizes = base.groupBy("scope").agg(F.count("*").alias("rows_in_scope"))
         total, largest = sizes.agg(F.coalesce(F.sum("rows_in_scope"), F.lit(0)), F.coalesce(F.max("rows_in_scope"), F.lit(0))).first()
+        whole = base
+        if largest > component_limit:
+            large = F.broadcast(sizes.filter(F.col("rows_in_scope") > component_limit).select("scope"))  # at most total / component_limit rows
+            whole, base = base.join(large, "scope", "left_anti"), checkpoint(folded(base.join(large, "scope", "left_semi")))
+        # one exchange by scope; the fold of repeated nodes and the traversal both keep it
+        small = _bucket_traversal(folded(whole.repartition(buckets(total), "scope")), with_paths, carried, finish=finish)
         if largest <= component_limit:
-            return _bucket_traversal(base.withColumn("component", F.xxhash64("scope")), total, bucket_rows, with_paths)
-        large = sizes.filter(F.col("rows_in_scope") > component_limit).select("scope")  # at most total / component_limit rows
-        small = _bucket_traversal(base.join(large, "scope", "left_anti").withColumn("component", F.xxhash64("scope")), total, bucket_rows, with_paths)
-        base = base.join(large, "scope", "left_semi")
+            return small
     else:
-        small, total = None, base.count()
+        base = checkpoint(folded(base))
+        total = base.count()
     links = base.filter("parent IS NOT NULL").join(base.select("scope", F.col("node").alias("parent")), ["scope", "parent"], "left_semi")
     links = checkpoint(links.select(F.xxhash64("scope", "node").alias("a"), F.xxhash64("scope", "parent").alias("b")))
     labels = connected_components(links, hot_rows).unionByName(links.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))).groupBy(F.col("node").alias("h")).agg(F.min("component").alias("component"))
     labelled = checkpoint(base.withColumn("h", F.xxhash64("scope", "node")).join(labels, "h", "left" if scope else "inner").withColumn("component", F.coalesce("component", "h")).drop("h"))
     sizes = labelled.groupBy("component").agg(F.count("*").alias("n"))
     largest = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    if largest <= component_limit:
-        out = _bucket_traversal(labelled, total, bucket_rows, with_paths, apart=True)
-    else:
-        huge = sizes.filter(F.col("n") > component_limit).select("component")
-        out = _bucket_traversal(labelled.join(huge, "component", "left_anti"), total, bucket_rows, with_paths, apart=True)
-        out = out.unionByName(_doubling(checkpoint(labelled.join(huge, "component", "left_semi")), total, with_paths, with_order, hot_rows))
+    ordinary = labelled
+    if largest > component_limit:
+        huge = F.broadcast(sizes.filter(F.col("n") > component_limit).select("component"))  # at most total / component_limit rows
+        ordinary = labelled.join(huge, "component", "left_anti")
+    out = _bucket_traversal(ordinary.repartition(buckets(total), "component"), with_paths, carried, apart=True)
+    if largest > component_limit:
+        out = out.unionByName(_doubling(checkpoint(labelled.join(huge, "component", "left_semi")), total, with_paths, with_order, hot_rows, carry))
+    if finish:
+        out = finish.frame(out)
     return out if small is None else small.unionByName(out)
 
 

@@ -31,18 +31,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, in_loop: bool = False) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder of the cluster.
 
-    The folder is ``spark.checkpoint.dir``. Only where that is unset (local tests) a temporary
-    folder of this process is used, and removed when the process ends.
+    The folder is ``spark.checkpoint.dir``. Only in local mode, where that is unset, a temporary folder of
+    this process is used, and removed when the process ends; on a cluster an unset folder is an error.
+    A checkpoint keeps the constraints that the optimizer inferred; ``in_loop`` leaves them out, since
+    from round to round of a loop they would double.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="threadloom-checkpoint-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    if not in_loop:
+        return df.checkpoint(eager=True)
+    name = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
