@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.conversations import broken_chats, broken_sessions, chat_turns, fold_messages, session_turns
-from threadloom.session import checkpoint, table
+from threadloom.llm.conversations import broken_chats, broken_sessions, chat_turns, session_turns
+from threadloom.session import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    chats = broken_chats(checkpoint(fold_messages(table(spark, d, "chat_messages"))), table(spark, d, "conversations"))
+    chats = broken_chats(table(spark, d, "chat_messages"), table(spark, d, "conversations"))
     sessions = broken_sessions(table(spark, d, "exchanges"), table(spark, d, "sessions"))
     return chats.withColumn("src", F.lit("chat_messages")).unionByName(sessions.withColumn("src", F.lit("exchanges"))).select("src", "conv_key", "reason")
 
 
 def p1_chat_turns(spark: SparkSession, d: str) -> DataFrame:
-    return chat_turns(table(spark, d, "chat_messages"), table(spark, d, "conversations"))
+    return chat_turns(table(spark, d, "chat_messages"))
 
 
 def p1_session_turns(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +30,7 @@ _BLANK = r"(NOT coalesce(regexp_matches({0}, '[\p{{L}}\p{{Nd}}]') AND NOT regexp
 ORACLES = {
     "p1_found": f"""
 WITH RECURSIVE raw AS (SELECT DISTINCT trim(conversation_uuid) AS c, trim(uuid) AS u, text, lower(trim(sender)) AS s,
-    CASE WHEN regexp_matches(trim(parent_message_uuid), '^[0-]*$') THEN NULL ELSE trim(parent_message_uuid) END AS p FROM chat_messages),
+    CASE WHEN translate(trim(parent_message_uuid), '0-', '') = '' OR trim(parent_message_uuid) = '00000000-0000-4000-8000-000000000000' THEN NULL ELSE trim(parent_message_uuid) END AS p FROM chat_messages),
 msg AS (SELECT *, CASE WHEN s IN ('human', 'user') THEN 'h' WHEN s IN ('assistant', 'ai') THEN 'a' ELSE 'o' END AS r,
     NOT {_BLANK.format("text")} AND s IN ('human', 'user', 'assistant', 'ai') AS vis FROM raw),
 msgs AS (SELECT c, u, p, r, coalesce(vis, false) AS vis, coalesce(s, '') = '' AS nosender FROM msg),
