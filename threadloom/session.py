@@ -36,8 +36,8 @@ def checkpoint(df: DataFrame, in_loop: bool = False) -> DataFrame:
 
     The folder is ``spark.checkpoint.dir``. Only in local mode, where that is unset, a temporary folder of
     this process is used, and removed when the process ends; on a cluster an unset folder is an error.
-    A checkpoint keeps the constraints that the optimizer inferred; ``in_loop`` leaves them out, since
-    from round to round of a loop they would double.
+    A checkpoint keeps the size that the optimizer estimated, for a join the product of both sides.
+    ``in_loop`` leaves it unknown, since its digits would double with every round of joins.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -49,12 +49,8 @@ def checkpoint(df: DataFrame, in_loop: bool = False) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="threadloom-checkpoint-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
+    cut = df.checkpoint(eager=True)
     if not in_loop:
-        return df.checkpoint(eager=True)
-    name = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(name, before)
+        return cut
+    rows = spark._jsparkSession.internalCreateDataFrame(cut._jdf.queryExecution().toRdd(), cut._jdf.schema(), False)
+    return DataFrame(rows, spark)
