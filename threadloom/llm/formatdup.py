@@ -1,8 +1,9 @@
 """Records that differ only in dress: white space, case, punctuation or order of named fields.
 
-Each distinct value of a batch is brought to canonical form once and encoded as integers: 128-bit
-content identifiers in two longs. A record becomes a sorted tuple of its fields' integers, and only
-those compact tuples are shuffled and grouped.
+Each distinct value of an Arrow batch is brought to canonical form once and encoded as integers: 128-bit
+content identifiers in two longs, the same in every task without a dictionary that would have to be
+shuffled or sent. A record becomes a sorted tuple of its fields' integers, and only those compact tuples
+are shuffled and grouped. Records are one class if a chain of equal letters or equal fields joins them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.operators.components import connected_components
 from threadloom.operators.skew import HOT_ROWS, join_unique
 from threadloom.session import checkpoint
 
@@ -86,18 +88,42 @@ def encode(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.select(F.col(key).alias("k"), F.col(column).alias("t")).filter("k IS NOT NULL AND t IS NOT NULL").mapInPandas(run, "id bigint, letters array<bigint>, fields array<bigint>")
 
 
-def copy_classes(encoded: DataFrame, by: str) -> DataFrame:
+def _linked_fields(encoded: DataFrame, texts: DataFrame, by: str, hot_rows: int) -> DataFrame:
+    """``(by, first, joined)``: for field tuples that texts of equal letters tie together, the tuple that stands for all of them.
+
+    Equal letters may part into fields in several ways (``ab: c`` and ``a: bc``). Only letters with more than one
+    tuple take part; their tuples get integers, and the components of the links give the classes.
+    """
+    doubtful = texts.filter("fields <> last_fields").select(by, "letters", F.col("fields").alias("first"))
+    forms = encoded.filter("fields IS NOT NULL").select(by, "letters", "fields").distinct()
+    pairs = checkpoint(forms.join(doubtful, [by, "letters"]).select(by, "first", "fields").filter("first <> fields").distinct())
+    tuples = pairs.select(by, F.col("first").alias("fields")).unionByName(pairs.select(by, "fields")).distinct()
+    dictionary = checkpoint(tuples.withColumn("number", F.monotonically_increasing_id()))
+    first = dictionary.select(by, F.col("fields").alias("first"), F.col("number").alias("a"))
+    edges = pairs.join(first, [by, "first"]).join(dictionary.withColumnRenamed("number", "b"), [by, "fields"]).select("a", "b")
+    classes = connected_components(edges, hot_rows)
+    numbered = dictionary.join(classes, dictionary.number == classes.node)
+    least = numbered.groupBy("component").agg(F.min("fields").alias("joined"))
+    return numbered.join(least, "component").select(by, F.col("fields").alias("first"), "joined")
+
+
+def copy_classes(encoded: DataFrame, by: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Distinct ``letters`` with their class: class_id (smallest id), copies and rows of that text.
 
     Texts of equal letters are one class whatever their form; texts of equal fields are one class in
-    any order. Both aggregates combine before the shuffle.
+    any order; what is equal to equal records is in the same class. The aggregates combine before the shuffle.
     """
-    texts = encoded.groupBy(by, "letters").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min("fields").alias("fields"))
-    texts = checkpoint(texts.withColumn("form", F.coalesce("fields", "letters")))
+    texts = encoded.groupBy(by, "letters").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min("fields").alias("fields"), F.max("fields").alias("last_fields"))
+    texts = checkpoint(texts)
+    if not texts.filter("fields <> last_fields").isEmpty():
+        linked = _linked_fields(encoded, texts, by, hot_rows)
+        texts = texts.join(linked, (texts[by] == linked[by]) & (texts.fields == linked["first"]), "left").select(texts[by], "letters", "least", "n", F.coalesce("joined", "fields").alias("fields"))
+        texts = checkpoint(texts)
+    texts = texts.withColumn("form", F.coalesce("fields", "letters"))
     classes = texts.groupBy(by, "form").agg(F.min("least").alias("class_id"), F.sum("n").alias("copies"), F.count("*").alias("spellings"))
     total = texts.count()
-    keyed = texts.withColumn("of", F.struct(by, "form")).drop("form", "fields")
-    return join_unique(keyed, classes.select(F.struct(by, "form").alias("of"), "class_id", "copies", "spellings"), "of", "spellings", total).drop("of")
+    keyed = texts.withColumn("of", F.struct(by, "form")).select(by, "letters", "least", "n", "of")
+    return join_unique(keyed, classes.select(F.struct(by, "form").alias("of"), "class_id", "copies", "spellings"), "of", "spellings", total, hot_rows=hot_rows).drop("of")
 
 
 def format_duplicates(encoded: DataFrame, by: str, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -109,6 +135,6 @@ def format_duplicates(encoded: DataFrame, by: str, hot_rows: int = HOT_ROWS) ->
     """
     encoded = checkpoint(encoded.dropDuplicates([by, "id"]))
     total = encoded.count()
-    classes = copy_classes(encoded, by).filter("copies > 1").select(F.struct(by, "letters").alias("of"), "class_id", "copies", "n")
+    classes = copy_classes(encoded, by, hot_rows).filter("copies > 1").select(F.struct(by, "letters").alias("of"), "class_id", "copies", "n")
     rows = encoded.select(by, "id", F.struct(by, "letters").alias("of"))
     return join_unique(rows, classes, "of", "n", total, hot_rows=hot_rows).select(by, "id", "class_id", "copies")
