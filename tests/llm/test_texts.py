@@ -1,6 +1,8 @@
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from threadloom.llm.lexicon import Lexicon
 from threadloom.llm.pairs import TerminalModel, defect, defective_pairs, fit_terminal_model, is_copy, is_other_language, is_refusal
 from threadloom.llm.pii import TYPES, dress, entity_of, find_pii, surrogate, surrogate_table, with_surrogates
 from threadloom.llm.secrets import find_secrets, redact, secret_spans
-from threadloom.llm.spam import SuffixAutomaton, junk_pages, junk_share
+from threadloom.llm.spam import Repeats, junk_pages, junk_share
 
 KEY = "sk-" + "a1B2" * 7
 
@@ -137,6 +139,7 @@ def test_format_duplicates_match_brute_force(spark, hot):
         "The older copy wins when two disagree.", "  THE older copy wins, when two disagree!", "The older copy wins when three disagree.", '{"topic": "cost meter", "weight": 42, "note": "x y"}', '{\n "weight": 42, "note": "X  y",\n "topic": "cost-meter"}', '“{"topic": "cost meter", "weight": 42, "note": "x y"}”',
         "name: kettle one\ntype: review\nref: build 12345", "Ref:  build 12345\nName: kettle one\ntype: review\n", "name: kettle one\ntype: review\nref: build 12346", "short", None, "", "The older copy wins when two disagree.", '{"topic": {"b": 1, "a": "cost meter value"}}', '{"topic": {"a": "cost meter value", "b": 1}}',
     ]
+    texts += ['{"ab": "cccccccccccccccccccc"}', '{"a": "bcccccccccccccccccccc"}', '{"a":"BCCCCCCCCCCCCCCCCCCCC"}', '{"ab": "cccccccccccccccccccc", "x": 1}', '{"x": 1, "ab": "cccccccccccccccccccc"}', '{"abc": "ccccccccccccccccccc", "x": 1}', '{"x": 1, "abc": "ccccccccccccccccccc"}']
     rows = list(enumerate(texts, 5))
     frame = spark.createDataFrame([*rows, rows[0]], "id bigint, body string").selectExpr("*", "'k' AS k", "'l' AS letters", "1 AS n")
     found = format_duplicates(encode(frame, "id", "body").withColumn("src", F.lit("s")), "src", hot_rows=hot)
@@ -228,14 +231,28 @@ def test_defective_pairs_edges(spark):
 # -- junk pages ---------------------------------------------------------------------------------------
 
 
-def test_suffix_automaton_coverage_matches_brute_force():
+def test_repeated_substrings_match_brute_force():
     r = random.Random(6)
-    for _ in range(30):
-        s = [r.randrange(3) for _ in range(40)]
-        automaton = SuffixAutomaton(s)
-        times = lambda x: sum(s[i : i + len(x)] == x for i in range(len(s) - len(x) + 1))
-        want = [max((n for n in range(i + 2) if n == 0 or times(s[i + 1 - n : i + 1]) >= 3), default=0) for i in range(len(s))]
-        assert automaton.covered(s, 3) == want
+    pages = [[[r.randrange(3) for _ in range(r.randrange(1, 9))] for _ in range(6)] for _ in range(5)]
+    flat = [(p, (p, u), w) for p, units in enumerate(pages) for u, unit in enumerate(units) for w in unit]
+    unit = np.unique([p * 10 + u for p, (_, u), _ in flat], return_inverse=True)[1]
+    repeats = Repeats(np.array([w for *_, w in flat]), np.array([p for p, *_ in flat]), unit)
+    at = {i: flat[i : i + 5] for i in range(len(flat))}
+    for n in range(2, 6):
+        grams = {i: (own[0][0], tuple(w for *_, w in own[:n])) for i, own in at.items() if len(own) >= n and own[0][1] == own[n - 1][1]}
+        times = Counter(grams.values())
+        number, place = repeats.phrases(n, 3, np.ones(len(flat), dtype=bool))
+        assert sorted(place.tolist()) == sorted(i for i, g in grams.items() if times[g] >= 3)
+        assert len({(k, grams[i]) for k, i in zip(number.tolist(), place.tolist())}) == len(set(number.tolist())) == sum(t >= 3 for t in times.values())
+
+
+def test_several_key_phrases_and_links_of_any_length():
+    page = " ".join(f"Our {a} is the {a} for you." for a in ("prompt vault pro", "chat export kit", "agent memory card") for _ in range(4)) + " It is. " * 3
+    assert junk_share(page) > 0.5
+    far = "x" * 9_000
+    assert junk_share(f'<a href="{far}">{"buy lamp " * 900}</a> [{"cheap mug " * 300}](https://x.example/{far}) and so on') > 0.9
+    for text in ("<a " * 40_000, "[" * 80_000, "[a](" * 40_000, "<a>" * 40_000, "| a " * 40_000):
+        assert junk_share(text) <= 1
 
 
 NOUNS = "anchor basin cobble delta ember fable gravel hollow inlet jetty kettle ledge mantle nettle orbit pylon quartz rafter saddle timber".split()
@@ -256,3 +273,18 @@ def test_junk_and_decoys(spark):
     assert {k for k, t in junk.items() if junk_share(t) <= 0.5} == set() and {k for k, t in fine.items() if junk_share(t) > 0.5} == set()
     frame = spark.createDataFrame([(i, t, "k") for i, t in enumerate([*junk.values(), *fine.values()])], "id bigint, body string, k string")
     assert sorted(r.id for r in junk_pages(frame, "id", "body").collect()) == list(range(len(junk))) and junk_pages(frame.limit(0), "id", "body").count() == 0
+
+
+@pytest.mark.parametrize("hot", [10**6, 1])
+def test_classes_joined_through_letters_and_fields_match_brute_force(spark, hot):
+    r = random.Random(11)
+    rows = []
+    for i in range(120):
+        letters, pairs = "ab" * 11, []
+        for base in r.sample(range(3), r.randrange(1, 4)):
+            cut = r.randrange(1, 4)
+            pairs.append((letters[:cut] + "xyz"[base] if r.random() < 0.3 else letters[:cut], letters[cut:] + str(base)))
+        text = "{" + ", ".join(f'"{k}": "{v}"' for k, v in dict(pairs).items()) + "}"
+        rows.append((i, text if r.random() < 0.8 else canonical(text)))
+    found = format_duplicates(encode(spark.createDataFrame(rows, "id bigint, body string"), "id", "body").withColumn("src", F.lit("s")), "src", hot_rows=hot)
+    assert {(x.id, x.class_id) for x in found.collect() if x.id != x.class_id} == brute_classes(rows)

@@ -1,33 +1,37 @@
 """Pages of repeated key phrases, bare links or product tags instead of sentences.
 
-Each page's suffix automaton over words gives its repeated maximal substrings. Text is cut into units
-(lines, sentences, list items); units without clause structure that repeats cover, units that only
-repeat the page's key phrase, links with their labels, and tags are junk. A page is junk if they hold
-more than half of its words.
+The repeated substrings of a page come from the ranks of a suffix array over words, built for hundreds of
+pages at once; they have the substrings and counts that a suffix automaton of each page has. Text is cut
+into units (lines, sentences, list items); units without clause structure that repeats cover, units that
+only repeat one of the page's key phrases, links with their labels, and tags are junk. A page is junk if they
+hold more than half of its words.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Share of a page's words beyond which the page is junk.
 SHARE = 0.5
-#: Times a phrase occurs on a page before it can be a key phrase.
-REPEATS = 5
+#: Times a phrase occurs on a page before it can be a key phrase, its longest size in words, and how often units repeat it within themselves.
+REPEATS, PHRASE, DOUBLED = 5, 5, 3
 #: Times a word or phrase occurs before it counts as repeated within lists of tags.
 LIST_REPEATS = 3
+#: Pages whose substrings are counted together.
+PAGES = 500
 #: Items that make a list of tags, and the share of its characters that repeated substrings cover.
 LIST_ITEMS, LIST_COVER = 12, 0.25
 _WORD = re.compile(r"[^\W_]+")
-_LINK = re.compile(r"<a\b[^>]{0,2000}>.{0,2000}?</a>|!?\[[^\]\n]{0,500}\]\([^)\s]{0,2000}\)|(?:https?://|www\.)[^\s<>\")\]]+", re.S | re.I)
+_ANCHOR = re.compile(r"<a\b[^<>]*+>", re.I)
+_LINK = re.compile(r"!?\[[^\[\]\n]*+\]\([^()\s]*+(?:\([^()\s]*+\)[^()\s]*+)*+\)|(?:https?://|www\.)[^\s<>\")\]]+", re.I)
 _TAG = re.compile(r"(?<![\w&])#[^\W\d_][\w\-]*|(?<![\w&])#\d+[^\W\d_][\w\-]*")
-_MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]{0,2000}>")
+_MARKUP = re.compile(r"</?[a-zA-Z][^<>\n]*+>")
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _UNIT = re.compile(r"[^.!?\n]+[.!?]*")
 _ITEM = re.compile(r"[,;|·•»→]")
@@ -54,150 +58,147 @@ def _names_file(line: str) -> bool:
     return bool(parts) and "/" in parts[0] and _FILE.search(parts[0][-8:]) is not None and (len(parts) == 1 or parts[1][0].isdigit())
 
 
-class SuffixAutomaton:
-    """All substrings of a sequence; ``repeats`` gives the occurrences of each right-maximal class."""
-
-    def __init__(self, sequence: list[int]) -> None:
-        self.link, self.length, self.next, self.first_end = [-1], [0], [{}], [-1]
-        self.count = [0]
-        last = 0
-        for at, symbol in enumerate(sequence):
-            current = len(self.length)
-            self.length.append(self.length[last] + 1)
-            self.link.append(0)
-            self.next.append({})
-            self.first_end.append(at)
-            self.count.append(1)
-            p = last
-            while p >= 0 and symbol not in self.next[p]:
-                self.next[p][symbol] = current
-                p = self.link[p]
-            if p >= 0:
-                q = self.next[p][symbol]
-                if self.length[q] == self.length[p] + 1:
-                    self.link[current] = q
-                else:
-                    clone = len(self.length)
-                    self.length.append(self.length[p] + 1)
-                    self.link.append(self.link[q])
-                    self.next.append(dict(self.next[q]))
-                    self.first_end.append(self.first_end[q])
-                    self.count.append(0)
-                    while p >= 0 and self.next[p].get(symbol) == q:
-                        self.next[p][symbol] = clone
-                        p = self.link[p]
-                    self.link[q] = self.link[current] = clone
-            last = current
-        for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
-            self.count[self.link[state]] += self.count[state]
-
-    def covered(self, sequence: list[int], least: int) -> list[int]:
-        """At each place the length of the longest substring ending there that occurs ``least`` times or more."""
-        out, state, length = [], 0, 0
-        for symbol in sequence:
-            while state and (symbol not in self.next[state] or self.count[self.next[state][symbol]] < least):
-                state = self.link[state]
-                length = self.length[state]
-            following = self.next[state].get(symbol)
-            if following is not None and self.count[following] >= least:
-                state, length = following, min(length + 1, self.length[following])
-            else:
-                state, length = 0, 0
-            out.append(length)
-        return out
+class Repeats:
+    """Substrings of up to ``PHRASE`` words of many pages at once, each numbered and counted within its page.
 
+    The ranks of a suffix array, by doubling: a substring of n words is the pair of the numbers of its first
+    and last part, and one sort numbers all pairs of a batch. A substring never leaves its unit.
+    """
 
-def key_phrase(automaton: SuffixAutomaton, sequence: list[int], names: list[str], least: int = REPEATS) -> tuple[str, ...]:
-    """The repeated maximal substring of 2 to 5 words that covers most of the page, without outer function words."""
-    best, chosen = 0, ()
-    for state in range(1, len(automaton.length)):
-        n, times = automaton.length[state], automaton.count[state]
-        if times < least or n < 2:
-            continue
-        end = automaton.first_end[state] + 1
-        for size in range(max(2, automaton.length[automaton.link[state]] + 1), min(5, n) + 1):
-            phrase = tuple(names[s] for s in sequence[end - size : end])
-            if phrase[0] in _FUNCTION or phrase[-1] in _FUNCTION or "\n" in phrase:
-                continue
-            if times * size > best:
-                best, chosen = times * size, phrase
-    return chosen
+    def __init__(self, words: np.ndarray, pages: np.ndarray, units: np.ndarray) -> None:
+        self.units = units
+        _, first = np.unique(pages * (int(words.max(initial=0)) + 1) + words, return_inverse=True)
+        self.ranks = {1: first}
+        for n, left in ((2, 1), (3, 2), (4, 2), (5, 4)):
+            self.ranks[n] = self._joined(left, n - left, n)
 
+    def _joined(self, left: int, right: int, n: int) -> np.ndarray:
+        """The number of the n words from each place on, -1 where the unit ends before."""
+        out = np.full(len(self.units), -1, dtype=np.int64)
+        at = np.arange(max(0, len(self.units) - n + 1))
+        at = at[self.units[at] == self.units[at + n - 1]]
+        a, b = self.ranks[left][at], self.ranks[right][at + left]
+        _, out[at] = np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)
+        return out
 
-def _holds(unit: list[str], phrase: tuple[str, ...]) -> int:
-    n = len(phrase)
-    return sum(tuple(unit[i : i + n]) == phrase for i in range(len(unit) - n + 1)) if n else 0
+    def phrases(self, n: int, least: int, allowed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(number, place) of the n-word substrings that occur ``least`` times and begin and end at ``allowed`` places."""
+        rank = self.ranks[n]
+        at = np.flatnonzero(rank >= 0)
+        at = at[allowed[at] & allowed[at + n - 1]]
+        number, times = np.unique(rank[at], return_counts=True)
+        keep = np.isin(rank[at], number[times >= least])
+        return rank[at][keep], at[keep]
 
 
-def junk_share(text: str | None) -> float:
-    """Share of a text's words that are junk, 0 for null, empty and wordless texts."""
-    if not text:
-        return 0.0
-    total = sum(1 for _ in _WORD.finditer(text))
-    if not total:
-        return 0.0
+def _units(text: str) -> tuple[int, int, list[tuple[list[str], bool]], int]:
+    """(words of the text, junk words of links and tags, units as words and whether they have clause structure, fragments)."""
+    total = len(_WORD.findall(text))
     junk = 0
 
     def take(m: re.Match) -> str:
         nonlocal junk
-        junk += sum(1 for _ in _WORD.finditer(m.group()))
+        junk += len(_WORD.findall(m.group()))
         return " "
 
-    rest = _FENCE.sub("\n", text)
-    rest = _LINK.sub(take, rest)
-    rest = _TAG.sub(take, _MARKUP.sub("\n", rest))
-    units: list[tuple[list[str], bool]] = []  # words, has clause structure
+    rest = _FENCE.sub("\n", text) if "```" in text else text
+    if "<" in rest:
+        rest, junk = _without_anchors(rest)
+    if "](" in rest or "://" in rest or "www." in rest.lower():
+        rest = _LINK.sub(take, rest)
+    if "<" in rest:
+        rest = _MARKUP.sub("\n", rest)
+    if "#" in rest:
+        rest = _TAG.sub(take, rest)
+    units: list[tuple[list[str], bool]] = []
     fragments = 0
     for line in rest.split("\n"):
-        if not line.strip() or line.lstrip().startswith("#") or _names_file(line) or (_LAID_OUT.match(line) and not re.search(r"\w\s*\|\s*\w.*\w\s*\|\s*\w.*\w\s*\|\s*\w", line.strip().strip("|") if not line.lstrip().startswith("|") else "")):
+        if not line.strip() or line.lstrip().startswith("#") or _names_file(line) or (_LAID_OUT.match(line) and not _row_of_items(line)):
             continue
         for sentence in _UNIT.findall(line):
             own = _WORD.findall(sentence.lower())
             if not own:
                 continue
-            functional = sum(w in _FUNCTION for w in own)
             items = _ITEM.split(sentence)
-            short = sum(1 for i in items if 0 < len(_WORD.findall(i)) <= 6)
-            listed = len(items) >= 6 and short >= 0.9 * len(items)
-            if listed:
-                split = [_WORD.findall(i.lower()) for i in items]
+            split = [_WORD.findall(i.lower()) for i in items] if len(items) >= 6 else []
+            if split and sum(0 < len(i) <= 6 for i in split) >= 0.9 * len(items):
                 units += [(i, False) for i in split if i]
                 fragments += len(split)
             else:
+                functional = sum(map(_FUNCTION.__contains__, own))
                 clause = functional >= 1 and len(own) >= 4 and (sentence.rstrip()[-1:] in ".!?" or functional >= 2)
                 units.append((own, clause))
                 fragments += not clause
-    if not units:
-        return junk / total
-    index: dict[str, int] = {"\n": 0}
-    sequence: list[int] = []
-    for own, _ in units:
-        sequence += [index.setdefault(w, len(index)) for w in own]
-        sequence.append(0)
-    names = list(index)
-    automaton = SuffixAutomaton(sequence)
-    covered = automaton.covered(sequence, LIST_REPEATS)
-    phrase = key_phrase(automaton, sequence, names)
-    doubled = sum(max(0, _holds(own, phrase) - 1) for own, _ in units)
-    stuffed = doubled >= 3 or (phrase and sum(_holds(own, phrase) > 0 for own, clause in units if not clause) >= REPEATS)
-    at = 0
-    listed_words = covered_words = 0
-    for own, clause in units:
-        lengths = covered[at : at + len(own)]
-        at += len(own) + 1
-        held, reach = [False] * len(own), len(own)
-        for i in range(len(own) - 1, -1, -1):  # a word is held if a substring that ends at it or later begins at it or before
-            if lengths[i]:
-                reach = min(reach, i - lengths[i] + 1)
-            held[i] = reach <= i
-        if stuffed and _holds(own, phrase):
-            junk += len(own)
-        elif not clause and len(own) <= 6:
-            listed_words += len(own)
-            covered_words += sum(len(w) for w, h in zip(own, held) if h) / max(1, sum(map(len, own))) * len(own)
-    if fragments >= LIST_ITEMS and listed_words and covered_words >= LIST_COVER * listed_words:
-        junk += listed_words
-    return junk / total
+    return total, junk, units, fragments
+
+
+def _without_anchors(text: str) -> tuple[str, int]:
+    """The text without ``<a ...>...</a>``, and the words in them; one pass, whatever their length."""
+    out, last, words, lower = [], 0, 0, None
+    for m in _ANCHOR.finditer(text):
+        if m.start() < last:
+            continue
+        lower = lower or text.lower()
+        end = lower.find("</a>", m.end())
+        if end < 0:
+            break
+        out += [text[last : m.start()], " "]
+        last = end + 4
+        words += len(_WORD.findall(text, m.start(), last))
+    return ("".join([*out, text[last:]]), words) if out else (text, 0)
+
+
+def _row_of_items(line: str) -> bool:
+    """Whether a line that does not begin with a bar is a run of four or more items between bars."""
+    if line.lstrip().startswith("|") or line.count("|") < 3:
+        return False
+    cells = [c.strip() for c in line.strip().strip("|").split("|")]
+    return sum(bool(a and b and (a[-1].isalnum() or a[-1] == "_") and (b[0].isalnum() or b[0] == "_")) for a, b in zip(cells, cells[1:])) >= 3
+
+
+def junk_shares(texts: list[str | None]) -> list[float]:
+    """For each text the share of its words that are junk, 0 for null, empty and wordless texts."""
+    pages = [_units(t) if t else (0, 0, [], 0) for t in texts]
+    words = [w for _, _, units, _ in pages for own, _ in units for w in own]
+    sizes = np.array([len(own) for _, _, units, _ in pages for own, _ in units], dtype=np.int64)
+    clause = np.array([c for _, _, units, _ in pages for _, c in units], dtype=bool)
+    page_of = np.repeat(np.arange(len(pages)), [len(units) for _, _, units, _ in pages])
+    junk = np.array([j for _, j, _, _ in pages], dtype=float)
+    if words:
+        index: dict[str, int] = {}
+        ids = np.array([index.setdefault(w, len(index)) for w in words], dtype=np.int64)
+        unit = np.repeat(np.arange(len(sizes)), sizes)
+        repeats = Repeats(ids, page_of[unit], unit)
+        stuffed = _stuffed(repeats, np.array([w not in _FUNCTION for w in index])[ids], unit, clause, len(sizes))
+        # a place lies in a substring that occurs LIST_REPEATS times exactly if its own word does
+        times = np.bincount(repeats.ranks[1])
+        chars = np.array([len(w) for w in index])[ids]
+        held = np.bincount(unit, chars * (times[repeats.ranks[1]] >= LIST_REPEATS), len(sizes)) / np.maximum(1, np.bincount(unit, chars, len(sizes)))
+        listed = ~stuffed & ~clause & (sizes <= 6)
+        junk += np.bincount(page_of, sizes * stuffed, len(pages))
+        listed_words, covered = np.bincount(page_of, sizes * listed, len(pages)), np.bincount(page_of, held * sizes * listed, len(pages))
+        fragments = np.array([f for *_, f in pages])
+        junk += np.where((fragments >= LIST_ITEMS) & (listed_words > 0) & (covered >= LIST_COVER * listed_words), listed_words, 0)
+    return [float(j / t) if t else 0.0 for j, (t, *_) in zip(junk, pages)]
+
+
+def _stuffed(repeats: Repeats, allowed: np.ndarray, unit: np.ndarray, clause: np.ndarray, units: int) -> np.ndarray:
+    """Units that hold a key phrase of their page: one that units repeat within themselves, or that many fragments hold."""
+    out = np.zeros(units, dtype=bool)
+    for n in range(2, PHRASE + 1):
+        number, at = repeats.phrases(n, REPEATS, allowed)
+        if not len(at):
+            continue
+        pair, times = np.unique(number * units + unit[at], return_counts=True)
+        phrase, of = pair // units, pair % units
+        _, phrase = np.unique(phrase, return_inverse=True)
+        again, fragments = np.bincount(phrase, times - 1), np.bincount(phrase, ~clause[of])
+        out[of[((again >= DOUBLED) | (fragments >= REPEATS))[phrase]]] = True
+    return out
+
+
+def junk_share(text: str | None) -> float:
+    return junk_shares([text])[0]
 
 
 def junk_pages(df: DataFrame, key: str, column: str, share: float = SHARE) -> DataFrame:
@@ -205,7 +206,8 @@ def junk_pages(df: DataFrame, key: str, column: str, share: float = SHARE) -> Da
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(k, s) for k, t in zip(batch["k"].tolist(), batch["t"].tolist()) if (s := junk_share(t)) > share]
+            keys, texts = batch["k"].tolist(), batch["t"].tolist()
+            found = [(k, s) for at in range(0, len(keys), PAGES) for k, s in zip(keys[at : at + PAGES], junk_shares(texts[at : at + PAGES])) if s > share]
             yield pd.DataFrame(found, columns=[key, "junk_share"])
 
     return df.select(F.col(key).alias("k"), F.col(column).alias("t")).filter("t IS NOT NULL").mapInPandas(run, f"`{key}` {dict(df.dtypes)[key]}, junk_share double")
