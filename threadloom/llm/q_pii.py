@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.pii import pii_spans, redact, with_surrogates
-from threadloom.session import table
+from threadloom.llm.pii import collisions, entity_mentions, pii_spans, redact, with_surrogates
+from threadloom.session import checkpoint, table
 
 FIELDS = (("exchanges", "human_text"), ("exchanges", "agent_text"), ("memories", "content"))
 
@@ -34,5 +34,10 @@ def p2_surrogates(spark: SparkSession, d: str, secret: str = "change this key")
     return with_surrogates(texts(spark, d), ["src", "row_id", "field_name"], "text", secret)
 
 
-QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted, "p2_surrogates": p2_surrogates}
+def p2_collisions(spark: SparkSession, d: str, secret: str = "change this key") -> DataFrame:
+    """Stand-ins of all entities that two of them would share as written: none."""
+    return collisions(checkpoint(entity_mentions(texts(spark, d), ["src", "row_id", "field_name"], "text")), secret)
+
+
+QUERIES = {"p2_found": p2_found, "p2_collisions": p2_collisions, "p2_redacted": p2_redacted, "p2_surrogates": p2_surrogates}
 ORACLES: dict[str, str] = {}
