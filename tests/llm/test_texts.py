@@ -54,6 +54,17 @@ def test_credentials_without_digits_and_with_slashes():
         assert find_secrets([f"password = {value}"]) == [[]], value
 
 
+def test_credentials_of_any_length_and_more_formats():
+    far = "aB3$" * 400
+    for text, value in ((f'password="{far}"', far), (f"password={far}", far), (f"postgres://{'u' * 900}:{far}@h/db", far), (f'variable "{"x" * 300}_secret" {{\n{"# note" * 500}\n  default = "{KEY}"\n}}', KEY), ("x " * 4_000 + f'String p = "{KEY}"; // password', KEY), (f"sshpass {'-v ' * 2_000} -p {KEY} ssh", KEY)):
+        assert [text[a:b] for a, b in find_secrets([text])[0]] == [value]
+    for value in ("hf_" + "aB3dE" * 7, "dop_v1_" + "0a1b" * 16, "SG." + "aB3dE" * 5 + "." + "xY9_-" * 8, "glsa_" + "aB3dE" * 6 + "_0a1b2c3d"):
+        assert [f"use {value} now"[a:b] for a, b in find_secrets([f"use {value} now"])[0]] == [value]
+    assert [(t := f"AccountKey={'aB3/' * 21}Q==;End")[a:b] for a, b in find_secrets([f"AccountKey={'aB3/' * 21}Q==;End"])[0]] == ["aB3/" * 21 + "Q=="]
+    for text in ("token=" * 30_000, " -p x" * 30_000, "// token " * 20_000, 'password="' * 20_000, "://a:" * 30_000):
+        find_secrets([text])
+
+
 def test_secrets_in_long_texts_and_redaction(spark):
     text = "word " * 4000 + f"token={KEY}" + " word" * 4000
     assert [text[a:b] for a, b in find_secrets([text])[0]] == [KEY]
