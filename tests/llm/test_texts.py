@@ -234,6 +234,11 @@ def test_defects():
         ("Die ältere Fassung bleibt gültig, bis jemand sie ausdrücklich ersetzt. Der Fehler ist nicht mehr da.", "other_language"),
     ):
         assert defect(ask, answer, model) == kind, answer
+    long = "I'm sorry, but I can't help with that. I don't feel comfortable answering this. " * 12
+    assert is_refusal(long) and len(long) > 900 and not is_refusal(long + "The index is at src/a.py, start there.")
+    asked = "Why does the anchor skip rows from the sidecar after the nightly sync although the cursor was moved and the table was rebuilt before the run?"
+    assert is_copy(asked, asked.replace("nightly", "weekly")) and is_copy(asked, "Quote: " + asked.upper().replace("ROWS ", "")) and is_copy(asked, f"{asked} {asked.replace('rows', 'lines')}")
+    assert not is_copy(asked, "The anchor skips rows from the sidecar because the cursor was moved before the nightly sync and the table was rebuilt later.") and not is_copy(asked, asked[:60])
     assert defect(ask + " Please answer in German.", "Die ältere Fassung bleibt gültig, bis jemand sie ausdrücklich ersetzt.", model) is None
     assert not is_refusal("I can't open the old backup, so I used the archive. The rows are there.") and not is_copy(ask, ask + " Because the index was rebuilt with more rows than before.") and not is_other_language("no", "The kettle is fine and the copy is kept.")
 

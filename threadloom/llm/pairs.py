@@ -11,8 +11,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
@@ -22,6 +22,10 @@ from threadloom.llm.blank import blank
 
 #: Compressed size, as a share of the answer plus a constant, up to which an answer may be a copy.
 COPY_SHARE, COPY_BYTES = 0.12, 40
+#: One word in so many may be changed, put in or left out in a copy of a question; and the bytes that each may cost.
+COPY_WORDS, WORD_BYTES = 12, 10
+#: Pieces of the question, and their length, of which a copy of it holds one.
+PROBES, PROBE_CHARS = 8, 12
 #: Words of a terminal context, and the share (one in so many answers) from which an unpunctuated ending is usual.
 CONTEXT, FINAL_SHARE = 4, 1_000
 #: Words back, from the last, of the wider context that decides where the near one is rare.
@@ -58,11 +62,10 @@ _REFUSAL = re.compile(
     r"|told not to|nothing i can add|leave (?:it there|this one|unanswered)|unanswered for|for safety reasons|not be appropriate for me|would not be appropriate|i (?:decline|refuse)|not something i can"
     r"|kann ich (?:dir |ihnen )?(?:leider )?nicht|dabei kann ich|darf ich (?:leider )?nicht|nicht erlaubt|leider ablehnen|muss ich (?:\S+ )?ablehnen|lehne (?:ich|diese)|aus sicherheitsgründen|als sprachmodell|übernehme ich nicht|möchte ich mich|nicht äußern|bin nicht (?:befugt|in der lage)|nicht möglich,? (?:dir|ihnen|das)"
     r"|ne peux pas|ne puis|m'est pas permis|n'est pas permis|dois refuser|refuser cette demande|pas le droit|modèle de langue|raisons de sécurité|ne pas m'exprimer|ne suis pas en mesure|ne m'en (?:occuperai|chargerai)|préfère ne pas|pas autorisé"
-    r"|no puedo|no me está permitido|no está permitido|tengo que rechazar|debo rechazar|modelo de lenguaje|no tengo permiso|razones de seguridad|motivos de seguridad|no me voy a encargar|prefiero no|no estoy (?:autorizado|en condiciones)|no es posible para mí",
-    re.I,
+    r"|no puedo|no me está permitido|no está permitido|tengo que rechazar|debo rechazar|modelo de lenguaje|no tengo permiso|razones de seguridad|motivos de seguridad|no me voy a encargar|prefiero no|no estoy (?:autorizado|en condiciones)|no es posible para mí"
 )
 # Courtesies that may stand beside a refusal without answering anything.
-_COURTESY = re.compile(r"another question|anything else|happy to (?:take|help)|please ask someone|ask someone|thanks? (?:you )?for asking|sorry|apolog|unfortunately|wende dich|frag bitte|andere frage|leider|tut mir leid|entschuldig|désolé|autre question|adressez|adresse-toi|demandez|demande à quelqu|lo siento|otra pregunta|pregunta a quien|disculp|lamento", re.I)
+_COURTESY = re.compile(r"another question|anything else|happy to (?:take|help)|please ask someone|ask someone|thanks? (?:you )?for asking|sorry|apolog|unfortunately|wende dich|frag bitte|andere frage|leider|tut mir leid|entschuldig|désolé|autre question|adressez|adresse-toi|demandez|demande à quelqu|lo siento|otra pregunta|pregunta a quien|disculp|lamento")
 _SENTENCE = re.compile(r"[^.!?;\n]+(?:[.!?](?=\S)[^.!?;\n]*)*")
 _CODE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _TECHNICAL = re.compile(r"\S*[/_\d@#()=<>{}\\]\S*|\b\w*[a-zß-ÿ][A-ZÀ-Þ]\w*|\b\w+-\w+(?:-\w+)*\b|`[^`\n]*`")
@@ -73,40 +76,55 @@ def canonical(text: str) -> str:
 
 
 def is_copy(question: str, answer: str) -> bool:
-    """Whether the answer, without dress, is its question once or more, at most with a few introducing words."""
-    q, a = canonical(question).encode(), canonical(answer).encode()
+    """Whether the answer, without dress, is its question once or more, at most with introducing or a few changed words.
+
+    The answer is compressed with the question as a zstandard dictionary; where that leaves little, the words
+    that the compression could not take from the question are looked at.
+    """
+    if 3 * len(answer) < len(question):
+        return canonical(question) == canonical(answer) != ""  # far too short, unless the question is mostly dress
+    q, a = canonical(question), canonical(answer)
     if not q or not a:
         return False
     if q == a:
         return True
-    if len(q) < 8 or len(a) < len(q):
-        return len(q) >= 3 and a.replace(q, b"") == b""
-    own = zstandard.ZstdCompressionDict(q, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    if len(zstandard.ZstdCompressor(level=1, dict_data=own).compress(a)) > COPY_SHARE * len(a) + COPY_BYTES:
+    if len(q) < 8:
+        return len(q) >= 3 and not a.replace(q, "")
+    if len(a) < 0.9 * len(q) or not any(q[at : at + PROBE_CHARS] in a for at in range(0, len(q), max(1, len(q) // PROBES))):
         return False
-    if q not in a:
+    changed, introduced, words = _left_words(question, answer)
+    allowed = words // COPY_WORDS
+    if changed > allowed:
         return False
-    # what is left must be introducing words only: look for them around the repeated question
-    rest = a.replace(q, b"").decode()
-    return not rest or (len(rest) <= 60 and all(w in _INTRO or w in _WORDS.findall(question.lower()) for w in _left_words(question, answer)))
-
-
-def _left_words(question: str, answer: str) -> list[str]:
-    """Words of the answer beyond those of the repeated question, as a multiset."""
-    have, left = Counter(_WORDS.findall(question.lower())), []
-    seen = Counter(_WORDS.findall(answer.lower()))
-    times = max(1, min((seen[w] // n for w, n in have.items()), default=1))
-    for w, n in seen.items():
-        left += [w] * max(0, n - times * have[w])
-    return left
+    raw = q.encode()
+    own = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    size = len(zstandard.ZstdCompressor(level=1, dict_data=own).compress(a.encode()))
+    return size <= COPY_SHARE * len(raw) + COPY_BYTES + introduced + WORD_BYTES * 2 * changed
+
+
+def _left_words(question: str, answer: str) -> tuple[int, int, int]:
+    """(words put in or left out, letters of introducing words, words of the question), the question once or more often."""
+    have, seen = Counter(_WORDS.findall(question.lower())), Counter(_WORDS.findall(answer.lower()))
+    total = sum(have.values())
+    times = max(1, round(sum(min(n, seen[w]) if seen[w] <= n else seen[w] for w, n in have.items()) / max(1, total)))
+    changed = introduced = 0
+    for w in have.keys() | seen.keys():
+        more = seen[w] - times * have[w]
+        if more > 0 and w in _INTRO:
+            introduced += more * len(w)
+        else:
+            changed += abs(more)
+    # a word exchanged for another is one change; so many are allowed for each time
+    return -(-changed // (2 * times)) if changed else 0, introduced, total
 
 
 def is_refusal(answer: str) -> bool:
     """Whether every sentence of the answer declines or is a courtesy, and one declines."""
-    if len(answer) > 600 or "```" in answer:
+    if "```" in answer:
         return False
     declined = False
-    for sentence in _SENTENCE.findall(answer):
+    for m in _SENTENCE.finditer(answer.lower()):
+        sentence = m.group()
         if not _WORDS.search(sentence):
             continue
         if _REFUSAL.search(sentence):
@@ -116,18 +134,21 @@ def is_refusal(answer: str) -> bool:
     return declined
 
 
-_BIT = {w: tuple(int(w in known) for known in LANGUAGES.values()) for w in frozenset().union(*LANGUAGES.values())}
 _NAMES = tuple(LANGUAGES)
+#: Function words, each with a one in the field of every language that has it: a text's words are summed in one number.
+_FIELD = 32
+_BIT = {w: sum((w in known) << (_FIELD * i) for i, known in enumerate(LANGUAGES.values())) for w in frozenset().union(*LANGUAGES.values())}
+
+
+def _tally(words: list[str]) -> list[int]:
+    """Function words of each language."""
+    whole = sum(map(_BIT.__getitem__, filter(_BIT.__contains__, words)))
+    return [whole >> (_FIELD * i) & (1 << _FIELD) - 1 for i in range(len(_NAMES))]
 
 
 def main_language(text: str) -> str | None:
     """The language whose function words clearly prevail in the whole text."""
-    totals = [0, 0, 0, 0]
-    for word in _WORDS.findall(text.lower()):
-        hit = _BIT.get(word)
-        if hit:
-            for i in range(4):
-                totals[i] += hit[i]
+    totals = _tally(_WORDS.findall(text.lower()))
     first, second = sorted(totals, reverse=True)[:2]
     return _NAMES[totals.index(first)] if first >= second + 2 else None
 
@@ -138,7 +159,7 @@ def languages_of(text: str) -> tuple[Counter, set[str]]:
     possible: set[str] = set()
     for sentence in re.split(r"(?<=[.!?])\s+|\n+", _CODE.sub("\n", text)):
         words = _WORDS.findall(_TECHNICAL.sub(" ", sentence).lower())
-        scores = sorted(((sum(w in known for w in words), name) for name, known in LANGUAGES.items()), reverse=True)
+        scores = sorted(zip(_tally(words), _NAMES), reverse=True)
         if "¿" in sentence or "ñ" in sentence:
             scores = sorted(((s + 2 * (n == "es"), n) for s, n in scores), reverse=True)
         if "ß" in sentence:
@@ -156,7 +177,7 @@ def is_other_language(question: str, answer: str) -> bool:
     """Whether the answer is wholly in a language that the question is not in and did not ask for."""
     first = main_language(answer)
     if first is not None and first == main_language(question) or _ASKS_ANY.search(question):
-        return False
+        return False  # most pairs end here
     asked, maybe_asked = languages_of(question)
     if first in maybe_asked:
         return False
@@ -241,12 +262,6 @@ def ending(text: str) -> bool | tuple[tuple[str, ...], str]:
     return last_context(tail) or False
 
 
-@lru_cache(1 << 17)
-def _form(token: str) -> tuple[str, bool, tuple[str, ...]]:
-    """(shape, whether a sentence stops after it, word parts)."""
-    return shape(token), bool(_END.search(token)) and not token.endswith(".."), tuple(_parts(token))
-
-
 def _asked(context: tuple[str, ...], raw: str) -> Iterator[tuple[str, tuple[str, ...]]]:
     """The counts that ``complete`` looks up for an ending."""
     for n in range(2, CONTEXT + 1):
@@ -256,37 +271,134 @@ def _asked(context: tuple[str, ...], raw: str) -> Iterator[tuple[str, tuple[str,
         yield "part", (part,)
 
 
-def _count(batches: Iterable[list[str | None]], wanted: dict[str, set] | None = None) -> tuple[dict, dict, dict, dict, int]:
-    """(ends, goes_on, parts, finals, answers) of all texts, or only what is ``wanted`` of them."""
-    ends, goes_on, parts, finals, rows = Counter(), Counter(), Counter(), Counter(), 0
-    near, distant, asked_parts = (wanted[k] for k in ("near", "far", "part")) if wanted is not None else (None, None, None)
-    for text in (t for batch in batches for t in batch):
-        if not text or blank(text):
+class _Forms(dict):
+    """Token to number, with what the counts need of each token; made when a token is first seen."""
+
+    def __init__(self, words: dict[str, int]) -> None:
+        super().__init__()
+        self.words = words
+        self.form: list[str] = []
+        self.number: list[int] = []
+        self.stop: list[bool] = []
+
+    def __missing__(self, token: str) -> int:
+        form = shape(token)
+        self.form.append(form)
+        self.number.append(self.words.get(form, 1))
+        self.stop.append(bool(_END.search(token)) and not token.endswith(".."))
+        self[token] = at = len(self) + 1
+        return at
+
+
+class _Keys:
+    """Wanted contexts under exact integer codes, in the order of the codes, and how often each was found."""
+
+    def __init__(self, codes: dict[tuple, int]) -> None:
+        self.keys = sorted(codes, key=codes.__getitem__)
+        self.place = {k: i for i, k in enumerate(self.keys)}
+        self.codes = np.array([codes[k] for k in self.keys], dtype=np.int64)
+        self.totals = np.zeros((2, len(self.keys)), dtype=np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The place of each code, -1 for what is not wanted."""
+        if not self.keys:
+            return np.full(len(codes), -1, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.keys) - 1)
+        return np.where(self.codes[at] == codes, at, -1)
+
+    def add(self, *places: np.ndarray) -> None:
+        for total, found in zip(self.totals, places):
+            total += np.bincount(found[found >= 0], minlength=len(self.keys))
+
+    def counts(self, which: int) -> Iterator[tuple[tuple, int]]:
+        return ((self.keys[i], int(self.totals[which, i])) for i in np.flatnonzero(self.totals[which]).tolist())
+
+
+#: Distinct tokens that a task remembers before it starts afresh.
+MEMO_TOKENS = 200_000
+
+
+def _count(batches: Iterable[list[str | None]], wanted: dict[str, set]) -> tuple[dict, dict, dict, dict, int]:
+    """(ends, goes_on, parts, finals, answers) of all texts, of what is ``wanted``.
+
+    Tokens become numbers of the wanted words, 0 for the start of a unit and 1 for any other word; places whose
+    last two words, or whose wider context, may be wanted are found for all texts of a batch at once.
+    """
+    near, distant, asked_parts = wanted["near"], wanted["far"], {p for (p,) in wanted["part"]}
+    words = {"^": 0}
+    for w in sorted({w for key in (*near, *distant) for w in key} - {"^"}):
+        words[w] = len(words) + 1
+    size = len(words) + 2
+    two = _Keys({k[-2:]: words[k[-2]] * size + words[k[-1]] for k in near})
+    three = _Keys({k[-3:]: words[k[-3]] * len(two) + two.place[k[-2:]] for k in near if len(k) >= 3})
+    four = _Keys({k: words[k[0]] * len(three) + three.place[k[1:]] for k in near if len(k) == 4})
+    half = _Keys({k[:2]: words[k[0]] * size + words[k[1]] for k in distant})
+    far = _Keys({("far", *k): (half.place[k[:2]] * size + words[k[2]]) * size + words[k[3]] for k in distant})
+    parts, finals, rows = Counter(), Counter(), 0
+    memo = _Forms(words)
+    for batch in batches:
+        if len(memo) > MEMO_TOKENS:
+            memo = _Forms(words)
+        tokens: list[int] = []
+        lengths: list[int] = []
+        closing: list[bool] = []
+        raw: Counter = Counter()
+        for text in batch:
+            if not text or blank(text):
+                continue
+            rows += 1
+            lines = [line for line in (_CODE.sub("\n", text) if "```" in text else text).split("\n") if line.strip()]
+            for line in lines:
+                own = _TOKEN.findall(line)
+                raw.update(own)
+                tokens += [memo[t] for t in own]
+                lengths.append(len(own))
+                closing.append(False)
+            if lines:
+                closing[-1] = True
+        if not tokens:
             continue
-        rows += 1
-        lines = [line for line in _CODE.sub("\n", text).split("\n") if line.strip()]
-        for at, line in enumerate(lines):
-            before = ("^",) * FAR[0]
-            tokens = [f for t in _TOKEN.findall(line) if (f := _form(t))[0]]
-            for i, (form, stop, pieces) in enumerate(tokens):
-                last = i == len(tokens) - 1
-                before = (*before[1:], form)
-                if last and at == len(lines) - 1 and not stop:
-                    if near is None or before[-2:] in near:
-                        finals[before[-2:]] += 1  # the text stops here, whole or cut: the counts will tell
-                    continue
-                into = ends if stop or last else goes_on
-                if near is None or before[-2:] in near:
-                    for n in range(2, CONTEXT + 1):
-                        if near is None or before[-n:] in near:
-                            into[before[-n:]] += 1
-                far = before[: -FAR[1] + 1]
-                if distant is None or far in distant:
-                    into["far", *far] += 1
-                parts.update(pieces if asked_parts is None else [p for p in pieces if (p,) in asked_parts])
-                if stop:
-                    before = ("^",) * FAR[0]
-    return dict(ends), dict(goes_on), dict(parts), dict(finals), rows
+        ids = np.array(tokens, dtype=np.int64) - 1
+        line = np.repeat(np.arange(len(lengths)), lengths)
+        formed = np.array([bool(f) for f in memo.form])[ids]
+        ids, line = ids[formed], line[formed]
+        number, stop = np.array(memo.number, dtype=np.int64)[ids], np.array(memo.stop)[ids]
+        n = len(ids)
+        last = np.append(line[1:] != line[:-1], True) if n else np.zeros(0, dtype=bool)
+        begins = np.append(True, last[:-1] | stop[:-1])[:n]
+        place = np.arange(n) - np.maximum.accumulate(np.where(begins, np.arange(n), 0))  # words before it in its unit
+        back = lambda j: np.where(place >= j, np.roll(number, j), 0)
+        final = last & np.array(closing)[line] & ~stop  # the text stops here, whole or cut: the counts will tell
+        ended = stop | last
+        pair = two.find(back(1) * size + number)
+        finals.update(pair[final & (pair >= 0)].tolist())
+        triple = three.find(np.where(pair >= 0, back(2) * len(two) + pair, -1))
+        begin = half.find(back(7) * size + back(6))
+        for keys, found in ((two, pair), (three, triple), (four, four.find(np.where(triple >= 0, back(3) * len(three) + triple, -1))), (far, far.find(np.where(begin >= 0, (begin * size + back(5)) * size + back(4), -1)))):
+            keys.add(found[~final & ended], found[~final & ~ended])
+        names = {at - 1: token for token, at in memo.items()}
+        for i in ids[final].tolist():
+            raw[names[i]] -= 1
+        for token, times in raw.items():
+            if times and memo.form[memo[token] - 1]:
+                for part in _parts(token):
+                    if part in asked_parts:
+                        parts[part] += times
+    ends, goes_on = ({k: n for keys in (two, three, four, far) for k, n in keys.counts(i)} for i in (0, 1))
+    return ends, goes_on, dict(parts), {two.keys[i]: n for i, n in finals.items()}, rows
+
+
+def _endings(texts: Iterable[str | None]) -> dict[str, set]:
+    """The counts that the unpunctuated endings of texts ask for."""
+    wanted: dict[str, set] = {"near": set(), "far": set(), "part": set()}
+    for text in texts:
+        if not blank(text) and not isinstance(end := ending(text), bool):
+            for kind, key in _asked(*end):
+                wanted[kind].add(key)
+    return wanted
 
 
 class TerminalModel:
@@ -297,7 +409,7 @@ class TerminalModel:
 
     @classmethod
     def fit(cls, texts: list[str | None]) -> TerminalModel:
-        return cls(*_count([texts]))
+        return cls(*_count([texts], _endings(texts)))
 
     def complete(self, context: tuple[str, ...], raw: str) -> bool:
         """Whether a text may end with these words and no full stop: the longest context that was seen decides."""
@@ -332,8 +444,8 @@ def fit_terminal_model(df: DataFrame, column: str) -> TerminalModel:
 
     def endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = {(kind, "\n".join(key)) for a in batch["a"].tolist() if not blank(a) and not isinstance(end := ending(a), bool) for kind, key in _asked(*end)}
-            yield pd.DataFrame(sorted(found), columns=["kind", "key"])
+            found = [(kind, "\n".join(key)) for kind, keys in _endings(batch["a"].tolist()).items() for key in sorted(keys)]
+            yield pd.DataFrame(found, columns=["kind", "key"])
 
     wanted: dict[str, set] = {"near": set(), "far": set(), "part": set()}
     for r in held.mapInPandas(endings, "kind string, key string").distinct().toLocalIterator():
