@@ -18,6 +18,10 @@ TEXT_BUDGET = 500
 TERM_WORDS = 8
 
 
+#: A letter or digit, for patterns of Spark and of SQL alike.
+SEEN = r"[\p{L}\p{N}]"
+
+
 def fold(text: Column | str) -> Column:
     """Lower case without diacritics; null stays null."""
     return F.translate(F.lower(text), FOLD_FROM, FOLD_TO)

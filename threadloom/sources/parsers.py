@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 import sqlite3
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -72,16 +70,25 @@ def claude_session(a: Artefact) -> Records:
     own = next((line["sessionId"] for _, line in lines if line.get("sessionId")), a.stem)
     agent = next((line["agentId"] for _, line in lines if line.get("agentId")), None)
     session = Session(agent if side and agent else own, "claude-subagent" if side else "claude", basename(first.get("cwd")) or a.project, metadata={"parent": own} if side else {})
-    session.turns = turns
+    session.turns = _without_open_turn(turns, records)
+    if compactions := sum(line.get("type") == "summary" for _, line in lines):
+        session.metadata["compactions"] = compactions
     records.sessions.append(finish(session))
     return records
 
 
+def _without_open_turn(turns: list[Turn], records: Records) -> list[Turn]:
+    """A last question without any answer is still open: it is read again when the file has grown."""
+    if turns and not (turns[-1].agent_text or turns[-1].tools or turns[-1].thinking):
+        records.deferred.append(turns.pop().human_text[:80])
+    return turns
+
+
 def cowork_audit(a: Artefact) -> Records:
     records = Records()
     lines = list(json_lines(a.text, records))
     own = next((line["session_id"] for _, line in lines if line.get("session_id")), a.stem)
-    session = Session(own, "cowork", a.project, turns=_message_turns(lines, "_audit_timestamp", records))
+    session = Session(own, "cowork", a.project, turns=_without_open_turn(_message_turns(lines, "_audit_timestamp", records), records))
     records.sessions.append(finish(session))
     return records
 
@@ -202,14 +209,20 @@ def whole_file(layer: str, agent: str) -> Callable[[Artefact], Records]:
     return parse
 
 
+# What tells the layer of a block.
+_USER_CUE = re.compile(r"\b(i am|my name|lives in|based in|identity|biography)\b", re.I)
+_FEEDBACK_CUE = re.compile(r"\b(prefer|prefers|review|expect|expects|never|do not|don't|wants|hate|hates)\b", re.I)
+
+
 def hermes_memory(a: Artefact) -> Records:
-    """Blocks between section signs; the layer follows from what a block talks about."""
+    """Blocks between section signs, each known by its file and content; the layer follows from what a block talks about."""
     records = Records()
-    for block in a.text.split("§"):
+    for block in a.text.replace("\r\n", "\n").split("§"):
         text = block.strip()
         if text:
-            layer = "user" if re.search(r"\b(?:operator|user|identity|name is|based in)\b", text, re.I) else "feedback" if re.search(r"\b(?:prefer|never|always|avoid|don't|do not)\b", text, re.I) else "pattern"
-            records.memories.append(Memory(hashlib.sha256(text.encode()).hexdigest(), layer, text, "hermes", a.project, metadata={"file_path": a.path}))
+            layer = "user" if _USER_CUE.search(text) else "feedback" if _FEEDBACK_CUE.search(text) else "pattern"
+            digest = hashlib.sha256(text.encode()).hexdigest()
+            records.memories.append(Memory(f"{a.path}#block={digest}", layer, text, "hermes", a.project, metadata={"file_path": a.path, "block_hash": digest}))
     return records
 
 
@@ -441,29 +454,40 @@ def claude_web_design(a: Artefact) -> Records:
 
 
 def _sqlite(a: Artefact, needed: dict[str, set[str]], run: Callable[[sqlite3.Connection, Records], None]) -> Records:
-    """Open a database file read-only, check that it has the columns, and read it."""
+    """Open a database in memory, check that it has the columns, and read it."""
     records = Records()
-    with tempfile.NamedTemporaryFile(suffix=".db", delete=False) as file:  # the library reads files only; this copy lives for one call
-        file.write(a.content)
+    db = sqlite3.connect(":memory:")
+    db.row_factory = sqlite3.Row
     try:
-        db = sqlite3.connect(f"file:{file.name}?mode=ro", uri=True)
-        db.row_factory = sqlite3.Row
-        try:
-            for name, columns in needed.items():
-                have = {r["name"] for r in db.execute(f"PRAGMA table_info({name})")}
-                if columns - have:
-                    records.drop(a.path, f"table {name} lacks {', '.join(sorted(columns - have))}")
-                    return records
-            run(db, records)
-        finally:
-            db.close()
+        db.deserialize(a.content)
+        for name, columns in needed.items():
+            have = {r["name"] for r in db.execute(f"PRAGMA table_info({name})")}
+            if columns - have:
+                records.drop(a.path, f"table {name} lacks {', '.join(sorted(columns - have))}")
+                return records
+        run(db, records)
     except sqlite3.DatabaseError as error:
         records.drop(a.path, f"no database: {error}")
     finally:
-        os.unlink(file.name)
+        db.close()
     return records
 
 
+def _verdict(content: str) -> tuple[bool, str | None]:
+    """Whether a tool's own words say that it failed: an error, its error flag, or an exit code that is not zero."""
+    try:
+        found = json.loads(content)
+    except ValueError:
+        return False, None
+    if not isinstance(found, dict):
+        return False, None
+    if found.get("error"):
+        return True, str(found["error"])[:PARAMS_BUDGET]
+    code = found.get("exit_code")
+    failed = bool(found.get("isError")) or isinstance(code, (int, float)) and not isinstance(code, bool) and code != 0
+    return failed, content[:PARAMS_BUDGET] if failed else None
+
+
 def hermes_database(a: Artefact) -> Records:
     """A user message opens a turn, the last answer with text closes it, tool results find their call."""
 
@@ -472,6 +496,7 @@ def hermes_database(a: Artefact) -> Records:
             session = Session(str(s["id"]), "hermes", a.project, title=s["title"] if "title" in s.keys() else None)
             calls: dict[str, dict] = {}
             for m in db.execute("SELECT * FROM messages WHERE session_id = ? ORDER BY id", (s["id"],)):
+                named = "tool_name" in m.keys() and m["tool_name"]
                 stamp, text = iso(m["timestamp"]), m["content"] or ""
                 if m["role"] == "user":
                     session.turns.append(Turn(text, human_timestamp=stamp))
@@ -483,10 +508,10 @@ def hermes_database(a: Artefact) -> Records:
                         turn.tools.append(own)
                     if text.strip():
                         turn.agent_text, turn.agent_timestamp = text, stamp
-                elif m["role"] == "tool" and m["tool_call_id"] in calls and re.match(r"\s*error", text, re.I):
-                    calls[m["tool_call_id"]].update(had_error=True, error_message=text[:ERROR_BUDGET])
+                elif m["role"] == "tool" and (call := calls.get(m["tool_call_id"]) or next((c for c in calls.values() if named and c["tool_name"] == m["tool_name"]), None)):
+                    call.update(zip(("had_error", "error_message"), _verdict(text)))
             for turn in session.turns:
-                turn.agent_text = turn.agent_text or ("[tool use]" if turn.tools else "[thinking only]")
+                turn.agent_text = turn.agent_text or ("[tool use]" if turn.tools else "[thinking only]")  # labels of answers without words
             records.sessions.append(finish(session))
 
     return _sqlite(a, {"sessions": {"id"}, "messages": {"id", "session_id", "role", "content", "timestamp", "tool_calls", "tool_call_id"}}, run)
@@ -565,16 +590,38 @@ def cursor_store(a: Artefact) -> Records:
         messages: list[dict] = []
         seen: set[str] = set()
 
+        def varint(data: bytes, at: int) -> tuple[int, int]:
+            value = shift = 0
+            while at < len(data):
+                value |= (data[at] & 127) << shift
+                shift += 7
+                at += 1
+                if not data[at - 1] & 128:
+                    return value, at
+            raise ValueError("unended number")
+
         def children(data: bytes) -> list[str]:
-            """Child hashes of a list blob: length-delimited fields of 32 bytes."""
+            """Child hashes of a list blob: fields 1 of 32 bytes; a blob that is no message of fields has none."""
             out, at = [], 0
-            while at + 2 <= len(data):
-                tag, size = data[at], data[at + 1]
-                if tag & 7 != 2:
-                    break
-                if size == 32 and tag >> 3 == 1:
-                    out.append(data[at + 2 : at + 34].hex())
-                at += 2 + size
+            try:
+                while at < len(data):
+                    key, at = varint(data, at)
+                    wire = key & 7
+                    if wire == 2:
+                        size, at = varint(data, at)
+                        if size > len(data) - at:
+                            return []
+                        if size == 32 and key >> 3 == 1:
+                            out.append(data[at : at + 32].hex())
+                        at += size
+                    elif wire == 0:
+                        _, at = varint(data, at)
+                    elif wire in (1, 5):
+                        at += 8 if wire == 1 else 4
+                    else:
+                        return []
+            except ValueError:
+                return []
             return out
 
         named = {c for d in blobs.values() for c in children(d if isinstance(d, bytes) else d.encode())}
