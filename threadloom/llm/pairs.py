@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -71,8 +72,27 @@ _CODE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _TECHNICAL = re.compile(r"\S*[/_\d@#()=<>{}\\]\S*|\b\w*[a-zß-ÿ][A-ZÀ-Þ]\w*|\b\w+-\w+(?:-\w+)*\b|`[^`\n]*`")
 
 
+#: The same for texts of one byte a character: what is deleted, and a table that leaves only letters apart from blanks.
+_DELETED = bytes(c for c in range(256) if _NOISE.match(chr(c)))
+_BLANKED = bytes(c if _WORDS.match(chr(c)) else 32 for c in range(256))
+
+
 def canonical(text: str) -> str:
-    return _NOISE.sub("", text.lower())
+    """Letters and digits in lower case."""
+    text = text.lower()
+    try:
+        return text.encode("latin-1").translate(None, _DELETED).decode("latin-1")
+    except UnicodeEncodeError:
+        return _NOISE.sub("", text)
+
+
+def _words(text: str) -> list[bytes]:
+    """The runs of letters in lower case, as bytes; letters outside one byte become question marks."""
+    text = text.lower()
+    try:
+        return text.encode("latin-1").translate(_BLANKED).split()
+    except UnicodeEncodeError:
+        return [w.encode("latin-1", "replace") for w in _WORDS.findall(text)]
 
 
 def is_copy(question: str, answer: str) -> bool:
@@ -102,15 +122,18 @@ def is_copy(question: str, answer: str) -> bool:
     return size <= COPY_SHARE * len(raw) + COPY_BYTES + introduced + WORD_BYTES * 2 * changed
 
 
+_INTRO_OF = frozenset(w.encode("latin-1") for w in _INTRO)
+
+
 def _left_words(question: str, answer: str) -> tuple[int, int, int]:
     """(words put in or left out, letters of introducing words, words of the question), the question once or more often."""
-    have, seen = Counter(_WORDS.findall(question.lower())), Counter(_WORDS.findall(answer.lower()))
+    have, seen = Counter(_words(question)), Counter(_words(answer))
     total = sum(have.values())
     times = max(1, round(sum(min(n, seen[w]) if seen[w] <= n else seen[w] for w, n in have.items()) / max(1, total)))
     changed = introduced = 0
     for w in have.keys() | seen.keys():
         more = seen[w] - times * have[w]
-        if more > 0 and w in _INTRO:
+        if more > 0 and w in _INTRO_OF:
             introduced += more * len(w)
         else:
             changed += abs(more)
@@ -138,17 +161,18 @@ _NAMES = tuple(LANGUAGES)
 #: Function words, each with a one in the field of every language that has it: a text's words are summed in one number.
 _FIELD = 32
 _BIT = {w: sum((w in known) << (_FIELD * i) for i, known in enumerate(LANGUAGES.values())) for w in frozenset().union(*LANGUAGES.values())}
+_BIT_OF = {w.encode("latin-1"): n for w, n in _BIT.items()}
 
 
-def _tally(words: list[str]) -> list[int]:
+def _tally(words: list[bytes]) -> list[int]:
     """Function words of each language."""
-    whole = sum(map(_BIT.__getitem__, filter(_BIT.__contains__, words)))
+    whole = sum(map(_BIT_OF.__getitem__, filter(_BIT_OF.__contains__, words)))
     return [whole >> (_FIELD * i) & (1 << _FIELD) - 1 for i in range(len(_NAMES))]
 
 
 def main_language(text: str) -> str | None:
     """The language whose function words clearly prevail in the whole text."""
-    totals = _tally(_WORDS.findall(text.lower()))
+    totals = _tally(_words(text))
     first, second = sorted(totals, reverse=True)[:2]
     return _NAMES[totals.index(first)] if first >= second + 2 else None
 
@@ -158,7 +182,7 @@ def languages_of(text: str) -> tuple[Counter, set[str]]:
     clear: Counter = Counter()
     possible: set[str] = set()
     for sentence in re.split(r"(?<=[.!?])\s+|\n+", _CODE.sub("\n", text)):
-        words = _WORDS.findall(_TECHNICAL.sub(" ", sentence).lower())
+        words = _words(_TECHNICAL.sub(" ", sentence))
         scores = sorted(zip(_tally(words), _NAMES), reverse=True)
         if "¿" in sentence or "ñ" in sentence:
             scores = sorted(((s + 2 * (n == "es"), n) for s, n in scores), reverse=True)
@@ -200,6 +224,10 @@ _END = re.compile(r"[.!?…]+[\"'”»)\]*_]*$")
 _CLOSE = "\"'”»)]*_,;:"
 
 
+_VERSION, _NUMERIC, _DATE, _HUMPED, _DIGITS = (re.compile(x) for x in (r"v\d+\.\d+\.\d+", r"[\d.,%]+", r"\d{4}-\d\d-\d\d\S*", r"[a-z][A-Z]", r"\d"))
+
+
+@lru_cache(1 << 16)
 def shape(token: str) -> str:
     """A word in lower case, or the class of a path, version, number, reference, identifier or call."""
     token = token.strip("\"'“”«»(),;:*_[]").rstrip(".!?…")
@@ -208,17 +236,17 @@ def shape(token: str) -> str:
     if "/" in token:
         m = _PATH.match(token)
         return ("<path>" if m.group(1) in _EXTENSIONS else "<path?>") if m else "<slash>"
-    if re.fullmatch(r"v\d+\.\d+\.\d+", token):
+    if _VERSION.fullmatch(token):
         return "<version>"
-    if re.fullmatch(r"[\d.,%]+", token):
+    if _NUMERIC.fullmatch(token):
         return "<number>"
-    if re.fullmatch(r"\d{4}-\d\d-\d\d\S*", token):
+    if _DATE.fullmatch(token):
         return "<date>"
-    if any(c.isdigit() for c in token):
+    if _DIGITS.search(token):
         return "<reference>"
     if token.endswith("()"):
         return "<call>"
-    if "_" in token or re.search(r"[a-z][A-Z]", token):
+    if "_" in token or _HUMPED.search(token):
         return "<name>"
     if "-" in token:
         return "<dashed>"
@@ -231,12 +259,18 @@ def _parts(token: str) -> list[str]:
 
 def last_context(text: str) -> tuple[tuple[str, ...], str] | None:
     """(shapes of the last words of the last line, last raw token); ``^`` stands for the line's start."""
-    tokens = [t for t in _TOKEN.findall(text.rsplit("\n", 1)[-1]) if shape(t)]
-    if not tokens:
-        return None
-    begun = max((i + 1 for i, t in enumerate(tokens[:-1]) if _END.search(t)), default=0)
-    shapes = [shape(t) for t in tokens[max(begun, len(tokens) - FAR[0]) :]]
-    return (*["^"] * (FAR[0] - len(shapes)), *shapes), tokens[-1]
+    shapes: list[str] = []
+    last = None
+    for token in reversed(_TOKEN.findall(text.rsplit("\n", 1)[-1])):
+        form = shape(token)
+        if not form:
+            continue
+        if last is None:
+            last = token
+        elif len(shapes) == FAR[0] or _END.search(token):
+            break  # far enough, or the sentence before
+        shapes.append(form)
+    return ((*["^"] * (FAR[0] - len(shapes)), *reversed(shapes)), last) if last is not None else None
 
 
 def ending(text: str) -> bool | tuple[tuple[str, ...], str]:
@@ -282,7 +316,7 @@ class _Forms(dict):
         self.stop: list[bool] = []
 
     def __missing__(self, token: str) -> int:
-        form = shape(token)
+        form = shape.__wrapped__(token)
         self.form.append(form)
         self.number.append(self.words.get(form, 1))
         self.stop.append(bool(_END.search(token)) and not token.endswith(".."))
