@@ -70,6 +70,10 @@ def health_ghost_sessions(spark: SparkSession, d: str) -> DataFrame:
     return quality.ghost_sessions(table(spark, d, "sessions"), [table(spark, d, "exchanges"), table(spark, d, "tool_uses")])
 
 
+def sessions_without_row(spark: SparkSession, d: str) -> DataFrame:
+    return quality.sessions_without_row(table(spark, d, "sessions"), [table(spark, d, "exchanges"), table(spark, d, "tool_uses")])
+
+
 def health_checks(spark: SparkSession, d: str) -> DataFrame:
     return quality.health(*(table(spark, d, n) for n in ("memories", "sessions", "layers", "exchanges", "tool_uses")))
 
@@ -137,16 +141,16 @@ def shadow_compare(spark: SparkSession, d: str) -> DataFrame:
 
 def handoff_latest(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "memories").filter("layer = 'handoff' AND project IS NOT NULL")
-    return quality.latest_by(rows, ["project"], [F.desc("created_at"), F.desc("id")]).select("project", "id")
+    return quality.latest_by(rows, ["project"], ["created_at", "id"]).select("project", "id")
 
 
 def latest_journey(spark: SparkSession, d: str) -> DataFrame:
-    return quality.latest_by(table(spark, d, "events"), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_type", "event_id")
+    return quality.latest_by(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
 def gate_dependency(spark: SparkSession, d: str) -> DataFrame:
     """Users whose latest run of the dependency (signup) succeeded, that is came with no later error."""
-    last = quality.latest_by(table(spark, d, "events").filter("event_type IN ('signup', 'error')"), ["user_id"], [F.desc("ts"), F.desc("event_id")])
+    last = quality.latest_by(table(spark, d, "events").filter("event_type IN ('signup', 'error')"), ["user_id"], ["ts", "event_id"])
     return last.select("user_id", (F.col("event_type") == "signup").alias("may_run"))
 
 
@@ -284,7 +288,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dedup_groups, dedup_mapping, dedup_ambiguous, dedup_after, dedup_references, remap_chain_check, memory_winner_guards, memory_resolve,
-        health_orphans, health_unregistered_layers, health_alias_rows, health_ghost_sessions, health_checks, health_verdict, layer_resolve, layer_migrate, store_new_memories, expiry_drain,
+        health_orphans, health_unregistered_layers, health_alias_rows, health_ghost_sessions, sessions_without_row, health_checks, health_verdict, layer_resolve, layer_migrate, store_new_memories, expiry_drain,
         archive_versions, archive_ordinals, custody_expectation, custody_union, custody_drift, reconcile_coverage, session_inventory, shadow_compare,
         handoff_latest, latest_journey, gate_dependency, recent_failures, retention_cut,
         turn_pairing, turn_texts, session_spans, usage_tally_nullable, thinking_position, interval_join_nearest_30s, span_range_join, match_outcomes, fresh_numbering, enrich_richer_signal, session_refresh,
@@ -296,6 +300,18 @@ _TS = "epoch_us(try_cast({0} AS TIMESTAMPTZ))"
 _ROLE = "CASE WHEN lower(trim(sender)) IN ('human', 'user') THEN 'human' WHEN lower(trim(sender)) IN ('assistant', 'ai') THEN 'assistant' END"
 _REMAP = "SELECT id AS old_id, canonical_id FROM (SELECT id, min(id) OVER (PARTITION BY {0}) AS canonical_id FROM {1}) WHERE id <> canonical_id"
 
+_HEALTH = r"""
+WITH c AS (
+  SELECT 'orphan_supersedes' AS "check", 'fail' AS bad, count(*) AS n FROM memories m WHERE supersedes IS NOT NULL AND NOT EXISTS (SELECT 1 FROM memories o WHERE o.id = m.supersedes)
+  UNION ALL SELECT 'test_metadata_rows', 'fail', count(*) FROM memories WHERE CASE WHEN json_valid(metadata) THEN json_extract_string(metadata, '$._test') IN ('1', 'true', 'True') END
+  UNION ALL SELECT 'test_source_agent_rows', 'fail', count(*) FROM memories WHERE source_agent IN ('test-agent', 'test')
+  UNION ALL SELECT 'runtime_layers_not_in_registry', 'fail', count(*) FROM (SELECT m.layer FROM memories m LEFT JOIN layers l ON l.name = m.layer WHERE l.name IS NULL GROUP BY m.layer)
+  UNION ALL SELECT 'physical_alias_layer_rows', 'fail', count(*) FROM memories m JOIN layers l ON l.name = m.layer WHERE l.alias_of IS NOT NULL
+  UNION ALL SELECT 'ghost_sessions', 'warn', count(*) FROM sessions s WHERE started_at IS NULL AND ended_at IS NULL AND (EXISTS (SELECT 1 FROM exchanges e WHERE e.session_id = s.session_id) OR EXISTS (SELECT 1 FROM tool_uses t WHERE t.session_id = s.session_id))),
+f AS (SELECT CASE WHEN regexp_full_match(created_at, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})') THEN 'o' WHEN regexp_full_match(created_at, '\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}') THEN 'b' ELSE 'x' END AS f FROM memories WHERE created_at IS NOT NULL)
+SELECT "check", n, CASE WHEN n = 0 THEN 'pass' ELSE bad END AS verdict FROM c
+UNION ALL SELECT 'memory_created_at_formats', count(*), CASE WHEN count(DISTINCT f) > 1 OR coalesce(bool_or(f = 'x'), false) THEN 'warn' ELSE 'pass' END FROM f"""
+
 ORACLES = {
     "dedup_groups": f"SELECT min(id) AS canonical, count(*) AS copies FROM exchanges GROUP BY {_P} HAVING count(*) > 1",
     "dedup_mapping": _REMAP.format(_P, "exchanges"),
@@ -308,7 +324,10 @@ ORACLES = {
     "health_orphans": "SELECT m.id, m.supersedes FROM memories m LEFT JOIN memories o ON o.id = m.supersedes WHERE m.supersedes IS NOT NULL AND o.id IS NULL",
     "health_unregistered_layers": "SELECT layer, count(*) AS n FROM memories m LEFT JOIN layers l ON l.name = m.layer WHERE l.name IS NULL GROUP BY layer",
     "health_alias_rows": "SELECT layer, alias_of, count(*) AS n FROM memories JOIN layers ON name = layer WHERE alias_of IS NOT NULL GROUP BY 1, 2",
-    "health_ghost_sessions": "SELECT session_id FROM (SELECT session_id FROM exchanges UNION SELECT session_id FROM tool_uses) WHERE session_id IS NOT NULL AND session_id NOT IN (SELECT session_id FROM sessions)",
+    "health_ghost_sessions": "SELECT session_id FROM sessions s WHERE started_at IS NULL AND ended_at IS NULL AND (EXISTS (SELECT 1 FROM exchanges e WHERE e.session_id = s.session_id) OR EXISTS (SELECT 1 FROM tool_uses t WHERE t.session_id = s.session_id))",
+    "sessions_without_row": "SELECT session_id FROM (SELECT session_id FROM exchanges UNION SELECT session_id FROM tool_uses) WHERE session_id IS NOT NULL AND session_id NOT IN (SELECT session_id FROM sessions)",
+    "health_checks": _HEALTH,
+    "health_verdict": f"SELECT CASE max(CASE verdict WHEN 'fail' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'pass' END AS verdict FROM ({_HEALTH})",
     "layer_resolve": "SELECT l.name, coalesce(b.name, a.name, l.name) AS resolved FROM layers l LEFT JOIN layers a ON a.name = l.alias_of LEFT JOIN layers b ON b.name = a.alias_of",
     "layer_migrate": "SELECT coalesce(l.alias_of, m.layer) AS layer, count(*) AS n FROM memories m LEFT JOIN layers l ON l.name = m.layer GROUP BY 1",
     "store_new_memories": "SELECT DISTINCT doc_kind AS layer, text AS content, CAST(NULL AS VARCHAR) AS project FROM documents EXCEPT SELECT layer, content, project FROM memories",

@@ -166,11 +166,28 @@ def redact_log(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tool_uses").select("id", T.redact_log("tool_params_summary").alias("redacted"))
 
 
+def redact_text(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "tool_uses").select("id", T.redact_text("tool_params_summary").alias("redacted"))
+
+
+def missing_referents(spark: SparkSession, d: str) -> DataFrame:
+    """Open slots in texts, as a question with such words would leave them."""
+    from threadloom.plans.question import FILLED, OPEN_SLOT
+
+    said = table(spark, d, "memories").select("id", F.regexp_replace("content", r"(?i)\bthe (\w+)", "a specific $1").alias("q"))
+    tail = F.expr("substring(q, locate(whole, q) + length(whole))")
+    found = said.withColumn("whole", F.regexp_extract("q", OPEN_SLOT, 0)).filter("whole <> ''").withColumn("slot", F.lower(F.regexp_extract("q", OPEN_SLOT, 1)))
+    return found.filter(~tail.rlike(FILLED)).select("id", "slot")
+
+
 def hostile_questions(spark: SparkSession, d: str) -> DataFrame:
-    from threadloom.plans.question import LONGEST, hostile_pattern
+    from threadloom.plans.question import HOSTILE, LONGEST
 
+    hostile = F.lit(False)
+    for pattern in HOSTILE:
+        hostile = hostile | F.col("human_text").rlike(pattern)
     asked = table(spark, d, "exchanges").filter("human_text IS NOT NULL")
-    verdict = F.when(F.trim("human_text") == "", "empty").when(F.length("human_text") > LONGEST, "long").when(F.col("human_text").rlike(hostile_pattern()), "hostile").otherwise("fine")
+    verdict = F.when(F.trim("human_text") == "", "empty").when(F.length("human_text") > LONGEST, "long").when(hostile, "hostile").otherwise("fine")
     return asked.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
 
 
@@ -277,7 +294,7 @@ QUERIES = {
     for f in (
         bm25_and, bm25_or, bm25_column_filter, bm25_top, bm25_postings, postings_stats, phrase_match, search_union_four_sources, search_layer, search_rescue, search_dedup_rank, rerank_hits,
         like_all, like_any, like_accent_variant, like_floor, superseded_excluded, layer_filter, layer_excluded, task_notifications, fts_census_by_month, fts_frame,
-        fold_words, tokenize_counts, search_terms, author_label, excerpts, clip_text, format_distribution, redact_log, hostile_questions, digests,
+        fold_words, tokenize_counts, search_terms, author_label, excerpts, clip_text, format_distribution, redact_log, redact_text, missing_referents, hostile_questions, digests,
         terrain_sources, terrain_months, terrain_terms, negative_space,
         knn_exact, knn_quantized, knn_dedup_source, knn_filtered_label, federated_merge, chunk_documents, chunk_delta, embedding_parity, embed_documents, hybrid_census, cleaned_questions,
     )
@@ -327,11 +344,16 @@ def _phrase(words: str) -> str:
     return _PHRASE.format(_tok("human_text"), _tok("agent_text"), words)
 
 
-def _hostile() -> str:
-    from threadloom.plans.question import hostile_pattern
-
-    return hostile_pattern().replace("'", "''")
-
+# The rules of questions and redaction, written for the SQL by themselves.
+_HOSTILE_SQL = r"""(?i)(ignore\s+((all|previous|prior|above|my|the|your|these)\s+)*(instruction|prompt|rule)|disregard\s+((all|your|previous|prior|above|the|my|these)\s+)*(instruction|prompt|rule)|forget\s+(everything|all|your)
+|do\s+not\s+follow\s+(your|the|any)|override\s+(your|the|all|any)\s+(instruction|prompt|rule)|you\s+are\s+now\b|\bact\s+as\s+((a|an)\s+)?(database|system|admin|root|super|helpful|unrestricted|unfiltered)\b|\bsystem\s+prompt\b|\bjailbreak\b
+|\b(you\s+are\s+DAN|enable\s+DAN|DAN\s+mode)\b|```|\[INST\]|<<SYS>>|\b(base64|hex)\s+decode\s+(this|the|it)\b|\bdecode\s+(this|the|it)\s+(string|payload|text|base64|hex|code)\b|\b0x[0-9a-f]{8,}\b)""".replace("\n", "")
+_REDACT_SQL = "tool_params_summary"
+for _shape, _into in (
+    (r"(?i)\b(bearer\s)\s*[A-Za-z0-9._~+/=-]+", r"\1[REDACTED]"), (r"(?i)\b((?:api[_-]?key|token|password|passwd|secret)\s*[:=])\s*[^\s,;]+", r"\1[REDACTED]"), (r"\b(?:sk-[A-Za-z0-9_-]{8,}|gh[pousr]_[A-Za-z0-9_]{8,}|github_pat_[A-Za-z0-9_]{20,}|xox[baprs]-[A-Za-z0-9-]{8,})\b", "[REDACTED]"),
+    (r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", "[REDACTED]"), (r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "[REDACTED]"), (r"\bAIza[0-9A-Za-z_-]{35}\b", "[REDACTED]"), (r"(?s)-----BEGIN [^-]*PRIVATE KEY-----.*?-----END [^-]*PRIVATE KEY-----", "[REDACTED]"),
+):
+    _REDACT_SQL = f"regexp_replace({_REDACT_SQL}, '{_shape}', '{_into}', 'g')"
 
 _CHUNKS = "(SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, substring(text, CAST(i * 360 + 1 AS BIGINT), 400) AS chunk FROM (SELECT doc_id, {0} AS text, unnest(range(0, CAST(floor(greatest(length({0}) - 41, 0) / 360) AS BIGINT) + 1)) AS i FROM documents WHERE length(text) > 0 {1}))"
 
@@ -364,7 +386,11 @@ ORACLES = {
     "excerpts": f"SELECT doc_id, CASE WHEN length(text) <= 200 THEN text WHEN a <= 100 THEN substring(text, 1, 200) || '…' ELSE substring(text, 1, 100) || ' … ' || substring(text, greatest(a - 50, 101), 100) END AS excerpt FROM (SELECT *, strpos({_FOLD.format('text')}, 'manifest') AS a FROM documents WHERE text IS NOT NULL)",
     "clip_text": "SELECT doc_id, substring(text, 1, 500) AS clipped FROM documents",
     "format_distribution": r"SELECT CASE WHEN human_timestamp IS NULL THEN NULL WHEN regexp_full_match(human_timestamp, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z') THEN 'utc' WHEN regexp_full_match(human_timestamp, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?[+-]\d{2}:\d{2}') THEN 'offset' ELSE 'other' END AS format, count(*) AS n FROM exchanges GROUP BY 1",
-    "hostile_questions": f"SELECT CASE WHEN trim(human_text, ' ') = '' THEN 'empty' WHEN length(human_text) > 1000 THEN 'long' WHEN regexp_matches(human_text, '{_hostile()}') THEN 'hostile' ELSE 'fine' END AS verdict, count(*) AS n FROM exchanges WHERE human_text IS NOT NULL GROUP BY 1",
+    "redact_text": f"SELECT id, {_REDACT_SQL} AS redacted FROM tool_uses",
+    "missing_referents": r"""WITH q AS (SELECT id, regexp_replace(content, '(?i)\bthe (\w+)', 'a specific \1', 'g') AS q FROM memories),
+m AS (SELECT id, q, regexp_extract(q, '(?i)\b(?:a|an)\s+(?:specific|particular|given|named)\s+([a-z][a-z0-9_-]*)\b', 0) AS whole, lower(regexp_extract(q, '(?i)\b(?:a|an)\s+(?:specific|particular|given|named)\s+([a-z][a-z0-9_-]*)\b', 1)) AS slot FROM q)
+SELECT id, slot FROM m WHERE whole <> '' AND NOT regexp_matches(substr(q, strpos(q, whole) + length(whole)), '(?i)^\s+(?:called|named|with\s+(?:the\s+)?(?:name|id|key|value))\s+["'']?[a-z0-9]|^\s*[:,]\s*["'']?[a-z0-9]|^\s*["''][a-z0-9]')""",
+    "hostile_questions": f"SELECT CASE WHEN trim(human_text, ' ') = '' THEN 'empty' WHEN length(human_text) > 1000 THEN 'long' WHEN regexp_matches(human_text, '{_HOSTILE_SQL}') THEN 'hostile' ELSE 'fine' END AS verdict, count(*) AS n FROM exchanges WHERE human_text IS NOT NULL GROUP BY 1",
     "terrain_sources": f"SELECT source, count(*) AS n FROM ({_like_sql(['snapshot'])}) GROUP BY source",
     "terrain_months": f"SELECT nullif(regexp_extract(stamp, '^(\\d{{4}}-\\d{{2}})', 1), '') AS month, count(*) AS n FROM ({_like_sql(['snapshot'])}) GROUP BY 1",
     "terrain_terms": f"SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter({_tok('content')}, lambda w: length(w) >= 4 AND NOT regexp_full_match(w, '[0-9]+')))) AS term FROM memories) GROUP BY term ORDER BY n DESC, term LIMIT 8",

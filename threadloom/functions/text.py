@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -145,18 +146,61 @@ def framed_digest(*parts: Column | str) -> Column:
     return F.sha2(F.concat(*framed), 256)
 
 
-# Names after which a value is a secret, and shapes of secrets, for log redaction.
+# Shapes of secrets in log texts, and the names whose values are secrets whatever they look like.
 _REDACT = [
-    (r"(?i)(\"?(?:api[_-]?key|token|secret|password|passwd|authorization)\"?\s*[:=]\s*\"?)[^\s\",}]+", "$1[redacted]"),
-    (r"(?i)\bbearer\s+[A-Za-z0-9._\-]+", "Bearer [redacted]"),
-    (r"\bsk-[A-Za-z0-9_\-]{8,}", "[redacted]"),
-    (r"\bgh[pousr]_[A-Za-z0-9]{16,}", "[redacted]"),
+    (r"(?i)\b(bearer\s)\s*[A-Za-z0-9._~+/=-]+", "$1[REDACTED]"),
+    (r"(?i)\b((?:api[_-]?key|token|password|passwd|secret)\s*[:=])\s*[^\s,;]+", "$1[REDACTED]"),
+    (r"\b(?:sk-[A-Za-z0-9_-]{8,}|gh[pousr]_[A-Za-z0-9_]{8,}|github_pat_[A-Za-z0-9_]{20,}|xox[baprs]-[A-Za-z0-9-]{8,})\b", "[REDACTED]"),
+    (r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\b", "[REDACTED]"),
+    (r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "[REDACTED]"),
+    (r"\bAIza[0-9A-Za-z_-]{35}\b", "[REDACTED]"),
+    (r"(?s)-----BEGIN [^-]*PRIVATE KEY-----.*?-----END [^-]*PRIVATE KEY-----", "[REDACTED]"),
 ]
+SECRET_NAME = r"(?i)(api[_-]?key|access[_-]?key|private[_-]?key|signing[_-]?key|session[_-]?key|token|password|passwd|secret|credential|authorization|cookie)"
 
 
-def redact_log(text: Column | str) -> Column:
-    """A log text with secrets blanked by name and by shape; a chain of built-in replacements."""
+def redact_text(text: Column | str) -> Column:
+    """A log text with secrets blanked by shape; a chain of built-in replacements."""
     out = F.col(text) if isinstance(text, str) else text
     for pattern, into in _REDACT:
         out = F.regexp_replace(out, pattern, into)
     return out
+
+
+def redact_log(text: Column | str) -> Column:
+    """A log record with secrets blanked: in JSON also every value, whole or nested, under a name that tells a secret.
+
+    A record that is no JSON object or array is a text. Null stays null.
+    """
+    import json
+    import re
+
+    name = re.compile(SECRET_NAME)
+    shapes = [(re.compile(p), into.replace("$1", r"\1")) for p, into in _REDACT]
+
+    def clean(key: str, value: object) -> object:
+        if name.search(key):
+            return "[REDACTED]"
+        if isinstance(value, dict):
+            return {k: clean(k, v) for k, v in value.items()}
+        if isinstance(value, list):
+            return [clean(key, v) for v in value]
+        if isinstance(value, str):
+            for shape, into in shapes:
+                value = shape.sub(into, value)
+        return value
+
+    @F.pandas_udf("string")
+    def run(records: pd.Series) -> pd.Series:
+        out = []
+        for record in records:
+            try:
+                found = json.loads(record)
+            except ValueError:
+                found = None
+            out.append(json.dumps(clean("", found), ensure_ascii=False, sort_keys=True, separators=(",", ":")) if isinstance(found, (dict, list)) else None)
+        return pd.Series(out, dtype=object)
+
+    value = F.col(text) if isinstance(text, str) else text
+    looks = F.coalesce(F.ltrim(value).rlike(r"^[\[{]"), F.lit(False))
+    return F.coalesce(F.when(looks, run(F.when(looks, value).otherwise("0"))), redact_text(value))

@@ -111,14 +111,35 @@ def alias_rows(memories: DataFrame, layers: DataFrame) -> DataFrame:
 
 
 def ghost_sessions(sessions: DataFrame, used: list[DataFrame]) -> DataFrame:
+    """Stored sessions without start and end that rows belong to."""
+    silent = sessions.filter("started_at IS NULL AND ended_at IS NULL").select("session_id")
+    ids = reduce(DataFrame.unionByName, [u.select("session_id").filter("session_id IS NOT NULL").distinct() for u in used]).distinct()
+    return silent.join(ids, "session_id", "left_semi")
+
+
+def sessions_without_row(sessions: DataFrame, used: list[DataFrame]) -> DataFrame:
     """Session ids that rows carry but no session has."""
     ids = reduce(DataFrame.unionByName, [u.select("session_id").filter("session_id IS NOT NULL").distinct() for u in used]).distinct()
     return ids.join(sessions.select("session_id"), "session_id", "left_anti")
 
 
+# What marks a test's memory, and the agents of tests.
+TEST_MARKS, TEST_AGENTS = ("1", "true", "True"), ("test-agent", "test")
+
+
 def marked_tests(memories: DataFrame) -> DataFrame:
     """Memories whose metadata say that they are tests."""
-    return memories.filter(F.get_json_object("metadata", "$._test").isNotNull()).select("id")
+    return memories.filter(F.get_json_object("metadata", "$._test").isin(*TEST_MARKS)).select("id")
+
+
+# The spellings of a note's time that a health check tells apart.
+ISO_OFFSET, SQLITE_BARE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
+
+
+def created_at_formats(memories: DataFrame) -> DataFrame:
+    at = F.col("created_at")
+    spelling = F.when(at.rlike(ISO_OFFSET), "iso_offset").when(at.rlike(SQLITE_BARE), "sqlite_bare").otherwise("date_only_or_other")
+    return memories.filter(at.isNotNull()).groupBy(spelling.alias("format")).agg(F.count("*").alias("n"))
 
 
 def time_spellings(df: DataFrame, column: str) -> DataFrame:
@@ -126,24 +147,27 @@ def time_spellings(df: DataFrame, column: str) -> DataFrame:
 
 
 def health(memories: DataFrame, sessions: DataFrame, layers: DataFrame, exchanges: DataFrame, tools: DataFrame) -> DataFrame:
-    """One row for each check: its count and verdict (ok, warn or fail)."""
+    """One row for each check: its count and verdict (pass, warn or fail)."""
+    formats = created_at_formats(memories)
+    mixed = (F.count("*") > 1) | (F.coalesce(F.sum(F.when(F.col("format") == "date_only_or_other", F.col("n"))), F.lit(0)) > 0)
+    total = lambda df: df.agg(F.count("*").alias("n"))
     counts = [
-        ("orphan_replacements", "fail", orphan_replacements(memories).agg(F.count("*").alias("n"))),
-        ("unregistered_layers", "warn", unregistered_layers(memories, layers).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))),
-        ("alias_rows", "warn", alias_rows(memories, layers).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))),
-        ("ghost_sessions", "warn", ghost_sessions(sessions, [exchanges, tools]).agg(F.count("*").alias("n"))),
-        ("duplicate_exchanges", "warn", duplicate_groups(exchanges, "id", ["session_id", "exchange_number", "human_text", "agent_text"]).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("n"))),
-        ("test_memories", "warn", marked_tests(memories).agg(F.count("*").alias("n"))),
-        ("mixed_time_spellings", "warn", time_spellings(exchanges, "human_timestamp").filter("format IS NOT NULL").agg(F.greatest(F.count("*") - 1, F.lit(0)).cast("bigint").alias("n"))),
+        ("orphan_supersedes", "fail", total(orphan_replacements(memories))),
+        ("test_metadata_rows", "fail", total(marked_tests(memories))),
+        ("test_source_agent_rows", "fail", total(memories.filter(F.col("source_agent").isin(*TEST_AGENTS)))),
+        ("runtime_layers_not_in_registry", "fail", total(unregistered_layers(memories, layers))),
+        ("physical_alias_layer_rows", "fail", alias_rows(memories, layers).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))),
+        ("ghost_sessions", "warn", total(ghost_sessions(sessions, [exchanges, tools]))),
     ]
-    parts = [n.select(F.lit(name).alias("check"), F.col("n").cast("bigint").alias("n"), F.when(F.col("n") == 0, "ok").otherwise(bad).alias("verdict")) for name, bad, n in counts]
+    parts = [n.select(F.lit(name).alias("check"), F.col("n").cast("bigint").alias("n"), F.when(F.col("n") == 0, "pass").otherwise(bad).alias("verdict")) for name, bad, n in counts]
+    parts.append(formats.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"), F.when(mixed, "warn").otherwise("pass").alias("verdict")).select(F.lit("memory_created_at_formats").alias("check"), "n", "verdict"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def worst(verdicts: DataFrame) -> DataFrame:
     """The verdict of the whole: the worst of the checks."""
     order = F.max(F.when(F.col("verdict") == "fail", 2).when(F.col("verdict") == "warn", 1).otherwise(0))
-    return verdicts.agg(order.alias("o")).select(F.when(F.col("o") == 2, "fail").when(F.col("o") == 1, "warn").otherwise("ok").alias("verdict"))
+    return verdicts.agg(order.alias("o")).select(F.when(F.col("o") == 2, "fail").when(F.col("o") == 1, "warn").otherwise("pass").alias("verdict"))
 
 
 # -- layers, storage, retention -----------------------------------------------------------------------
@@ -173,7 +197,7 @@ def add_layer(layers: DataFrame, name: str, description: str, alias_of: str | No
 def store_rows(stored: DataFrame, incoming: DataFrame, same: list[str]) -> DataFrame:
     """Incoming rows that are not stored yet; equality is null-safe, and repeats within the batch are taken once."""
     new = incoming.withColumn("__d", typed_digest(same))
-    first = new.withColumn("__n", F.row_number().over(W.partitionBy("__d").orderBy(*same))).filter("__n = 1").drop("__n")
+    first = new.groupBy("__d").agg(F.min_by(F.struct(*incoming.columns), F.struct(*same)).alias("__r")).select("__d", "__r.*")
     return first.join(stored.select(typed_digest(same).alias("__d")), "__d", "left_anti").drop("__d")
 
 
@@ -182,8 +206,10 @@ def unexpired(df: DataFrame, expires: str, cutoff: str) -> DataFrame:
     return df.filter(~F.coalesce(instant(expires) <= F.to_timestamp(F.lit(cutoff)), F.lit(False)))
 
 
-def latest_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
+def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The row of each key with the largest ``order``, nulls smallest; a combinable aggregate, so a key of any size is no burden."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__r")).select(*keys, "__r.*").select(df.columns)
 
 
 # -- versions and custody -----------------------------------------------------------------------------

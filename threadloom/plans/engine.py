@@ -114,8 +114,8 @@ class Engine:
         Without a provider the keyword search answers at once. A scope without hits is widened to all databases.
         """
         check_question(question)
-        if missing_referent(question):
-            return Answer([], [], "", path="ask", notes=["what does the question refer to?"])
+        if slot := missing_referent(question):
+            return Answer([], [], "", path="ask", notes=[f"Which {slot} should I use? Please name it in the question."])
         chosen = self.scope(scope)
         notes: list[str] = []
         prompt = self.prompt(question, chosen)

@@ -48,8 +48,8 @@ def explore_envelope(question: str, parts: dict) -> dict:
 
 
 def health_envelope(checks: list[dict]) -> dict:
-    order = ["ok", "warn", "fail"]
-    return {"verdict": max((c["verdict"] for c in checks), key=order.index, default="ok"), "checks": checks}
+    order = ["pass", "warn", "fail"]
+    return {"verdict": max((c["verdict"] for c in checks), key=order.index, default="pass"), "checks": checks}
 
 
 def store_envelope(stored: int, offered: int) -> dict:
