@@ -43,6 +43,8 @@ def test_call_segments_resume(spark, tmp_path):
     (log / "a.jsonl").write_text(one + "\n")
     archive = str(tmp_path / "archive")
     assert import_calls(spark, str(log), archive) == 1 and import_calls(spark, str(log), archive) == 0
+    (log / "a.jsonl").write_text(f"{one}\n{two[:20]}")
+    assert import_calls(spark, str(log), archive) == 0  # still being written
     (log / "a.jsonl").write_text(f"{one}\n{two}\nbroken\n")
     assert import_calls(spark, str(log), archive) == 2
     calls = VersionedTable(spark, f"{archive}/calls").read()

@@ -31,12 +31,10 @@ DISCARD = T.StructType([T.StructField("record", T.StringType()), T.StructField("
 
 def thinking_blocks(exchanges: DataFrame) -> DataFrame:
     """Reasoning text of answers whose model reported reasoning tokens, with its position in the session."""
-    from pyspark.sql import Window as W
-
     held = exchanges.filter("tokens_reasoning IS NOT NULL AND agent_text IS NOT NULL")
-    size = F.max("exchange_number").over(W.partitionBy("session_id"))
-    return held.select(
-        "id", "session_id", "exchange_number", (F.col("exchange_number") / size).alias("position_in_session"), F.lit("normal").alias("depth"),
+    size = held.groupBy(F.col("session_id").alias("of")).agg(F.max("exchange_number").alias("last"))
+    return held.join(size, F.col("session_id").eqNullSafe(F.col("of")), "left").select(
+        "id", "session_id", "exchange_number", (F.col("exchange_number") / F.col("last")).alias("position_in_session"), F.lit("normal").alias("depth"),
         F.size(F.split(F.trim("agent_text"), r"\s+")).alias("word_count"), "is_after_compaction", F.col("agent_text").alias("full_text"),
     )
 

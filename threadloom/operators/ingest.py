@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions.json_edit import merge_patch
 from threadloom.functions.text import instant
 from threadloom.operators.quality import typed_digest
+from threadloom.operators.skew import numbered, running_sum
 from threadloom.session import checkpoint
 
 
+#: Microseconds of a day, the width of a time bucket.
+DAY = 86_400_000_000
+
+
 def turn_ids(records: DataFrame, stream: str, order: list[str], opens: Column) -> DataFrame:
     """``records`` with ``turn``: a running count of the records that open a turn; 0 before the first."""
-    run = W.partitionBy(stream).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return records.withColumn("turn", F.sum(F.when(opens, 1).otherwise(0)).over(run))
+    return running_sum(records, [stream], order, F.when(opens, 1).otherwise(0), "turn")
 
 
 def turns(records: DataFrame, stream: str, order: list[str], role: str, text: str, stamp: str) -> DataFrame:
@@ -53,17 +56,24 @@ def nearest_within(left: DataFrame, right: DataFrame, on: list[str], left_at: st
     return per.join(ties.filter("n = 1"), "left_id").select("left_id", "right_id", (F.col("gap") / 1_000_000).alias("gap_seconds"))
 
 
-def within_spans(signals: DataFrame, spans: DataFrame, stream: str, at: str, opened: str, closed: str) -> DataFrame:
-    """Signals with the span in which they fall: opened < at <= closed, within one stream."""
-    cond = (F.col(f"s.{stream}") == F.col(f"p.{stream}")) & (F.col(f"s.{at}") > F.col(f"p.{opened}")) & (F.col(f"s.{at}") <= F.col(f"p.{closed}"))
-    return signals.alias("s").join(spans.alias("p"), cond)
+def within_spans(signals: DataFrame, spans: DataFrame, stream: str, at: str, opened: str, closed: str, bucket: int = DAY) -> DataFrame:
+    """Signals with the span in which they fall: opened < at <= closed, within one stream.
+
+    Times are numbers. Spans are cut at the borders of ``buckets`` of time, so a stream with a third of all rows is
+    spread over its buckets; a signal lies in one bucket and meets only the spans that touch it.
+    """
+    cut = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(opened) / bucket), F.floor(F.col(closed) / bucket)))).filter(F.col(closed) >= F.col(opened)) if bucket else spans.withColumn("__b", F.lit(0))
+    placed = signals.withColumn("__b", F.floor(F.col(at) / bucket) if bucket else F.lit(0))
+    cond = (F.col(f"s.{stream}") == F.col(f"p.{stream}")) & (F.col("s.__b") == F.col("p.__b")) & (F.col(f"s.{at}") > F.col(f"p.{opened}")) & (F.col(f"s.{at}") <= F.col(f"p.{closed}"))
+    return placed.alias("s").join(cut.alias("p"), cond)
 
 
-def match_cascade(incoming: DataFrame, stored: DataFrame, key_in: str, key_stored: str, session: str, stages: list[tuple[str, list[str]]]) -> DataFrame:
+def match_cascade(incoming: DataFrame, stored: DataFrame, key_in: str, key_stored: str, session: str, stages: list[tuple[str, list[str]]], loose: tuple[str, ...] = ("number",)) -> DataFrame:
     """``(in_id, stored_id, stage, outcome)``: each stage matches by its columns what earlier stages left.
 
-    A stored row is claimed once. Several candidates on either side make a match ambiguous; an incoming
-    row that finds its only candidate claimed is ``claimed``; what no stage matches is ``unmatched``.
+    A stored row is claimed once. Several candidates on either side make a match ambiguous; an incoming row whose
+    candidate by a stage was claimed by another row is ``claimed``, except by the ``loose`` stages, which tell a
+    place and no identity; what no stage matches is ``unmatched``.
     """
     open_in, open_stored, out = incoming, stored, None
     for name, columns in stages:
@@ -82,6 +92,22 @@ def match_cascade(incoming: DataFrame, stored: DataFrame, key_in: str, key_store
         out = found if out is None else out.unionByName(found)
         open_in = open_in.join(found.select(F.col("in_id").alias(key_in)), key_in, "left_anti")
         open_stored = open_stored.join(found.filter("outcome = 'matched'").select(F.col("stored_id").alias(key_stored)), key_stored, "left_anti")
+    taken = None
+    for name, columns in stages:
+        if out is None or name in loose:
+            continue
+        keys = [session, *columns]
+        claimed = stored.join(out.filter("outcome = 'matched'").select(F.col("stored_id").alias(key_stored)), key_stored, "left_semi").select(*keys).distinct()
+        late = open_in.join(claimed, keys, "left_semi").select(F.col(key_in).alias("in_id"), F.lit(name).alias("stage"))
+        taken = late if taken is None else taken.unionByName(late)
+    if taken is not None:
+        first = F.lit(len(stages))
+        for i, (name, _) in reversed(list(enumerate(stages))):
+            first = F.when(F.col("stage") == name, i).otherwise(first)
+        taken = taken.groupBy("in_id").agg(F.min_by("stage", first).alias("stage"))
+        late = checkpoint(taken.select("in_id", F.lit(None).cast(stored.schema[key_stored].dataType).alias("stored_id"), "stage", F.lit("claimed").alias("outcome")))
+        out = out.unionByName(late)
+        open_in = open_in.join(late.select(F.col("in_id").alias(key_in)), key_in, "left_anti")
     rest = open_in.select(F.col(key_in).alias("in_id"), F.lit(None).cast(stored.schema[key_stored].dataType).alias("stored_id"), F.lit(None).cast("string").alias("stage"), F.lit("unmatched").alias("outcome"))
     return rest if out is None else out.unionByName(rest)
 
@@ -89,8 +115,86 @@ def match_cascade(incoming: DataFrame, stored: DataFrame, key_in: str, key_store
 def fresh_numbers(unmatched: DataFrame, stored: DataFrame, session: str, number: str, order: str) -> DataFrame:
     """Numbers for new rows: after the session's largest, in order."""
     top = stored.groupBy(session).agg(F.max(number).alias("top"))
-    place = F.row_number().over(W.partitionBy(session).orderBy(order))
-    return unmatched.join(top, session, "left").withColumn(number, F.coalesce("top", F.lit(0)) + place).drop("top")
+    place = numbered(unmatched.drop(number), [session], [order], "__place")
+    return place.join(top, session, "left").withColumn(number, F.coalesce("top", F.lit(0)) + F.col("__place")).drop("top", "__place")
+
+
+EXCHANGE_FILLED = ("human_text", "agent_text", "human_timestamp", "agent_timestamp", "source_id", "response_latency_ms", "is_after_compaction")
+EXCHANGE_PROVENANCE = ("model", "provider", "tokens_in", "tokens_out", "tokens_reasoning")
+#: How a delivered exchange finds its stored one, the surest way first.
+EXCHANGE_STAGES = (("source_id", ["source_id"]), ("timestamps", ["human_timestamp", "agent_timestamp"]), ("content", ["__content"]), ("prompt", ["__prompt"]), ("number", ["exchange_number"]))
+
+
+def merge_exchanges(stored: DataFrame, incoming: DataFrame, authoritative: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Stored exchanges after a delivery, and what became of each delivered one: ``(session_id, in_number, number, outcome)``.
+
+    ``matched`` fills the gaps of the stored row and may lead its provenance; ``conflict`` met another question
+    under its number; ``ambiguous`` and ``claimed`` ones change nothing. ``unmatched`` and ``conflict`` rows are
+    inserted with a fresh number if theirs is taken. ``authoritative(session_id)`` names sessions whose numbers are
+    the source's own: there a conflict replaces the stored row. Null values never overwrite, so a second
+    delivery with fewer fields takes nothing away, and the same delivery again changes nothing.
+    """
+    said = lambda c: F.when(F.trim(c) != "", F.col(c))
+    keyed = lambda df: df.withColumn("__key", F.concat_ws("\0", "session_id", F.col("exchange_number").cast("string"))).withColumn("__content", F.when(said("human_text").isNotNull() & said("agent_text").isNotNull(), typed_digest(["human_text", "agent_text"]))).withColumn("__prompt", F.when(said("human_text").isNotNull(), typed_digest(["human_text"])))
+    new, old = checkpoint(keyed(incoming)), keyed(stored)
+    found = match_cascade(new, old, "__key", "__key", "session_id", list(EXCHANGE_STAGES))
+    both = found.join(new.select(F.col("__key").alias("in_id"), "session_id", F.col("exchange_number").alias("in_number"), F.col("human_text").alias("nh")), "in_id").join(old.select(F.col("__key").alias("stored_id"), F.col("exchange_number").alias("number"), F.col("human_text").alias("oh")), "stored_id", "left")
+    differs = (F.col("stage") == "number") & F.coalesce(F.col("nh") != F.col("oh"), F.lit(False)) & (F.trim("nh") != "") & (F.trim("oh") != "")
+    both = checkpoint(both.withColumn("outcome", F.when((F.col("outcome") == "matched") & differs, "conflict").otherwise(F.col("outcome"))))
+    replaced = both.filter("outcome = 'conflict'").join(authoritative, "session_id", "left_semi") if authoritative is not None else both.limit(0)
+    fresh = both.filter("outcome IN ('unmatched', 'conflict')")
+    if authoritative is not None:
+        fresh = fresh.join(replaced.select("in_id"), "in_id", "left_anti")
+    enriched = enrich(
+        old.join(both.filter("outcome = 'matched'").select(F.col("stored_id").alias("__key")), "__key", "left_semi"), new.join(both.filter("outcome = 'matched'").select(F.col("in_id").alias("__key"), "stored_id"), "__key").drop("__key").withColumnRenamed("stored_id", "__key"),
+        "__key", list(EXCHANGE_FILLED), list(EXCHANGE_PROVENANCE),
+    )
+    columns = [c for c in stored.columns if c not in (*EXCHANGE_FILLED, *EXCHANGE_PROVENANCE)]
+    enriched = old.select("__key", *columns).join(enriched, "__key").select(*stored.columns)
+    held = old.join(both.filter("outcome = 'matched'").select(F.col("stored_id").alias("__key")).unionByName(replaced.select(F.col("stored_id").alias("__key"))), "__key", "left_anti").select(*stored.columns)
+    rows = new.join(fresh.select(F.col("in_id").alias("__key")), "__key", "left_semi")
+    free = rows.join(old.select("session_id", "exchange_number"), ["session_id", "exchange_number"], "left_anti")
+    taken = rows.join(free.select("__key"), "__key", "left_anti")
+    tops = old.select("session_id", "exchange_number").unionByName(new.select("session_id", "exchange_number"))
+    moved = checkpoint(fresh_numbers(taken.withColumn("in_number", F.col("exchange_number")), tops, "session_id", "exchange_number", "in_number").withColumn("exchange_number", F.col("exchange_number").cast("int")))
+    in_place = new.join(replaced.select(F.col("in_id").alias("__key")), "__key", "left_semi")
+    merged = held.unionByName(enriched).unionByName(free.select(*stored.columns)).unionByName(moved.select(*stored.columns)).unionByName(in_place.select(*stored.columns))
+    placed = moved.select("session_id", "in_number", F.col("exchange_number").alias("given"))
+    outcomes = both.join(placed, ["session_id", "in_number"], "left").select("session_id", "in_number", F.coalesce("given", F.when(F.col("outcome").isin("unmatched", "conflict"), F.col("in_number")).otherwise(F.col("number"))).alias("number"), "outcome")
+    return merged, outcomes
+
+
+def merge_memories(stored: DataFrame, incoming: DataFrame, keys: list[str], observed: DataFrame | None = None) -> DataFrame:
+    """Stored notes after a delivery, by what ``memory_actions`` says of each.
+
+    An update takes the delivered row, a stamp its time, a project its project; ``observed`` names the files (first
+    key) that were read whole: notes of theirs that are gone become ``resolved`` and are marked superseded.
+    """
+    actions = memory_actions(stored, incoming, keys)
+    gone = F.col("action") == "resolve"
+    held = stored.join(actions, keys, "left")
+    if observed is not None:
+        held = held.join(observed.select(keys[0]).distinct().withColumn("__read", F.lit(True)), keys[0], "left")
+        gone = gone & F.coalesce("__read", F.lit(False))
+    else:
+        gone = F.lit(False)
+    new = incoming.select(*keys, *[F.col(c).alias(f"__{c}") for c in incoming.columns if c not in keys])
+    both = held.join(new, keys, "left")
+    out = []
+    for c in stored.columns:
+        value = F.col(c)
+        if c not in keys and c in incoming.columns:
+            value = F.when(F.col("action") == "update", F.coalesce(f"__{c}", c))
+            value = value.when(F.col("action") == "stamp", F.col("__updated_at")) if c == "updated_at" else value
+            value = value.when(F.col("action") == "project", F.col("__project")) if c == "project" else value
+            value = value.otherwise(F.col(c))
+        if c == "status":
+            value = F.when(gone, "resolved").otherwise(value)
+        if c == "metadata":
+            value = F.when(gone & ~F.coalesce(F.col(c).contains('"superseded"'), F.lit(False)), F.when(F.trim(c).rlike(r"^\{\s*\}$") | F.col(c).isNull(), '{"superseded": true}').otherwise(F.regexp_replace(c, r"\}\s*$", ', "superseded": true}'))).otherwise(value)
+        out.append(value.alias(c))
+    inserted = incoming.join(actions.filter("action = 'insert'"), keys, "left_semi")
+    return both.select(*out).unionByName(inserted, allowMissingColumns=True).select(stored.columns)
 
 
 def enrich(old: DataFrame, new: DataFrame, key: str, columns: list[str], provenance: list[str]) -> DataFrame:

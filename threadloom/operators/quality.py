@@ -5,11 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import framed_digest, instant, time_format
-from threadloom.operators.skew import join_unique
+from threadloom.operators.skew import join_unique, numbered
 
 
 class DriftError(RuntimeError):
@@ -65,7 +64,9 @@ def apply_remap(df: DataFrame, key: str, payload: list[str], inspected: str, ref
 def follow(frame: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """``frame`` with references to replaced rows pointed at their canonical row."""
     moved = mapping.select(F.col("old_id").alias(column), "canonical_id")
-    return frame.join(moved, column, "left").withColumn(column, F.coalesce("canonical_id", column)).drop("canonical_id").select(frame.columns)
+    times = frame.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__times"))
+    total = frame.count()
+    return join_unique(frame, moved.join(times, column), column, "__times", total, "left").withColumn(column, F.coalesce("canonical_id", column)).drop("canonical_id").select(frame.columns)
 
 
 def remap_chains(mapping: DataFrame) -> DataFrame:
@@ -224,7 +225,7 @@ def versions(sources: dict[str, DataFrame], payload: list[str]) -> DataFrame:
 def occurrence_ordinals(df: DataFrame, key: str, group: list[str], payload: list[str]) -> DataFrame:
     """Which occurrence of its payload within the group a row is, from 0."""
     rows = df.withColumn("digest", typed_digest(payload))
-    return rows.select(key, *group, (F.row_number().over(W.partitionBy(*group, "digest").orderBy(key)) - 1).alias("ordinal"))
+    return numbered(rows.select(key, *group, "digest"), [*group, "digest"], [key], "place").select(key, *group, (F.col("place") - 1).alias("ordinal"))
 
 
 def custody_expectation(sources: dict[str, DataFrame], payload: list[str]) -> DataFrame:
@@ -238,7 +239,7 @@ def custody_union(sources: dict[str, DataFrame], payload: list[str]) -> DataFram
     parts = []
     for name, frame in sources.items():
         rows = frame.select(*payload).withColumn("digest", typed_digest(payload))
-        parts.append(rows.withColumn("ordinal", F.row_number().over(W.partitionBy("digest").orderBy(*payload))))
+        parts.append(numbered(rows, ["digest"], [], "ordinal"))
     return reduce(DataFrame.unionByName, parts).dropDuplicates(["digest", "ordinal"]).select(*payload)
 
 

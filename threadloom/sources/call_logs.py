@@ -15,10 +15,12 @@ RETENTION_DAYS = 30
 def read_segments(spark: SparkSession, root: str, done: DataFrame | None = None) -> DataFrame:
     """``(path, line_no, call_id, at, verb, failed, message)`` of lines beyond those that ``done`` (path, lines) has.
 
-    Secrets are blanked as the line is read. Lines that hold no JSON object have a null call_id.
+    Only ended lines count: one that is still being written is read when it is complete. Secrets are blanked as the line is read. Lines that hold no JSON object have a null call_id.
     """
     text = spark.read.option("pathGlobFilter", "*.jsonl").text(root, wholetext=True, recursiveFileLookup=True)
-    lines = text.select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("line_no", "line")).filter("trim(line) <> ''")
+    ended = F.substring_index("value", "\n", -1)  # what stands behind the last line end is still being written
+    whole = F.expr("substring(value, 1, length(value) - length(rest))")
+    lines = text.withColumn("rest", ended).select(F.input_file_name().alias("path"), F.posexplode(F.split(whole, "\n")).alias("line_no", "line")).filter("trim(line) <> ''")
     if done is not None:
         lines = lines.join(done.select("path", F.col("lines").alias("had")), "path", "left").filter("had IS NULL OR line_no >= had").drop("had")
     safe = redact_log("line")
