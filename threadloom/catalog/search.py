@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as T
 from threadloom.model import current, thinking_blocks
 from threadloom.operators import profile, search, vector
-from threadloom.session import table
+from threadloom.session import shared_folder, table
+from threadloom.sources.index import SearchIndex, VectorStore
 
 WORDS = ["ranking", "cursor"]
+#: Queries that are sent to all tasks at once.
+BLOCK = 1_024
 _FOLD = f"translate(lower({{0}}), '{T.FOLD_FROM}', '{T.FOLD_TO}')"
 _TOK = "regexp_extract_all(" + _FOLD.format("coalesce({0}, '')") + r", '[\p{{L}}\p{{N}}\p{{Co}}]+')"
 
@@ -56,8 +63,56 @@ def bm25_top(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
     """The same ranks from the index instead of the text."""
-    docs = table(spark, d, "documents")
-    return search.rank_postings(search.postings(docs, "doc_id", ["text"]), search.doc_lengths(docs, "doc_id", ["text"]), "doc_id", WORDS).filter("words = 2").select("doc_id", F.round("rank", 6).alias("rank"))
+    index = _stored_index(spark, d)
+    return index.rank(WORDS).filter("words = 2").select("doc_id", F.round("rank", 6).alias("rank"))
+
+
+def _stored_index(spark: SparkSession, d: str) -> SearchIndex:
+    """The stored index of the documents, brought up to them: built once, later calls add what changed."""
+    place = hashlib.sha256(f"{spark.sparkContext.applicationId}{d}".encode()).hexdigest()[:16]
+    index = SearchIndex(spark, f"{shared_folder(spark)}/index-{place}", "doc_id", ["text"])
+    index.build(table(spark, d, "documents"))
+    return index
+
+
+def index_follows(spark: SparkSession, d: str) -> DataFrame:
+    """What three builds of one index do: half of the documents, all with some changed, the same again."""
+    docs = table(spark, d, "documents").filter("doc_id IS NOT NULL").select("doc_id", "text")
+    index = SearchIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", "doc_id", ["text"])
+    changed = docs.withColumn("text", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" beacon"))).otherwise(F.col("text"))).filter("doc_id % 5 <> 0")
+    runs = [index.build(docs.filter("doc_id % 2 = 0")), index.build(changed), index.build(changed)]
+    counts = spark.createDataFrame([(i, r["added"], r["changed"], r["removed"]) for i, r in enumerate(runs, 1)], "run int, added bigint, changed bigint, removed bigint")
+    return counts.crossJoin(index.rank(["beacon"]).agg(F.count("*").alias("hits")))  # one row of hits
+
+
+def vector_store_follows(spark: SparkSession, d: str) -> DataFrame:
+    """What refreshes of one vector store do: half of the notes, all with some changed, the same again, another model."""
+    chunks = lambda rows: vector.chunk_identity(vector.chunks(rows, "id", "content", 400, 40), "memory", "id").select("locator", "chunk_index", "chunk", "fingerprint")
+    notes = table(spark, d, "memories").select("id", "content")
+    changed = chunks(notes.withColumn("content", F.when(F.col("id") % 7 == 0, F.upper("content")).otherwise(F.col("content"))).filter("id % 5 <> 0"))
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    store = VectorStore(spark, path, "m1")
+    runs = [store.refresh(chunks(notes.filter("id % 2 = 0"))), store.refresh(changed), store.refresh(changed)]
+    sealed = store.seal()
+    store.compact(changed)
+    assert store.is_unchanged(sealed)
+    runs.append(VectorStore(spark, path, "m2").refresh(changed))
+    return spark.createDataFrame([(i, r["added"], r["updated"], r["unchanged"], r["removed"]) for i, r in enumerate(runs, 1)], "run int, added bigint, updated bigint, unchanged bigint, removed bigint")
+
+
+def knn_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall at 20 of a shortlist of 160 a batch, for every query whose id is divisible by 50, against all rows."""
+    rows = table(spark, d, "embeddings")
+    queries = [(r.vec_id, list(r.embedding)) for r in rows.filter("vec_id % 50 = 0").select("vec_id", "embedding").limit(BLOCK).collect()]  # one block of stated queries
+    return vector.recall(rows, "vec_id", "embedding", queries, 20, 160).select((F.col("recall") >= 0.9).alias("enough"))
+
+
+def knn_block(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest rows of every query whose id is divisible by 50, block by block."""
+    rows = table(spark, d, "embeddings")
+    asked = [(r.vec_id, list(r.embedding)) for r in rows.filter("vec_id % 50 = 0").select("vec_id", "embedding").toLocalIterator()]
+    parts = [vector.knn_block(rows, "vec_id", "embedding", asked[at : at + BLOCK], 5, 160) for at in range(0, len(asked), BLOCK)]
+    return reduce(DataFrame.unionByName, parts).select(F.col("query").alias("query_id"), F.col("key").alias("vec_id"), F.round("score", 5).alias("score"))
 
 
 def postings_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -292,7 +347,7 @@ def cleaned_questions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_and, bm25_or, bm25_column_filter, bm25_top, bm25_postings, postings_stats, phrase_match, search_union_four_sources, search_layer, search_rescue, search_dedup_rank, rerank_hits,
+        bm25_and, bm25_or, bm25_column_filter, bm25_top, bm25_postings, index_follows, vector_store_follows, knn_recall, knn_block, postings_stats, phrase_match, search_union_four_sources, search_layer, search_rescue, search_dedup_rank, rerank_hits,
         like_all, like_any, like_accent_variant, like_floor, superseded_excluded, layer_filter, layer_excluded, task_notifications, fts_census_by_month, fts_frame,
         fold_words, tokenize_counts, search_terms, author_label, excerpts, clip_text, format_distribution, redact_log, redact_text, missing_referents, hostile_questions, digests,
         terrain_sources, terrain_months, terrain_terms, negative_space,
@@ -396,7 +451,20 @@ SELECT id, slot FROM m WHERE whole <> '' AND NOT regexp_matches(substr(q, strpos
     "terrain_terms": f"SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter({_tok('content')}, lambda w: length(w) >= 4 AND NOT regexp_full_match(w, '[0-9]+')))) AS term FROM memories) GROUP BY term ORDER BY n DESC, term LIMIT 8",
     "negative_space": f"SELECT w.word, (SELECT count(*) FROM memories WHERE list_contains({_tok('content')}, w.word)) AS n FROM (VALUES ('kettle'), ('zeppelin'), ('snapshot')) w(word)",
     "knn_exact": f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, {_Q} q ORDER BY {_COS} DESC, e.vec_id LIMIT 20",
-    "knn_quantized": f"SELECT e.vec_id, round({_COS}, 6) AS score FROM (SELECT e.* FROM embeddings e, {_Q} q ORDER BY list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: CASE WHEN (p[1] > 0) = (p[2] > 0) THEN 1 ELSE 0 END)) DESC, e.vec_id LIMIT 160) e, {_Q} q ORDER BY {_COS} DESC, e.vec_id LIMIT 20",
+    "knn_quantized": f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, {_Q} q ORDER BY {_COS} DESC, e.vec_id LIMIT 20",
+    "knn_recall": "SELECT true AS enough",
+    "knn_block": f"SELECT q.vec_id AS query_id, e.vec_id, round({_COS}, 5) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, e.vec_id) <= 5",
+    "index_follows": """WITH d AS (SELECT doc_id, coalesce(text, '') AS old, CASE WHEN doc_id % 7 = 0 THEN coalesce(text || ' beacon', '') ELSE coalesce(text, '') END AS new FROM documents WHERE doc_id IS NOT NULL),
+r AS (SELECT 1 AS run, count(*) FILTER (WHERE doc_id % 2 = 0) AS added, 0 AS changed, 0 AS removed FROM d
+  UNION ALL SELECT 2, count(*) FILTER (WHERE doc_id % 2 = 1 AND doc_id % 5 <> 0), count(*) FILTER (WHERE doc_id % 2 = 0 AND doc_id % 5 <> 0 AND old <> new), count(*) FILTER (WHERE doc_id % 2 = 0 AND doc_id % 5 = 0) FROM d
+  UNION ALL SELECT 3, 0, 0, 0)
+SELECT r.*, (SELECT count(*) FROM d WHERE doc_id % 5 <> 0 AND regexp_matches(lower(new), '(^|[^\\p{L}\\p{N}])beacon([^\\p{L}\\p{N}]|$)')) AS hits FROM r""",
+    "vector_store_follows": """WITH m AS (SELECT id, CAST(floor(greatest(length(content) - 41, 0) / 360) AS BIGINT) + 1 AS n FROM memories WHERE length(content) > 0),
+c AS (SELECT m.id, m.n, i, substring(content, CAST(i * 360 + 1 AS BIGINT), 400) AS old, CASE WHEN m.id % 7 = 0 THEN substring(upper(content), CAST(i * 360 + 1 AS BIGINT), 400) ELSE substring(content, CAST(i * 360 + 1 AS BIGINT), 400) END AS new FROM m JOIN memories USING (id), LATERAL (SELECT unnest(range(0, m.n)) AS i))
+SELECT 1 AS run, count(*) FILTER (WHERE id % 2 = 0) AS added, 0 AS updated, 0 AS unchanged, 0 AS removed FROM c
+UNION ALL SELECT 2, count(*) FILTER (WHERE id % 2 = 1 AND id % 5 <> 0), count(*) FILTER (WHERE id % 2 = 0 AND id % 5 <> 0 AND old <> new), count(*) FILTER (WHERE id % 2 = 0 AND id % 5 <> 0 AND old = new), count(*) FILTER (WHERE id % 2 = 0 AND id % 5 = 0) FROM c
+UNION ALL SELECT 3, 0, 0, count(*) FILTER (WHERE id % 5 <> 0), 0 FROM c
+UNION ALL SELECT 4, count(*) FILTER (WHERE id % 5 <> 0), 0, 0, 0 FROM c""",
     "knn_dedup_source": f"SELECT vec_id, round(s, 6) AS score, label FROM (SELECT e.vec_id, e.label, {_COS} AS s FROM embeddings e, {_Q} q QUALIFY row_number() OVER (PARTITION BY e.label ORDER BY {_COS} DESC, e.vec_id) = 1) ORDER BY s DESC, vec_id LIMIT 5",
     "knn_filtered_label": f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e, {_Q} q WHERE e.label = 3 ORDER BY {_COS} DESC, e.vec_id LIMIT 10",
     "federated_merge": f"SELECT e.vec_id, round({_COS}, 6) AS score, CASE WHEN e.vec_id % 2 = 0 THEN 'a' ELSE 'b' END AS database, 'm' AS model FROM embeddings e, {_Q} q ORDER BY {_COS} DESC, database, e.vec_id LIMIT 20",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -81,9 +81,10 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def sign_agreement(a: Column, b: Column) -> Column:
-    """Components of equal sign: the shortlist measure of a one-bit quantization."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.when((x > 0) == (y > 0), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+def quantized(embedding: Column) -> Column:
+    """A vector in one byte a component, relative to its largest; a null or zero vector stays null or zero."""
+    most = F.greatest(F.array_max(F.transform(embedding, lambda x: F.abs(x))), F.lit(1e-30))
+    return F.transform(embedding, lambda x: F.round(x / most * 127).cast("tinyint"))
 
 
 def sign_bits(embedding: Column) -> Column:
@@ -93,18 +94,18 @@ def sign_bits(embedding: Column) -> Column:
     return F.transform(words, lambda w: F.aggregate(F.slice(embedding, w * 64 + 1, F.lit(64)), F.lit(0).cast("bigint"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint"))))
 
 
-def knn(df: DataFrame, key: str, embedding: str, query: list[float], k: int = 10, shortlist: int | None = None, source: str | None = None) -> DataFrame:
+def knn(df: DataFrame, key: str, embedding: str, query: list[float], k: int = 10, shortlist: int | None = None, source: str | None = None, small: str | None = None) -> DataFrame:
     """``(key, score)`` of the k nearest by cosine, ties by key.
 
-    With ``shortlist`` only that many rows of best sign agreement are measured exactly; with ``source``
-    each source gives its best row only. k is at most MOST_HITS.
+    With ``shortlist`` only that many rows of best cosine between query and ``quantized`` vector (the column
+    ``small`` where it is stored) are measured exactly; with ``source`` each source gives its best row only. k is at most MOST_HITS.
     """
     if not 1 <= k <= MOST_HITS:
         raise ValueError(f"k is 1 to {MOST_HITS}")
     target = F.array(*[F.lit(float(x)) for x in query])
     rows = df.filter(F.size(embedding) == len(query))
     if shortlist:
-        rows = rows.withColumn("agree", sign_agreement(F.col(embedding), target)).orderBy(F.desc("agree"), key).limit(shortlist)
+        rows = rows.withColumn("near", cosine(F.col(small) if small else quantized(F.col(embedding)), target)).orderBy(F.desc("near"), key).limit(shortlist)
     scored = rows.withColumn("score", cosine(F.col(embedding), target))
     if source:
         best = W.partitionBy(source).orderBy(F.desc("score"), key)
@@ -112,6 +113,46 @@ def knn(df: DataFrame, key: str, embedding: str, query: list[float], k: int = 10
     return scored.select(key, "score", *([source] if source else [])).orderBy(F.desc("score"), key).limit(k)
 
 
+def knn_block(df: DataFrame, key: str, embedding: str, queries: list[tuple[object, list[float]]], k: int = 10, shortlist: int | None = None) -> DataFrame:
+    """``(query, key, score)`` of the k nearest of every query of one block, by cosine, ties by key.
+
+    The block is sent to every task; each Arrow batch gives its best rows of every query, so what is
+    shuffled is k rows a query and batch. With ``shortlist`` only that many rows a batch of best quantized
+    cosine are measured exactly. Null vectors and those of another size are left out.
+    """
+    ids, targets = [q for q, _ in queries], np.array([v for _, v in queries], dtype=np.float64).reshape(len(queries), -1)
+    targets = targets / np.maximum(np.linalg.norm(targets, axis=1, keepdims=True), 1e-30)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch) or not ids:
+                continue
+            keys, rows = batch["k"].to_numpy(), np.stack(batch["e"].to_numpy()).astype(np.float64)
+            unit = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-30)
+            exact = targets @ unit.T
+            if shortlist and shortlist < len(keys):
+                small = np.rint(rows / np.maximum(np.abs(rows).max(axis=1, keepdims=True), 1e-30) * 127)
+                near = targets @ (small / np.maximum(np.linalg.norm(small, axis=1, keepdims=True), 1e-30)).T
+                cut = np.partition(near, -shortlist, axis=1)[:, -shortlist][:, None]
+                exact = np.where(near >= cut, exact, -np.inf)
+            for i, q in enumerate(ids):
+                best = np.lexsort((keys, -exact[i]))[:k]
+                yield pd.DataFrame({"query": q, "key": keys[best], "score": exact[i][best]})
+
+    kinds = dict(df.dtypes)
+    held = df.filter(F.size(embedding) == targets.shape[1]).select(F.col(key).alias("k"), F.col(embedding).alias("e"))
+    found = held.mapInPandas(run, f"query {kinds[key]}, key {kinds[key]}, score double").filter("score > double('-infinity')")
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "key"))  # k rows a batch of rows
+    return found.withColumn("place", place).filter(F.col("place") <= k).drop("place")
+
+
+def recall(df: DataFrame, key: str, embedding: str, queries: list[tuple[object, list[float]]], k: int, shortlist: int) -> DataFrame:
+    """``(queries, recall)`` of the shortlist against the exact neighbours of one block of queries."""
+    exact = knn_block(df, key, embedding, queries, k)
+    found = knn_block(df, key, embedding, queries, k, shortlist).select("query", "key", F.lit(1).alias("hit"))
+    return exact.join(found, ["query", "key"], "left").agg(F.count_distinct("query").alias("queries"), (F.count("hit") / F.count("*")).alias("recall"))
+
+
 def federated_knn(stores: dict[str, tuple[str, DataFrame]], key: str, embedding: str, queries: dict[str, list[float]], k: int = 10) -> tuple[DataFrame | None, list[str]]:
     """Nearest rows over several stores. Stores of the asked models merge; others are named in a notice."""
     out, notices = None, []

@@ -31,24 +31,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, in local mode without it one that goes with this process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="threadloom-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return _LOCAL[0]
+
+
+#: The folder of local mode, once it is made.
+_LOCAL: list[str] = []
+
+
 def checkpoint(df: DataFrame, in_loop: bool = False) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder of the cluster.
 
-    The folder is ``spark.checkpoint.dir``. Only in local mode, where that is unset, a temporary folder of
-    this process is used, and removed when the process ends; on a cluster an unset folder is an error.
+    The folder is ``shared_folder``; on a cluster an unset one is an error.
     A checkpoint keeps the size that the optimizer estimated, for a join the product of both sides.
     ``in_loop`` leaves it unknown, since its digits would double with every round of joins.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="threadloom-checkpoint-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(spark))
     cut = df.checkpoint(eager=True)
     if not in_loop:
         return cut

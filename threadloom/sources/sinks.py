@@ -108,7 +108,8 @@ class VersionedTable:
             touched |= {str(i) for i in range(self.buckets)}
         merged = change(self._frame(p for b, p in held.items() if b == "all" or b in touched), rows).withColumn("__bucket", bucket)
         name = f"v-{uuid.uuid4().hex}"
-        merged.write.mode("errorifexists").partitionBy("__bucket").parquet(f"{self.path}/{name}")
+        # one file a bucket, several where a bucket is large: the optimizer splits and joins them by size
+        merged.hint("rebalance", "__bucket").write.mode("errorifexists").partitionBy("__bucket").parquet(f"{self.path}/{name}")
         counts = self.spark.read.parquet(f"{self.path}/{name}").groupBy(F.col("__bucket").cast("string")).count().collect() if merged.columns else []
         fresh = {r[0]: {"folder": f"{name}/__bucket={r[0]}", "rows": r[1]} for r in counts}
         return self._commit(base, {b: p for b, p in held.items() if b != "all" and b not in touched} | fresh)
