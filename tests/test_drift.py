@@ -49,7 +49,7 @@ def test_repeats_and_extra_columns_change_nothing(spark):
 def test_unified_table_has_one_column_for_a_renamed_field(spark):
     frame = records(spark, {1: [{"id": "a", "title": "x"}, {"id": "q", "title": "w"}], 2: [{"id": "a", "name": "x"}]})
     table = unified(frame, drift_report(frame), "k")
-    assert table.columns == ["record_id", "file_path", "id", "title"] and sorted(r.title for r in table.collect()) == ["w", "x", "x"]
+    assert table.columns == ["record_id", "file_path", "id", "title", "rest"] and table.filter("rest IS NOT NULL").isEmpty() and sorted(r.title for r in table.collect()) == ["w", "x", "x"]
 
 
 def test_matching_is_of_greatest_weight():
@@ -67,3 +67,17 @@ def test_small_helpers():
     assert parse_object(None) is None and parse_object("[]") is None and parse_object('{"a"') is None
     assert sorted(p for p, _, _ in paths_of({"a": {"b": [1], "c": None}})) == ["a", "a.b", "a.c"]
     assert name_similarity("createdAtMs", "created_at_ms") == 1.0
+
+
+def test_unified_table_is_typed_keeps_both_values_and_renames_by_stream(spark):
+    frame = records(spark, {1: [{"id": "a", "title": "x", "n": 1, "f": 1, "b": True, "m": 1}], 2: [{"id": "a", "name": "x", "n": 2, "f": 1.5, "b": False, "m": "t"}, {"id": "b", "name": "y", "title": "z", "n": 9007199254740993}]})
+    other = spark.createDataFrame([(90, "k", "other", "g1", 1, '{"id": "o", "name": "own"}', "o")], SCHEMA)
+    report = drift_report(frame)
+    table = unified(frame.unionByName(other), report.filter("change = 'renamed'").unionByName(spark.createDataFrame([("f2", "renamed", "title", "name")], report.schema)).distinct(), "k")
+    assert dict(table.dtypes) | {"n": "bigint", "f": "double", "b": "boolean", "m": "string"} == dict(table.dtypes)
+    found = {r.record_id: r for r in table.collect()}
+    assert found[2].n == 9007199254740993 and json.loads(found[2].rest) in ({"title": "z"}, {"name": "y"}) and found[90].name == "own"
+    named = unified(records(spark, {1: [{"id": "a", "rest": 1, "Title": "x", "title": "y", "file_path": "f"}]}), report, "k")
+    assert len({c.lower() for c in named.columns}) == len(named.columns) == 8 and named.first().rest_ == 1
+    few = unified(frame, report, "k", most=2)
+    assert len(few.columns) == 5 and "m" in json.loads(few.filter("record_id = 0").first().rest)

@@ -195,44 +195,101 @@ def drift_report(records: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return ready.mapInPandas(changes, "file_path string, change string, old_path string, new_path string").distinct()
 
 
-def unified(records: DataFrame, report: DataFrame, kind: str) -> DataFrame:
-    """All records of one kind in one wide table: renamed paths share the column of their commonest name.
+#: Columns of a unified table; the fields seen least stay in its ``rest``.
+MOST_COLUMNS = 2_000
+_LEAF_TYPES = {"integer": "bigint", "number": "double", "boolean": "boolean"}
 
-    Columns are record_id, file_path and one string column for each leaf field (objects are opened,
-    arrays stay JSON text); a field that a record lacks is null. The column list is the schema, whose
-    size the number of distinct paths bounds.
+
+def _leaf(kind: str, value: object) -> str:
+    return "integer" if kind == "number" and isinstance(value, int) and abs(value) < 1 << 63 else kind
+
+
+def _leaves(records: DataFrame) -> DataFrame:
+    """(stream_name, path, type, n) of the fields that hold values, integers apart from other numbers."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            seen: dict = defaultdict(int)
+            for stream, payload in zip(batch["stream_name"], batch["payload"]):
+                for path, kind, value in paths_of(parse_object(payload) or {}):
+                    if kind not in ("object", "null"):
+                        seen[stream, path, _leaf(kind, value)] += 1
+            yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["stream_name", "path", "type", "n"])
+
+    return records.select("stream_name", "payload").mapInPandas(run, "stream_name string, path string, type string, n bigint").groupBy("stream_name", "path", "type").agg(F.sum("n").alias("n"))
+
+
+def unified(records: DataFrame, report: DataFrame, kind: str, most: int = MOST_COLUMNS) -> DataFrame:
+    """All records of one kind in one wide table: paths renamed within a stream share the column of their commonest name.
+
+    Columns are record_id, file_path, one for each leaf field (objects are opened, arrays stay JSON text) and
+    ``rest``. A column whose values are all integers, numbers or truth values has that type, any other is
+    text; a field that a record lacks is null. ``rest`` holds as JSON what has no column of its own: the second of
+    two values of one record that share a column, and fields beyond the ``most`` commonest. No value is lost.
     """
     own = records.filter(F.col("kind") == kind)
-    counted = profile(own).filter("type NOT IN ('object', 'null')").groupBy("path").agg(F.sum("seen").alias("n")).collect()
-    seen = {r["path"]: r["n"] for r in counted}
-    group = {p: p for p in seen}
-
-    def top(p: str) -> str:
-        while group[p] != p:
-            p = group[p]
+    leaves = checkpoint(_leaves(own))
+    common = leaves.groupBy("path").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "path").limit(most)  # the columns: at most ``most`` names come to the driver
+    total = {r["path"]: r["n"] for r in common.collect()}
+    files = own.select("file_path", "stream_name").distinct()
+    renames = report.filter("change = 'renamed'").join(files, "file_path").select("stream_name", "old_path", "new_path").distinct()
+    names = sorted(total)
+    kept = F.broadcast(records.sparkSession.createDataFrame([(n,) for n in names], "path string"))
+    renames = renames.join(kept.withColumnRenamed("path", "old_path"), "old_path").join(kept.withColumnRenamed("path", "new_path"), "new_path")
+    group: dict[tuple[str, str], str] = {}  # (stream, path) to the path that names its column; one entry a renamed path of the kept ones
+
+    def top(stream: str, p: str) -> str:
+        while group.get((stream, p), p) != p:
+            p = group[stream, p]
         return p
 
-    renames = report.filter("change = 'renamed'").join(own.select("file_path").distinct(), "file_path", "left_semi").select("old_path", "new_path").distinct()
-    for r in sorted(renames.collect()):
-        if r["old_path"] in seen and r["new_path"] in seen:
-            a, b = sorted((top(r["old_path"]), top(r["new_path"])), key=lambda p: (-seen[p], p))
-            group[b] = a
-    names = sorted({top(p) for p in seen})
-    place = {p: names.index(top(p)) for p in seen}
+    for r in sorted(renames.select("stream_name", "old_path", "new_path").toLocalIterator()):
+        a, b = sorted((top(r[0], r[1]), top(r[0], r[2])), key=lambda p: (-total[p], p))
+        group[r[0], b] = a
+    column = {k: top(*k) for k in group}
+    mapping = records.sparkSession.createDataFrame([(s, p, c) for (s, p), c in column.items()], "stream_name string, path string, shown string")
+    kinds = leaves.join(kept, "path").join(F.broadcast(mapping), ["stream_name", "path"], "left").groupBy(F.coalesce("shown", "path").alias("column"), "type").agg(F.sum("n").alias("n")).collect()
+    types: dict[str, set[str]] = defaultdict(set)
+    for r in kinds:
+        types[r["column"]].add(r["type"])
+    shown = sorted(types)
+    of = {c: "double" if types[c] == {"integer", "number"} else _LEAF_TYPES.get(next(iter(types[c])), "string") if len(types[c]) == 1 else "string" for c in shown}
+    place = {c: i for i, c in enumerate(shown)}
+    labels: list[str] = []  # column names: not those of the table itself, and no two alike but for letter case
+    taken = {"record_id", "file_path", "rest"}
+    for c in shown:
+        label = c
+        while label.lower() in taken:
+            label += "_"
+        taken.add(label.lower())
+        labels.append(label)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for record_id, file_path, payload in zip(batch["record_id"], batch["file_path"], batch["payload"]):
+            for record_id, file_path, stream, payload in zip(batch["record_id"], batch["file_path"], batch["stream_name"], batch["payload"]):
                 record = parse_object(payload)
                 if record is None:
                     continue
-                row: list = [None] * len(names)
-                for path, kind_, value in paths_of(record):
-                    if kind_ not in ("object", "null") and path in place and row[place[path]] is None:
-                        row[place[path]] = value if isinstance(value, str) else json.dumps(value)
-                out.append((record_id, file_path, *row))
-            yield pd.DataFrame(out, columns=["record_id", "file_path", *names])
-
-    columns = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    return own.select("record_id", "file_path", "payload").mapInPandas(run, "record_id bigint, file_path string" + (", " + columns if columns else ""))
+                row: list = [None] * len(shown)
+                rest = {}
+                for path, kind_, value in sorted(paths_of(record), key=lambda x: x[0]):
+                    if kind_ in ("object", "null"):
+                        continue
+                    name = column.get((stream, path), path)
+                    at = place.get(name)
+                    if at is None or row[at] is not None:
+                        rest[path] = value
+                    elif of[name] == "string":
+                        row[at] = value if isinstance(value, str) else json.dumps(value)
+                    else:
+                        row[at] = float(value) if of[name] == "double" else value
+                out.append((record_id, file_path, *row, json.dumps(rest, sort_keys=True) if rest else None))
+            frame = pd.DataFrame(out, columns=["record_id", "file_path", *labels, "rest"])
+            for name, label in zip(shown, labels):
+                if of[name] in ("bigint", "double"):
+                    frame[label] = frame[label].astype("Int64" if of[name] == "bigint" else "Float64")
+            yield frame
+
+    columns = "".join(f", `{label.replace('`', '``')}` {of[n]}" for n, label in zip(shown, labels))
+    return own.select("record_id", "file_path", "stream_name", "payload").mapInPandas(run, f"record_id bigint, file_path string{columns}, rest string")
