@@ -8,16 +8,19 @@ all words of a batch take one transition a step.
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 
 
 class Lexicon:
-    """``base``: first edge of each state; edges sorted by byte within a state."""
+    """``keys``: (state, byte) of each edge as one sorted number, so a transition is one binary search, vectorised over words.
+
+    All arrays are used as they are mapped: a task holds no copy of them.
+    """
 
-    def __init__(self, base: np.ndarray, labels: np.ndarray, targets: np.ndarray, skips: np.ndarray, final: np.ndarray, outputs: np.ndarray) -> None:
-        self.base, self.labels, self.targets, self.skips, self.final, self.outputs = base, labels, targets, skips, final, outputs
-        # (state, byte) as one sorted key: a transition is one binary search, vectorised over words
-        self.keys = np.repeat(np.arange(len(base) - 1, dtype=np.int64), np.diff(base)) * 256 + labels
+    def __init__(self, keys: np.ndarray, targets: np.ndarray, skips: np.ndarray, final: np.ndarray, outputs: np.ndarray) -> None:
+        self.keys, self.targets, self.skips, self.final, self.outputs = keys, targets, skips, final, outputs
 
     @classmethod
     def build(cls, words: dict[bytes, int]) -> Lexicon:
@@ -52,31 +55,31 @@ class Lexicon:
             below.append(is_word + sum(below[t] for _, t in edges))
         order = [root, *(s for s in range(len(frozen)) if s != root)]
         place = {s: i for i, s in enumerate(order)}
-        base, labels, targets, skips, final = [0], [], [], [], []
+        keys, targets, skips, final = [], [], [], []
         for s in order:
             is_word, edges = frozen[s]
             skip = int(is_word)
             for byte, t in edges:
-                labels.append(byte)
+                keys.append(place[s] * 256 + byte)
                 targets.append(place[t])
                 skips.append(skip)
                 skip += below[t]
-            final.append(is_word)
-            base.append(len(labels))
-        return cls(*(np.array(a, dtype=t) for a, t in ((base, np.int64), (labels, np.int64), (targets, np.int64), (skips, np.int64), (final, bool), ([words[w] for w in ordered], np.int32))))
+            final.append(int(is_word))
+        return cls(*(np.array(a, dtype=np.int64) for a in (keys, targets, skips, final, [words[w] for w in ordered])))
 
-    def save(self, path: str) -> None:
-        flat = np.concatenate([np.array([len(self.base), len(self.labels), len(self.outputs)]), self.base, self.labels, self.targets, self.skips, self.final.astype(np.int64), self.outputs.astype(np.int64)])
-        with open(path, "wb") as file:
-            np.save(file, flat)
+    def to_bytes(self) -> bytes:
+        """The arrays in one numpy file, which ``load`` maps."""
+        sizes = np.array([len(self.keys), len(self.final), len(self.outputs)])
+        out = io.BytesIO()
+        np.save(out, np.concatenate([sizes, self.keys, self.targets, self.skips, self.final, self.outputs]))
+        return out.getvalue()
 
     @classmethod
     def load(cls, path: str) -> Lexicon:
         flat = np.load(path, mmap_mode="r")
-        states, edges, words = (int(x) for x in flat[:3])
-        cuts = np.cumsum([3, states, edges, edges, edges, states - 1, words])
-        parts = [flat[a:b] for a, b in zip(cuts, cuts[1:])]
-        return cls(*parts[:4], parts[4].astype(bool), parts[5])
+        edges, states, words = (int(x) for x in flat[:3])
+        cuts = np.cumsum([3, edges, edges, edges, states, words])
+        return cls(*(flat[a:b] for a, b in zip(cuts, cuts[1:])))
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """The output of each word, -1 for words that are not in the lexicon."""
@@ -98,7 +101,7 @@ class Lexicon:
             number[live] += self.skips[edge]
             step += 1
             ended = live[lengths[live] == step]
-            ended = ended[self.final[state[ended]]]
+            ended = ended[self.final[state[ended]] != 0]
             out[ended] = self.outputs[number[ended]]
             live = live[lengths[live] > step]
         return out

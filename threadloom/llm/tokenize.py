@@ -12,18 +12,19 @@ import base64
 import hashlib
 import heapq
 import os
-import tempfile
+import uuid
 from collections.abc import Iterator
 from itertools import chain
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.lexicon import Lexicon
+from threadloom.session import shared_folder
 
 #: Folder of the public vocabulary files.
 TOKENIZERS = os.environ.get("THREADLOOM_TOKENIZERS", "/opt/tokenizers")
@@ -94,46 +95,42 @@ class Encoder:
         return [list(chain.from_iterable(map(look, own))) for own in pieces]
 
 
-def _shared_folder(spark: SparkSession) -> str | None:
-    """The cluster's shared folder as a path, where it is a mounted file system."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        return tempfile.gettempdir() if spark.sparkContext.master.startswith("local") else None
-    parsed = urlparse(named)
-    return parsed.path if parsed.scheme in ("", "file") else None
+def _publish(spark: SparkSession, vocabulary: str) -> tuple[str, dict[bytes, int]]:
+    """Compile the lexicon once into the shared folder and hand it to every executor; gives the file's name.
 
-
-def _publish(spark: SparkSession, vocabulary: str) -> tuple[str | None, dict[bytes, int]]:
-    """Compile the lexicon once and put it where every executor can map it."""
+    The file is written through the cluster's file system, whatever that is, and executors fetch it from there.
+    """
     ranks = load_ranks(vocabulary)
-    folder = _shared_folder(spark)
-    if folder is None:
-        return None, ranks
-    os.makedirs(folder, exist_ok=True)
     with open(vocabulary, "rb") as file:
-        path = os.path.join(folder, f"lexicon-{hashlib.sha256(file.read()).hexdigest()[:16]}.npy")
-    if not os.path.exists(path):
-        part = f"{path}.{os.getpid()}"
-        Lexicon.build(ranks).save(part)
-        os.replace(part, path)
-    return path, ranks
+        name = f"lexicon-{hashlib.sha256(file.read()).hexdigest()[:16]}.npy"
+    where = f"{shared_folder(spark)}/{name}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(where).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path(where)):
+        part = path(f"{where}.{uuid.uuid4().hex}")
+        stream = fs.create(part, True)
+        stream.write(bytearray(Lexicon.build(ranks).to_bytes()))
+        stream.close()
+        if not fs.rename(part, path(where)):
+            fs.delete(part, False)  # another session was first
+    spark.sparkContext.addFile(where)
+    return name, ranks
 
 
 def encode_column(df: DataFrame, key: str, column: str, vocabulary: str | None = None) -> DataFrame:
     """``(key, ids array<int>)`` of every row; repeated rows are repeated, null keys are kept.
 
-    ``vocabulary`` is a rank file of TOKENIZERS. Without a mounted shared folder each task compiles
-    the lexicon itself.
+    ``vocabulary`` is a rank file of TOKENIZERS.
     """
     vocabulary = vocabulary or os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
     spark = df.sparkSession
-    path, ranks = _publish(spark, vocabulary)
+    lexicon, ranks = _publish(spark, vocabulary)
     sent = spark.sparkContext.broadcast(ranks)  # a vocabulary, not data: its size is fixed by the tokenizer
-    name = (vocabulary, path)
+    name = (vocabulary, lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _READY:
-            _READY[name] = (Encoder(sent.value, Lexicon.load(path) if path else Lexicon.build(sent.value)),)
+            _READY[name] = (Encoder(sent.value, Lexicon.load(SparkFiles.get(lexicon))),)
         encoder = _READY[name][0]
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
