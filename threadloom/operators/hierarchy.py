@@ -74,8 +74,10 @@ def _traverse(keys: list, parents: list, marks: list, replies: list) -> tuple[pd
     colour, root, depth, size, order = bytearray(n), [-1] * n, [-1] * n, [0] * n, [0] * n
     seen_mark, answered, back = [-1] * n, bytearray(n), bytearray(n)
     visited: list[int] = []
-    for component in _components(up):
-        stack = [i for i in component if up[i] < 0]  # one root, or none where the links close a cycle
+    # a component has one root, or none where its links close a cycle; roots are visited in key order
+    starts = [(next((i for i in component if up[i] < 0), None), component) for component in _components(up)]
+    for first, component in sorted(starts, key=lambda x: (x[0] is None, keys[x[0]] if x[0] is not None else keys[x[1][0]])):
+        stack = [first] if first is not None else []
         while stack:
             i = stack[-1]
             if colour[i] == 0:
@@ -100,8 +102,8 @@ def _traverse(keys: list, parents: list, marks: list, replies: list) -> tuple[pd
                 colour[i] = 1
                 trail.append(i)
                 i = up[i]
-            if trail and colour[i] == 1:  # the parent is still grey: this edge closes the cycle
-                back[trail[-1]] = 1
+            if trail and colour[i] == 1:  # the parent is still grey: a cycle is closed, and its smallest node stands for the edge
+                back[min(trail[trail.index(i) :], key=keys.__getitem__)] = 1
             for j in trail:
                 colour[j] = 2
     out = {
