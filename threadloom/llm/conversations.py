@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.blank import is_blank
 from threadloom.operators.hierarchy import COMPONENT_LIMIT, Finish, hierarchy
-from threadloom.operators.skew import join_unique
+from threadloom.operators.skew import join_unique, numbered
 from threadloom.session import checkpoint
 
 # Spellings of the two speakers.
@@ -49,7 +49,7 @@ def message_events(events: DataFrame) -> DataFrame:
     return rows.withColumn("visible", visible).withColumn("replies", visible & (F.col("role") == "assistant")).withColumn("names_parent", F.col("parent").isNotNull())
 
 
-_MORE = "reason string, versions bigint, final boolean, current boolean"
+_MORE = "reason string, versions bigint, final boolean, current boolean, turn_no bigint"
 
 
 def _finish_bucket(nodes: pd.DataFrame) -> pd.DataFrame:
@@ -64,13 +64,15 @@ def _finish_bucket(nodes: pd.DataFrame) -> pd.DataFrame:
     out["reason"] = None
     for fault, reason in ((state["open"], "no_reply"), (state["broken"], "broken"), (~state["seen"], "empty")):
         out.loc[fault.astype(bool), "reason"] = reason
-    out["versions"], out["final"], out["current"] = 0, False, False
+    out["versions"], out["final"], out["current"], out["turn_no"] = 0, False, False, 0
     shown = out[visible].sort_values(["created_at", "node"], na_position="first")
     beside = shown.groupby(["scope", "role", "marked"], dropna=False, sort=False)["node"]
     out.loc[shown.index, "versions"] = beside.transform("size")
     out.loc[shown.index, "final"] = beside.transform("last") == shown["node"]
     current: dict = {}
-    for i, scope, node, marked, final in out.loc[shown.index].sort_values("visit")[["scope", "node", "marked", "final"]].itertuples():
+    walked = out.loc[shown.index].sort_values("visit")
+    out.loc[walked.index, "turn_no"] = walked.groupby("scope", sort=False).cumcount() + 1
+    for i, scope, node, marked, final in walked[["scope", "node", "marked", "final"]].itertuples():
         current[scope, node] = (i, bool(final and (marked is None or current.get((scope, marked), (0, False))[1])))
     found = list(current.values())
     out.loc[[i for i, _ in found], "current"] = [c for _, c in found]
@@ -91,9 +93,10 @@ def _finish_frame(nodes: DataFrame) -> DataFrame:
     shown = checkpoint(shown)
     above = hierarchy(shown.select("scope", "node", "marked", (~F.col("final")).alias("replaced")), "node", "marked", scope="scope", mark="replaced", with_order=False)
     shown = shown.join(above.select("scope", "node", F.col("marked").isNull().alias("kept")), ["scope", "node"]).withColumn("current", F.col("final") & F.col("kept")).drop("kept")
-    hidden = nodes.filter("NOT visible").withColumn("versions", F.lit(0).cast("bigint")).withColumn("final", F.lit(False)).withColumn("current", F.lit(False))
+    shown = numbered(shown, ["scope"], ["visit"], "turn_no")
+    hidden = nodes.filter("NOT visible").withColumn("versions", F.lit(0).cast("bigint")).withColumn("final", F.lit(False)).withColumn("current", F.lit(False)).withColumn("turn_no", F.lit(0).cast("bigint"))
     whole = shown.unionByName(hidden)
-    return join_unique(whole, state, "scope", "n", total).select(*nodes.columns, "reason", "versions", "final", "current")
+    return join_unique(whole, state, "scope", "n", total).select(*nodes.columns, "reason", "versions", "final", "current", "turn_no")
 
 
 def message_trees(events: DataFrame, ordered: bool = True, limit: int = COMPONENT_LIMIT) -> DataFrame:
@@ -150,7 +153,7 @@ def broken_sessions(exchanges: DataFrame, sessions: DataFrame) -> DataFrame:
 def chat_turns(events: DataFrame, limit: int = COMPONENT_LIMIT) -> DataFrame:
     """Visible turns of the sound conversations in reading order.
 
-    turn_no orders depth first. ``versions`` counts the alternatives of one speaker under one visible
+    turn_no counts the turns of a conversation from 1, depth first. ``versions`` counts the alternatives of one speaker under one visible
     ancestor, ``change`` tells what the turn is (create, edit of a question, retry of an answer), ``final``
     marks the latest alternative and ``current`` the turns that only latest alternatives lead to. Texts are
     joined last, to the kept turns alone, from the same delivery that gave the flags.
@@ -159,7 +162,7 @@ def chat_turns(events: DataFrame, limit: int = COMPONENT_LIMIT) -> DataFrame:
     turns = message_trees(deliveries, limit=limit).filter("visible AND reason IS NULL")
     turns = turns.withColumn("change", F.when(F.col("versions") == 1, "create").when(F.col("role") == "human", "edit").otherwise("retry"))
     texts = deliveries.groupBy("conv_key", "uuid").agg(F.max_by("text", "version").alias("text"))
-    return turns.join(texts, ["conv_key", "uuid"]).select("conv_key", F.col("visit").alias("turn_no"), "depth", "role", "uuid", "asked_by", "versions", "change", "final", "current", "text")
+    return turns.join(texts, ["conv_key", "uuid"]).select("conv_key", "turn_no", "depth", "role", "uuid", "asked_by", "versions", "change", "final", "current", "text")
 
 
 def session_turns(exchanges: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -50,6 +50,22 @@ sess AS (SELECT session_id AS c FROM sessions WHERE session_id IS NOT NULL UNION
 res AS (SELECT 'chat_messages' AS src, c AS conv_key, CASE WHEN NOT vis THEN 'empty' WHEN broken THEN 'broken' WHEN open THEN 'no_reply' END AS reason FROM cs
   UNION ALL SELECT 'exchanges', sess.c, CASE WHEN coalesce(silent, true) THEN 'empty' WHEN broken THEN 'broken' WHEN ab THEN 'no_reply' END FROM sess LEFT JOIN ss ON ss.c = sess.c)
 SELECT * FROM res WHERE reason IS NOT NULL""",
+    "p1_chat_turns": f"""
+WITH RECURSIVE raw AS (SELECT trim(conversation_uuid) AS c, trim(uuid) AS u, arg_max(text, (ingested_at, created_at)) AS text, arg_max(created_at, (ingested_at, created_at)) AS made, arg_max(lower(trim(sender)), (ingested_at, created_at)) AS s,
+    arg_max(CASE WHEN translate(trim(parent_message_uuid), '0-', '') = '' OR trim(parent_message_uuid) = '00000000-0000-4000-8000-000000000000' THEN '' ELSE trim(parent_message_uuid) END, (ingested_at, created_at)) AS p FROM chat_messages GROUP BY 1, 2),
+msg AS (SELECT c, u, text, made, nullif(p, '') AS p, coalesce(s, '') = '' AS nosender, CASE WHEN s IN ('human', 'user') THEN 'human' WHEN s IN ('assistant', 'ai') THEN 'assistant' ELSE 'other' END AS r,
+    NOT {_BLANK.format("text")} AND coalesce(s IN ('human', 'user', 'assistant', 'ai'), false) AS vis FROM raw),
+link AS (SELECT m.*, q.u IS NOT NULL AS ok FROM msg m LEFT JOIN msg q ON q.c = m.c AND q.u = m.p),
+walk AS (SELECT c, u, vis, [u] AS path, 0 AS depth, CAST(NULL AS VARCHAR) AS near FROM link WHERE NOT ok
+  UNION ALL SELECT l.c, l.u, l.vis, list_append(w.path, l.u), w.depth + 1, CASE WHEN w.vis THEN w.u ELSE w.near END FROM link l JOIN walk w ON w.c = l.c AND w.u = l.p WHERE l.ok),
+answered AS (SELECT DISTINCT w.c, w.near FROM walk w JOIN msg m ON m.c = w.c AND m.u = w.u WHERE m.vis AND m.r = 'assistant' AND w.near IS NOT NULL),
+bad AS (SELECT l.c FROM link l LEFT JOIN walk w ON w.c = l.c AND w.u = l.u LEFT JOIN answered a ON a.c = l.c AND a.near = l.u GROUP BY 1
+  HAVING NOT bool_or(l.vis) OR bool_or(l.nosender OR (l.p IS NOT NULL AND NOT l.ok) OR w.u IS NULL) OR bool_or(l.vis AND l.r = 'human' AND a.near IS NULL)),
+shown AS (SELECT m.c, m.u, m.r, m.made, m.text, w.depth, w.near, row_number() OVER (PARTITION BY m.c ORDER BY w.path) AS n, count(*) OVER g AS versions, row_number() OVER (g ORDER BY m.made DESC NULLS LAST, m.u DESC) = 1 AS final
+  FROM msg m JOIN walk w ON w.c = m.c AND w.u = m.u WHERE m.vis AND m.c NOT IN (SELECT c FROM bad) WINDOW g AS (PARTITION BY m.c, m.r, w.near)),
+live AS (SELECT c, u, final AS current FROM shown WHERE near IS NULL UNION ALL SELECT s.c, s.u, s.final AND l.current FROM shown s JOIN live l ON l.c = s.c AND l.u = s.near)
+SELECT s.c AS conv_key, CAST(n AS BIGINT) AS turn_no, CAST(depth AS BIGINT) AS depth, r AS role, s.u AS uuid, near AS asked_by, versions, CASE WHEN versions = 1 THEN 'create' WHEN r = 'human' THEN 'edit' ELSE 'retry' END AS change, final, current, text
+FROM shown s JOIN live l ON l.c = s.c AND l.u = s.u""",
     "p1_session_turns": f"""
 WITH ex AS (SELECT session_id AS c, exchange_number AS n, id, human_text AS h, agent_text AS a, {_BLANK.format("human_text")} AS hb, {_BLANK.format("agent_text")} AS ab FROM exchanges WHERE session_id IS NOT NULL),
 nums AS (SELECT c, n, count(DISTINCT (h, a)) AS texts, bool_and(ab) AS ab, bool_and(ab AND hb) AS silent FROM ex GROUP BY 1, 2),
