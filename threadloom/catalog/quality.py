@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import instant
 from threadloom.operators import ingest, quality
-from threadloom.session import table
+from threadloom.session import checkpoint, shared_folder, table
+from threadloom.sources.sinks import CorpusWriter, VersionedTable, backup
 
 PAYLOAD = ["session_id", "exchange_number", "human_text", "agent_text"]
 _P = ", ".join(PAYLOAD)
@@ -231,7 +234,7 @@ def enrich_richer_signal(spark: SparkSession, d: str) -> DataFrame:
 
 def session_refresh(spark: SparkSession, d: str) -> DataFrame:
     old = table(spark, d, "sessions").withColumn("updated_at", F.lit("2025-06-01T00:00:00Z"))
-    new = old.filter("session_id IS NOT NULL").withColumn("snapshot", F.crc32("session_id") % 2 == 0).withColumn("updated_at", F.when(F.crc32("session_id") % 3 == 0, "2025-05-01T00:00:00Z").otherwise("2025-07-01T00:00:00Z")).withColumn("project", F.lit("fresh")).withColumn("title", F.lit("fresh title"))
+    new = old.filter("session_id IS NOT NULL").withColumn("snapshot", F.ascii(F.substring("session_id", -1, 1)) % 2 == 0).withColumn("updated_at", F.when(F.ascii(F.substring("session_id", -1, 1)) % 3 == 0, "2025-05-01T00:00:00Z").otherwise("2025-07-01T00:00:00Z")).withColumn("project", F.lit("fresh")).withColumn("title", F.lit("fresh title"))
     return ingest.refresh_sessions(old, new).groupBy("project", F.col("title") == "fresh title").agg(F.count("*").alias("n")).withColumnRenamed("(title = fresh title)", "new_title")
 
 
@@ -252,6 +255,64 @@ def tree_reparent(spark: SparkSession, d: str) -> DataFrame:
     return ingest.surviving_parents(rows, "conversation_uuid", "uuid", "parent", "shown").select("node", "parent")
 
 
+def _alone(spark: SparkSession, d: str) -> DataFrame:
+    """Exchanges that nothing in their session can be taken for: number, question, answer and pair of times each once, none blank."""
+    rows = table(spark, d, "exchanges").filter("session_id IS NOT NULL AND exchange_number IS NOT NULL AND trim(human_text) <> '' AND trim(agent_text) <> ''")
+    for c in ("exchange_number", "human_text"):
+        once = rows.groupBy("session_id", c).agg(F.count("*").alias("n")).filter("n = 1").drop("n")
+        rows = rows.join(once, ["session_id", c])
+    return rows.select(
+        "session_id", "exchange_number", "human_text", "agent_text", F.lit(None).cast("string").alias("human_timestamp"), F.lit(None).cast("string").alias("agent_timestamp"), F.lit(None).cast("string").alias("source_id"), "model", "provider",
+        "tokens_in", "tokens_out", "tokens_reasoning", "response_latency_ms", "is_after_compaction",
+    )
+
+
+def exchange_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Exchanges after a second delivery with other fields, other numbers and new rows."""
+    rows = _alone(spark, d)
+    part = F.length("human_text") % 4
+    stored = rows.filter(part != 3).withColumn("model", F.when(part == 0, F.lit(None)).otherwise(F.col("model"))).withColumn("provider", F.lit(None).cast("string"))
+    incoming = rows.withColumn("tokens_in", F.lit(None).cast("bigint")).withColumn("tokens_out", F.lit(None).cast("bigint")).withColumn("tokens_reasoning", F.lit(None).cast("bigint")).withColumn("model", F.lit("later")).withColumn("provider", F.lit("new")).withColumn("agent_text", F.when(part == 1, F.lit(None)).otherwise(F.col("agent_text")))
+    return ingest.merge_exchanges(stored, incoming)[0].select("session_id", "exchange_number", "human_text", F.length("agent_text").alias("answer_length"), "model", "provider", "tokens_in")
+
+
+def memory_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Notes after a second delivery: updated, stamped, attributed, resolved and inserted ones."""
+    notes = table(spark, d, "memories").select(F.concat(F.lit("f"), F.col("id") % 97).alias("path"), F.col("id").alias("source_id"), "content", "project", F.lit("2025-06-01T00:00:00Z").alias("updated_at"), F.lit("active").alias("status"), F.lit("{}").alias("metadata"))
+    fresh = notes.filter("source_id % 5 <> 0").withColumn("content", F.when(F.col("source_id") % 4 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))).withColumn("updated_at", F.when(F.col("source_id") % 3 == 0, "2030-01-01T00:00:00Z").otherwise("2001-01-01T00:00:00Z"))
+    read = notes.select("path").filter("path <> 'f3'").distinct()
+    merged = ingest.merge_memories(notes.filter("source_id % 9 <> 0"), fresh, ["path", "source_id"], read)
+    return merged.select("source_id", F.length("content").alias("size"), "updated_at", "status", F.col("metadata").contains("superseded").alias("superseded"))
+
+
+def sink_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """A table after two upserts into its buckets, and its first version beside it."""
+    target = VersionedTable(spark, f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}")
+    rows = table(spark, d, "sessions").filter("session_id IS NOT NULL").select("session_id", "title")
+    target.upsert(rows.filter("title IS NOT NULL"), ["session_id"])
+    target.upsert(rows.withColumn("title", F.upper("title")), ["session_id"])
+    count = lambda df, v: df.agg(F.count("*").alias("n"), F.count("title").alias("titles"), F.count(F.when(F.col("title") == F.upper("title"), 1)).alias("upper")).withColumn("version", F.lit(v))
+    return count(target.read(1), 1).unionByName(count(target.read(), 2))
+
+
+def sink_backup(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a verified backup."""
+    rows, digest = backup(table(spark, d, "memories"), f"{shared_folder(spark)}/backup-{uuid.uuid4().hex}")
+    return spark.createDataFrame([(rows, len(digest) > 0)], "n bigint, verified boolean")
+
+
+def sink_writer(spark: SparkSession, d: str) -> DataFrame:
+    """What the corpus writer reports of one delivery and of the same again: files of one family made of all exchanges."""
+    from threadloom.catalog.families import TRANSCRIPTS, transcript_files
+    from threadloom.sources.files import parse_files
+
+    pattern, writer, *_ = TRANSCRIPTS["source_claude_session"]
+    parsed = checkpoint(parse_files(transcript_files(spark, d, pattern, writer)))
+    corpus = CorpusWriter(spark, f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}")
+    reports = [corpus.write(parsed), corpus.write(parsed)]
+    return spark.createDataFrame([(run, name, r["before"], r["after"]) for run, report in enumerate(reports, 1) for name, r in report.items()], "run int, table string, before bigint, after bigint")
+
+
 def prune_snapshot(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "exchanges").filter("session_id IS NOT NULL")
     mapped = rows.filter("exchange_number <= 10")
@@ -292,7 +353,7 @@ QUERIES = {
         archive_versions, archive_ordinals, custody_expectation, custody_union, custody_drift, reconcile_coverage, session_inventory, shadow_compare,
         handoff_latest, latest_journey, gate_dependency, recent_failures, retention_cut,
         turn_pairing, turn_texts, session_spans, usage_tally_nullable, thinking_position, interval_join_nearest_30s, span_range_join, match_outcomes, fresh_numbering, enrich_richer_signal, session_refresh,
-        upsert_actions, metadata_merge, tree_reparent, prune_snapshot, missing_tool_uses, source_coverage, support_snapshot, late_arrivals,
+        upsert_actions, exchange_merge, memory_merge, sink_upsert, sink_backup, sink_writer, metadata_merge, tree_reparent, prune_snapshot, missing_tool_uses, source_coverage, support_snapshot, late_arrivals,
     )
 }
 
@@ -312,6 +373,29 @@ f AS (SELECT CASE WHEN regexp_full_match(created_at, '\d{4}-\d{2}-\d{2}T\d{2}:\d
 SELECT "check", n, CASE WHEN n = 0 THEN 'pass' ELSE bad END AS verdict FROM c
 UNION ALL SELECT 'memory_created_at_formats', count(*), CASE WHEN count(DISTINCT f) > 1 OR coalesce(bool_or(f = 'x'), false) THEN 'warn' ELSE 'pass' END FROM f"""
 
+def _match_sql() -> str:
+    """The cascade of matches, stage by stage, each over what the stages before left."""
+    stages = (("content", "human_text, agent_text"), ("prompt", "human_text"), ("number", "exchange_number"))
+    parts = [
+        "s0 AS (SELECT id, session_id, human_text, agent_text, exchange_number FROM exchanges WHERE session_id IS NOT NULL)",
+        "i0 AS (SELECT id, session_id, CASE WHEN id % 10 = 0 THEN NULL ELSE human_text END AS human_text, CASE WHEN id % 6 = 0 THEN agent_text || ' again' ELSE agent_text END AS agent_text, exchange_number FROM s0 WHERE id % 2 = 0)",
+    ]
+    out, claims = [], []
+    for n, (name, keys) in enumerate(stages):
+        solid = " AND ".join(f"{k} IS NOT NULL" for k in keys.split(", "))
+        parts += [
+            f"h{n} AS (SELECT * FROM (SELECT session_id, {keys}, min(id) AS iid, count(*) AS ni FROM i{n} WHERE {solid} GROUP BY ALL) JOIN (SELECT session_id, {keys}, min(id) AS sid, count(*) AS ns FROM s{n} WHERE {solid} GROUP BY ALL) USING (session_id, {keys}))",
+            f"m{n} AS (SELECT iid, sid FROM h{n} WHERE ni = 1 AND ns = 1)", f"v{n} AS (SELECT id AS iid FROM i{n} JOIN h{n} USING (session_id, {keys}) WHERE ni > 1 OR ns > 1)",
+            f"i{n + 1} AS (SELECT * FROM i{n} WHERE id NOT IN (SELECT iid FROM m{n} UNION ALL SELECT iid FROM v{n}))", f"s{n + 1} AS (SELECT * FROM s{n} WHERE id NOT IN (SELECT sid FROM m{n}))",
+        ]
+        out += [f"SELECT '{name}' AS stage, 'matched' AS outcome FROM m{n}", f"SELECT '{name}', 'ambiguous' FROM v{n}"]
+        if name != "number":
+            claims.append(f"SELECT r.id, {n} AS place, '{name}' AS stage FROM i3 r JOIN (SELECT DISTINCT session_id, {keys} FROM s0 WHERE id IN (SELECT sid FROM m0 UNION ALL SELECT sid FROM m1 UNION ALL SELECT sid FROM m2)) USING (session_id, {keys})")
+    parts.append(f"c AS (SELECT id, arg_min(stage, place) AS stage FROM ({' UNION ALL '.join(claims)}) GROUP BY id)")
+    out += ["SELECT stage, 'claimed' FROM c", "SELECT NULL, 'unmatched' FROM i3 WHERE id NOT IN (SELECT id FROM c)"]
+    return f"WITH {', '.join(parts)} SELECT stage, outcome, count(*) AS n FROM ({' UNION ALL '.join(out)}) GROUP BY 1, 2"
+
+
 ORACLES = {
     "dedup_groups": f"SELECT min(id) AS canonical, count(*) AS copies FROM exchanges GROUP BY {_P} HAVING count(*) > 1",
     "dedup_mapping": _REMAP.format(_P, "exchanges"),
@@ -326,6 +410,27 @@ ORACLES = {
     "health_alias_rows": "SELECT layer, alias_of, count(*) AS n FROM memories JOIN layers ON name = layer WHERE alias_of IS NOT NULL GROUP BY 1, 2",
     "health_ghost_sessions": "SELECT session_id FROM sessions s WHERE started_at IS NULL AND ended_at IS NULL AND (EXISTS (SELECT 1 FROM exchanges e WHERE e.session_id = s.session_id) OR EXISTS (SELECT 1 FROM tool_uses t WHERE t.session_id = s.session_id))",
     "sessions_without_row": "SELECT session_id FROM (SELECT session_id FROM exchanges UNION SELECT session_id FROM tool_uses) WHERE session_id IS NOT NULL AND session_id NOT IN (SELECT session_id FROM sessions)",
+    "exchange_merge": """WITH u AS (SELECT * FROM exchanges WHERE session_id IS NOT NULL AND exchange_number IS NOT NULL AND trim(human_text, ' ') <> '' AND trim(agent_text, ' ') <> ''),
+v AS (SELECT * FROM u QUALIFY count(*) OVER (PARTITION BY session_id, exchange_number) = 1), a AS (SELECT * FROM v QUALIFY count(*) OVER (PARTITION BY session_id, human_text) = 1),
+b AS (SELECT *, length(human_text) % 4 AS p, CASE WHEN length(human_text) % 4 <> 0 THEN model END AS om FROM a),
+c AS (SELECT *, CAST(om IS NOT NULL AS INT) + CAST(tokens_in IS NOT NULL AS INT) + CAST(tokens_out IS NOT NULL AS INT) + CAST(tokens_reasoning IS NOT NULL AS INT) AS stated FROM b)
+SELECT session_id, exchange_number, human_text, length(agent_text) AS answer_length, CASE WHEN p = 3 OR stated < 2 THEN 'later' ELSE coalesce(om, 'later') END AS model, 'new' AS provider, CASE WHEN p <> 3 THEN tokens_in END AS tokens_in FROM c""",
+    "memory_merge": """SELECT id AS source_id, CASE WHEN id % 9 = 0 THEN length(content) + CAST(id % 4 = 0 AS INT) WHEN id % 5 <> 0 AND id % 4 = 0 AND id % 3 = 0 THEN length(content) + 1 ELSE length(content) END AS size,
+  CASE WHEN id % 5 = 0 THEN '2025-06-01T00:00:00Z' WHEN id % 3 = 0 THEN '2030-01-01T00:00:00Z' ELSE '2025-06-01T00:00:00Z' END AS updated_at,
+  CASE WHEN id % 5 = 0 AND id % 97 <> 3 THEN 'resolved' ELSE 'active' END AS status, id % 5 = 0 AND id % 97 <> 3 AS superseded
+FROM memories WHERE id % 9 <> 0 OR id % 5 <> 0""",
+    "sink_upsert": """SELECT 1 AS version, count(*) AS n, count(title) AS titles, count(*) FILTER (WHERE title = upper(title)) AS upper FROM sessions WHERE session_id IS NOT NULL AND title IS NOT NULL
+UNION ALL SELECT 2, count(*), count(title), count(title) FROM sessions WHERE session_id IS NOT NULL""",
+    "sink_backup": "SELECT count(*) AS n, true AS verified FROM memories",
+    "sink_writer": r"""WITH t AS (SELECT DISTINCT coalesce(session_id, 'none') || '.' || CAST(CAST(floor(coalesce(exchange_number, 0) / 100) AS BIGINT) AS VARCHAR) AS f, id FROM exchanges WHERE regexp_matches(human_text, '[\p{L}\p{N}]') AND regexp_matches(agent_text, '[\p{L}\p{N}]')),
+n AS (SELECT 'sessions' AS "table", count(DISTINCT f) AS n FROM t UNION ALL SELECT 'exchanges', count(*) FROM t UNION ALL SELECT * FROM (VALUES ('tool_uses', 0), ('thinking_blocks', 0), ('memories', 0)))
+SELECT r.run, "table", CASE WHEN r.run = 1 THEN 0 ELSE n END AS before, n AS after FROM n, (VALUES (1), (2)) r(run)""",
+    "session_refresh": "SELECT CASE WHEN ascii(right(session_id, 1)) % 2 = 0 AND ascii(right(session_id, 1)) % 3 <> 0 THEN 'fresh' ELSE coalesce(project, 'fresh') END AS project, coalesce(CASE WHEN trim(title, ' ') <> '' THEN title END, 'fresh title') = 'fresh title' AS new_title, count(*) AS n FROM sessions GROUP BY 1, 2",
+    "match_outcomes": _match_sql(),
+    "turn_texts": f"""WITH r AS (SELECT conversation_uuid, ingested_at, uuid, text, {_ROLE} AS role, {_TS.format('created_at')} // 1000 AS made FROM chat_messages),
+t AS (SELECT *, sum(CASE WHEN role = 'human' THEN 1 ELSE 0 END) OVER (PARTITION BY conversation_uuid ORDER BY ingested_at, uuid ROWS UNBOUNDED PRECEDING) AS turn FROM r)
+SELECT conversation_uuid, CAST(turn AS BIGINT) AS turn, max(text) FILTER (WHERE role = 'human') AS human_text, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant' AND trim(text, ' ') <> ''), 0) + greatest(count(*) FILTER (WHERE role = 'assistant' AND trim(text, ' ') <> '') - 1, 0) AS INT) AS answer_length,
+  greatest(min(made) FILTER (WHERE role = 'assistant') - max(made) FILTER (WHERE role = 'human'), 0) AS latency_ms FROM t WHERE turn > 0 GROUP BY 1, 2""",
     "health_checks": _HEALTH,
     "health_verdict": f"SELECT CASE max(CASE verdict WHEN 'fail' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'pass' END AS verdict FROM ({_HEALTH})",
     "layer_resolve": "SELECT l.name, coalesce(b.name, a.name, l.name) AS resolved FROM layers l LEFT JOIN layers a ON a.name = l.alias_of LEFT JOIN layers b ON b.name = a.alias_of",
