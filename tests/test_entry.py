@@ -41,3 +41,4 @@ def test_the_rest_stands_without_the_llm_folder(tmp_path):
     shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'p5_found' in q and 'p1_found' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True)
+    subprocess.run([sys.executable, "-m", "pytest", "-x", "-q", "tests/test_sql.py", "tests/test_drift.py"], cwd=tmp_path / "repo", check=True, timeout=600)

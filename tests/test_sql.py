@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from threadloom.functions.json_edit import edit, highlight, merge_patch, remove, snippet
@@ -60,6 +62,15 @@ def test_dialect_rewrites(engine):
         to_spark_sql("SELECT strftime('%q', 'now')")
 
 
+def test_time_differences_fractions_and_json_nulls(engine):
+    row = engine.exec(
+        "SELECT timediff('2024-03-15 12:30:00', '2023-01-31 10:00:01.5') AS a, timediff('2023-01-01', '2023-01-02 06:00:00') AS b, timediff(NULL, '2023-01-01') AS c, datetime('2024-02-28 12:00:00', '+1.5 days') AS d, datetime('2024-02-28', '-90 minutes') AS e, "
+        "json_object('k', NULL, 'n', 1) AS f FROM memories LIMIT 1"
+    ).rows[0]
+    assert (row["a"], row["b"], row["c"], row["d"], row["e"], row["f"]) == ("+0001-01-15 02:29:58.500", "-0000-00-01 06:00:00.000", None, "2024-03-01 00:00:00", "2024-02-27 22:30:00", '{"k":null,"n":1}')
+    assert sorted(json.loads(engine.exec("SELECT json_group_array(CASE WHEN id > 1 THEN id END) AS g FROM memories").rows[0]["g"]), key=str)[-1] is None
+
+
 def test_match_language(engine):
     ids = lambda m: sorted(r[0] for r in engine.sql(f"SELECT id FROM memories_fts WHERE memories_fts MATCH '{m}'").collect())
     assert ids("kettle") == [1, 3] and ids("senal") == [1] and ids("kettle NOT why") == [1] and ids('"turn builder" OR why') == [2, 3] and ids("kett*") == [1, 3] and ids("ettle") == []
