@@ -61,6 +61,9 @@ def test_credentials_of_any_length_and_more_formats():
     for value in ("hf_" + "aB3dE" * 7, "dop_v1_" + "0a1b" * 16, "SG." + "aB3dE" * 5 + "." + "xY9_-" * 8, "glsa_" + "aB3dE" * 6 + "_0a1b2c3d"):
         assert [f"use {value} now"[a:b] for a, b in find_secrets([f"use {value} now"])[0]] == [value]
     assert [(t := f"AccountKey={'aB3/' * 21}Q==;End")[a:b] for a, b in find_secrets([f"AccountKey={'aB3/' * 21}Q==;End"])[0]] == ["aB3/" * 21 + "Q=="]
+    mixed = "Rj0Z4tfJDAO2CODAzJa7mJzhesH92Iwiq83GkBx7"
+    for text, want in ((f'{{"new_string":"ledgeKey: \\"{mixed}\\","}}', [mixed]), ('cacheKey: "order-2231-open-items"', []), (f"monkey: {mixed}", [])):
+        assert [text[a:b] for a, b in find_secrets([text])[0]] == want, text
     for text in ("token=" * 30_000, " -p x" * 30_000, "// token " * 20_000, 'password="' * 20_000, "://a:" * 30_000):
         find_secrets([text])
 
