@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import instant
-from threadloom.operators import ingest, quality
+from threadloom.operators import archive, ingest, quality
 from threadloom.session import checkpoint, shared_folder, table
 from threadloom.sources.sinks import CorpusWriter, VersionedTable, backup
 
@@ -313,6 +313,41 @@ def sink_writer(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(run, name, r["before"], r["after"]) for run, report in enumerate(reports, 1) for name, r in report.items()], "run int, table string, before bigint, after bigint")
 
 
+def _custody(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Notes of two source databases as memberships, evidence and versions by content."""
+    notes = table(spark, d, "memories").filter("content IS NOT NULL")
+    own = notes.select(F.when(F.col("id") % 3 == 0, "old").otherwise("core").alias("source_database"), F.lit("memories").alias("source_table"), F.col("id").cast("string").alias("source_key"), F.sha2("content", 256).alias("digest"), "id", "content", "layer", "project")
+    custody = own.select("source_database", "source_table", "source_key", F.lit("memory_versions").alias("destination_table"), F.col("digest").alias("destination_key"))
+    return custody, own.select("source_database", "source_table", "source_key", F.col("id").alias("source_row_id")), own.groupBy(F.col("digest").alias("version_digest")).agg(F.min("layer").alias("layer"), F.length(F.min("content")).alias("size"))
+
+
+def archive_memberships(spark: SparkSession, d: str) -> DataFrame:
+    custody, evidence, versions = _custody(spark, d)
+    return archive.memberships(custody, evidence, versions, "memory_versions").select("source_database", "source_row_id", "version_digest", "layer", "size")
+
+
+def archive_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Memberships with the head of their layer: its largest digest; layers whose name begins with d have none."""
+    rows = archive_memberships(spark, d)
+    heads = rows.filter("layer NOT LIKE 'd%'").groupBy("layer").agg(F.max("version_digest").alias("version_digest"))
+    return archive.with_heads(rows, heads, "layer").select("source_row_id", "is_selected")
+
+
+def archive_hub(spark: SparkSession, d: str) -> DataFrame:
+    """The notes of one source again from the archive, under their own ids, with provenance where it is known."""
+    notes = table(spark, d, "memories")
+    custody = notes.select(F.when(F.col("id") % 3 == 0, "old").otherwise("core").alias("source_database"), F.lit("memories").alias("source_table"), F.col("id").cast("string").alias("source_key"), F.lit("records").alias("destination_table"), (F.col("id") + 7).cast("string").alias("destination_key"))
+    records = notes.select((F.col("id") + 7).alias("id"), "layer", "content")
+    provenance = custody.filter("source_key LIKE '%5'").select("source_database", "source_key", F.lit("import").alias("provenance"))
+    return archive.hub_tables({"memories": (archive.compatible(custody, records, provenance, "records"), {c: c for c in ("id", "layer", "content", "provenance")})})["memories"]
+
+
+def first_owner(spark: SparkSession, d: str) -> DataFrame:
+    """Of the messages given one number in their session the one that was asked first keeps it."""
+    given = table(spark, d, "exchanges").filter("session_id IS NOT NULL AND exchange_number IS NOT NULL").select("session_id", "exchange_number", F.concat(F.lit("m"), F.col("id")).alias("source"), "id")
+    return archive.first_owners(given, ["session_id"], "exchange_number", "source", "id")
+
+
 def prune_snapshot(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "exchanges").filter("session_id IS NOT NULL")
     mapped = rows.filter("exchange_number <= 10")
@@ -353,7 +388,7 @@ QUERIES = {
         archive_versions, archive_ordinals, custody_expectation, custody_union, custody_drift, reconcile_coverage, session_inventory, shadow_compare,
         handoff_latest, latest_journey, gate_dependency, recent_failures, retention_cut,
         turn_pairing, turn_texts, session_spans, usage_tally_nullable, thinking_position, interval_join_nearest_30s, span_range_join, match_outcomes, fresh_numbering, enrich_richer_signal, session_refresh,
-        upsert_actions, exchange_merge, memory_merge, sink_upsert, sink_backup, sink_writer, metadata_merge, tree_reparent, prune_snapshot, missing_tool_uses, source_coverage, support_snapshot, late_arrivals,
+        upsert_actions, exchange_merge, memory_merge, sink_upsert, sink_backup, sink_writer, archive_memberships, archive_heads, archive_hub, first_owner, metadata_merge, tree_reparent, prune_snapshot, missing_tool_uses, source_coverage, support_snapshot, late_arrivals,
     )
 }
 
@@ -431,6 +466,10 @@ SELECT r.run, "table", CASE WHEN r.run = 1 THEN 0 ELSE n END AS before, n AS aft
 t AS (SELECT *, sum(CASE WHEN role = 'human' THEN 1 ELSE 0 END) OVER (PARTITION BY conversation_uuid ORDER BY ingested_at, uuid ROWS UNBOUNDED PRECEDING) AS turn FROM r)
 SELECT conversation_uuid, CAST(turn AS BIGINT) AS turn, max(text) FILTER (WHERE role = 'human') AS human_text, CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant' AND trim(text, ' ') <> ''), 0) + greatest(count(*) FILTER (WHERE role = 'assistant' AND trim(text, ' ') <> '') - 1, 0) AS INT) AS answer_length,
   greatest(min(made) FILTER (WHERE role = 'assistant') - max(made) FILTER (WHERE role = 'human'), 0) AS latency_ms FROM t WHERE turn > 0 GROUP BY 1, 2""",
+    "archive_memberships": "SELECT CASE WHEN id % 3 = 0 THEN 'old' ELSE 'core' END AS source_database, id AS source_row_id, sha256(content) AS version_digest, min(layer) OVER (PARTITION BY content) AS layer, length(content) AS size FROM memories WHERE content IS NOT NULL",
+    "archive_heads": "WITH m AS (SELECT id, sha256(content) AS v, min(layer) OVER (PARTITION BY content) AS layer FROM memories WHERE content IS NOT NULL), h AS (SELECT layer, max(v) AS head FROM m WHERE layer NOT LIKE 'd%' GROUP BY 1) SELECT id AS source_row_id, head = v AS is_selected FROM m LEFT JOIN h USING (layer)",
+    "archive_hub": "SELECT id, layer, content, CASE WHEN id % 10 = 5 THEN 'import' END AS provenance FROM memories WHERE id % 3 <> 0",
+    "first_owner": "SELECT session_id, exchange_number, 'm' || min(id) AS source FROM exchanges WHERE session_id IS NOT NULL AND exchange_number IS NOT NULL GROUP BY 1, 2",
     "health_checks": _HEALTH,
     "health_verdict": f"SELECT CASE max(CASE verdict WHEN 'fail' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END) WHEN 2 THEN 'fail' WHEN 1 THEN 'warn' ELSE 'pass' END AS verdict FROM ({_HEALTH})",
     "layer_resolve": "SELECT l.name, coalesce(b.name, a.name, l.name) AS resolved FROM layers l LEFT JOIN layers a ON a.name = l.alias_of LEFT JOIN layers b ON b.name = a.alias_of",

@@ -17,6 +17,7 @@ from threadloom.operators.profile import terrain
 from threadloom.operators.search import rescue
 from threadloom.plans.gate import ROW_CAP, GateError, admit, is_bare_count
 from threadloom.plans.question import check_question, missing_referent
+from threadloom.plans.routing import declared_sql
 from threadloom.plans.repair import repair
 
 #: Seconds a statement may run; 0 turns the bound off.
@@ -135,11 +136,13 @@ class Engine:
                 answer.path, answer.notes = "model", notes + answer.notes
                 return answer
             break
+        words = term_words(question)
         for names in (chosen, sorted(self.databases)):
             found = [self._rescue(d, question) for d in names if self._searchable(d)]
             rows = [r for part in found for r in part]
             if rows:
-                return Answer(rows, list(rows[0]), f"keyword search for {search_term(question)}", path="keyword", notes=notes)
+                parts = [(d, t, c) for d in names if self._searchable(d) for t, c in (("memories", "content"), ("exchanges", "human_text"), ("exchanges", "agent_text")) if t in self.databases[d]]
+                return Answer(rows, list(rows[0]), declared_sql(parts, words, "like", 1_000), path="keyword", notes=[*notes, f"keyword search for {search_term(question)}"])
             if names == sorted(self.databases):
                 break
             notes.append("nothing found in the chosen databases, all were searched")
