@@ -98,6 +98,20 @@ def test_exec_query_explore_cross(engine):
     assert "memories_fts" in engine.prompt("x")
 
 
+def test_attached_databases_hold_what_they_declare(spark):
+    frame = spark.createDataFrame([(1, "a")], "id int, t string")
+    own = Engine(spark, {"core": {"notes": frame}})
+    own.attach("extra", {"rows": frame, "hidden": frame}, {"rows": ["id", "t"]})
+    assert own.exec("SELECT t FROM extra.rows", ["extra"], bound=0).rows[0]["t"] == "a" and "extra.hidden" not in own.visible(["extra"])
+    for name, manifest in (("extra", {}), ("bad name", {}), ("other", {"rows": ["gone"]}), ("other", {"none": []})):
+        with pytest.raises(GateError):
+            own.attach(name, {"rows": frame}, manifest)
+    for i in range(9):
+        own.attach(f"d{i}", {"rows": frame}, {"rows": ["id"]})
+    with pytest.raises(GateError):
+        own.attach("d10", {"rows": frame}, {"rows": ["id"]})
+
+
 def test_routing(engine):
     from threadloom.plans.routing import Description, choose_method, relevant
 

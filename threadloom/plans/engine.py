@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import time
 import uuid
@@ -17,13 +18,15 @@ from threadloom.operators.profile import terrain
 from threadloom.operators.search import rescue
 from threadloom.plans.gate import ROW_CAP, GateError, admit, is_bare_count
 from threadloom.plans.question import check_question, missing_referent
-from threadloom.plans.routing import declared_sql
 from threadloom.plans.repair import repair
+from threadloom.plans.routing import declared_sql
 
 #: Seconds a statement may run; 0 turns the bound off.
 TIME_BOUND = 5.0
 #: Databases that a query reads when it names none.
 DEFAULT_SCOPE = ("corpus", "core")
+#: Databases beside the archive's own that may be attached at once.
+MOST_ATTACHED = 10
 
 
 @dataclass
@@ -46,6 +49,21 @@ class Engine:
         self.spark, self.databases, self.main, self.bare_names = spark, databases, main, bare_names
         register(spark)
 
+    def attach(self, name: str, tables: dict[str, DataFrame], manifest: dict[str, list[str]]) -> None:
+        """One more database, if its tables have the columns that its manifest declares and the limit is not reached.
+
+        ``manifest`` is table to columns; tables that it does not declare are not visible. A name in use is refused.
+        """
+        if name in self.databases or not re.fullmatch(r"[A-Za-z_]\w*", name):
+            raise GateError(f"{name} cannot be the name of another database")
+        if len(self.databases.keys() - {self.main, *DEFAULT_SCOPE}) >= MOST_ATTACHED:
+            raise GateError(f"at most {MOST_ATTACHED} databases are attached")
+        for table, columns in manifest.items():
+            missing = sorted(set(columns) - set(tables[table].columns)) if table in tables else ["the table itself"]
+            if missing:
+                raise GateError(f"{name}.{table} lacks {', '.join(missing)}")
+        self.databases[name] = {t: tables[t] for t in manifest}
+
     # -- scope ----------------------------------------------------------------------------------------
 
     def scope(self, wanted: Iterable[str] | str | None = None) -> list[str]:
