@@ -119,10 +119,10 @@ def gate_verdicts(spark: SparkSession, d: str) -> DataFrame:
     ):
         try:
             admit(spark, statement, visible)
-            out.append((statement, "admitted", ""))
-        except (GateError, DialectError) as error:
-            out.append((statement, "refused", str(error)))
-    return spark.createDataFrame(out, "statement string, verdict string, reason string")
+            out.append((statement, "admitted"))
+        except (GateError, DialectError):
+            out.append((statement, "refused"))
+    return spark.createDataFrame(out, "statement string, verdict string")
 
 
 QUERIES = {name: _run(said, 0 if name in _LIMITED else -1) for name, (said, _) in STATEMENTS.items()} | {"cross_union_by_name": cross_union_by_name, "qualified_names": qualified_names, "gate_verdicts": gate_verdicts}
@@ -145,5 +145,9 @@ _OWN = {
 _NO_ORACLE = ("json_edit", "match_marked")
 ORACLES = {name: other or said for name, (said, other) in STATEMENTS.items() if name not in _NO_ORACLE and name not in _OWN} | _OWN | {
     "cross_union_by_name": "SELECT id, layer, CASE WHEN id % 2 = 1 THEN status END AS status, CASE WHEN id % 2 = 0 THEN 'laptop' ELSE 'server' END AS origin FROM memories",
+    # what every statement of the query must meet: one reading statement over visible tables with allowed functions
+    "gate_verdicts": """SELECT statement, CASE WHEN ok THEN 'admitted' ELSE 'refused' END AS verdict FROM (VALUES ('SELECT 1', true), ('SELECT count(*) FROM memories', true), ('WITH a AS (SELECT id FROM memories) SELECT * FROM a', true), ('SELECT id FROM memories LIMIT 5 -- note', true),
+  ('DELETE FROM memories', false), ('SELECT 1; SELECT 2', false), ('INSERT INTO layers VALUES (1)', false), ('SELECT * FROM ingest_file_state', false), ('SELECT * FROM parquet.`/etc`', false), ('SELECT reflect(''java.lang.System'', ''exit'', 1)', false),
+  ('SELECT * FROM range(10)', false), ('', false), ('SELECT load_extension(''x'')', false), ('SELECT * FROM nowhere', false), ('PRAGMA table_info(memories)', false)) v(statement, ok)""",
     "qualified_names": "SELECT s.project, count(*) AS n FROM memories m JOIN sessions s ON s.session_id = m.source_session GROUP BY s.project",
 }
