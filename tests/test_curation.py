@@ -88,3 +88,24 @@ def test_vectors(spark):
             at += size - overlap
         assert got == {1: want, 4: [5]}
     assert vector.clean_for_embedding(pd.Series(['look {"a": [1]} at 0123456789abcdef now /tmp/x rest', None])).tolist() == ["look at now", None]
+
+
+def test_one_key_of_half_the_rows_is_spread_with_the_same_result(spark):
+    from threadloom.operators.skew import join_unique, numbered, running_sum
+
+    rows = spark.range(400).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 'hot' WHEN id % 5 = 0 THEN NULL ELSE concat('k', id % 7) END AS k", "id % 3 AS v")
+    want: dict = {}
+    for r in sorted(rows.collect(), key=lambda r: r.id):
+        n, total = want.get(r.k, [(0, 0, None)])[-1][:2]
+        want.setdefault(r.k, []).append((n + 1, total + r.v, r.id))
+    flat = {i: (n, t) for own in want.values() for n, t, i in own}
+    assert {r.id: r.n for r in numbered(rows, ["k"], ["id"], "n").collect()} == {i: n for i, (n, _) in flat.items()}
+    assert {r.id: r.s for r in running_sum(rows, ["k"], ["id"], F.col("v"), "s").collect()} == {i: t for i, (_, t) in flat.items()}
+    right = rows.filter("k IS NOT NULL").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    for hot in (1, 10**6):
+        joined = join_unique(rows, right, "k", "n", 400, "left", hot_rows=hot)
+        assert joined.count() == 400 and joined.filter("top IS NULL").count() == rows.filter("k IS NULL").count()
+    assert numbered(rows.limit(0), ["k"], ["id"], "n").count() == 0
+    spans = spark.createDataFrame([("s", 0, 10**6 * 86_400 * 3), ("s", 5, 5), ("t", 7, 9)], "k string, o bigint, c bigint")
+    signals = spark.createDataFrame([("s", 1), ("s", 86_400 * 10**6 * 2), ("s", 0), ("t", 9), ("t", 7), ("u", 8)], "k string, at bigint")
+    assert sorted((r.k, r.at) for r in ingest.within_spans(signals, spans, "k", "at", "o", "c").select("s.k", "s.at").collect()) == [("s", 1), ("s", 86_400 * 10**6 * 2), ("t", 9)]

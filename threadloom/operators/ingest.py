@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.json_edit import merge_patch
 from threadloom.functions.text import instant
 from threadloom.operators.quality import typed_digest
-from threadloom.operators.skew import numbered, running_sum
+from threadloom.operators.skew import join_unique, numbered, running_sum
 from threadloom.session import checkpoint
 
 
@@ -263,8 +263,11 @@ def memory_actions(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> D
 
 
 def missing_rows(stored: DataFrame, incoming: DataFrame, same: list[str]) -> DataFrame:
-    """Incoming rows without an equal stored row, null-safe over all columns."""
-    return incoming.withColumn("__d", typed_digest(same)).join(stored.select(typed_digest(same).alias("__d")), "__d", "left_anti").drop("__d")
+    """Incoming rows without an equal stored row, null-safe over all columns; a row repeated without end stays spread."""
+    new = incoming.withColumn("__d", typed_digest(same))
+    times = new.groupBy("__d").agg(F.count("*").alias("__n"))
+    held = stored.select(typed_digest(same).alias("__d")).distinct().withColumn("__held", F.lit(True)).join(times, "__d")
+    return join_unique(new, held, "__d", "__n", incoming.count(), "left").filter("__held IS NULL").select(incoming.columns)
 
 
 def keep_mapped(stored: DataFrame, mapped: DataFrame, session: str, key: str) -> DataFrame:

@@ -87,10 +87,11 @@ def resolve_ids(wanted: DataFrame, key: str, mappings: list[DataFrame]) -> DataF
     """``wanted`` with ``canonical_id`` looked up in the mappings in order; an unmapped id stays itself."""
     out = wanted
     found = []
+    times, total = wanted.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__times")), wanted.count()
     for i, mapping in enumerate(mappings):
         name = f"__c{i}"
         found.append(name)
-        out = out.join(mapping.select(F.col("old_id").alias(key), F.col("canonical_id").alias(name)), key, "left")
+        out = join_unique(out, mapping.select(F.col("old_id").alias(key), F.col("canonical_id").alias(name)).join(times, key), key, "__times", total, "left")
     return out.withColumn("canonical_id", F.coalesce(*found, F.col(key))).drop(*found)
 
 
