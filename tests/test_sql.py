@@ -164,3 +164,9 @@ def test_rendering():
     assert number_text(1234567.8) == "1.23457e+06" and number_text(3.0) == "3"
     assert health_envelope([{"verdict": "pass"}, {"verdict": "warn"}])["verdict"] == "warn"
     assert envelope(Answer([{"a": 1}], ["a"], "SELECT 1"))["count"] == 1
+
+
+def test_recursion_of_more_than_a_million_rows(spark):
+    own = Engine(spark, {"core": {"notes": spark.range(200_000)}})
+    found = own.sql("WITH RECURSIVE r AS (SELECT id, 0 AS n FROM notes UNION ALL SELECT id, n + 1 FROM r WHERE n < 6) SELECT count(*) AS rows, max(n) AS n FROM r", cap=-1)
+    assert [tuple(r) for r in found.collect()] == [(1_400_000, 6)]

@@ -27,6 +27,8 @@ TIME_BOUND = 5.0
 DEFAULT_SCOPE = ("corpus", "core")
 #: Databases beside the archive's own that may be attached at once.
 MOST_ATTACHED = 10
+#: Rows of a recursive statement after which Spark ends it by an error; its own 1,000,000 are fewer than large archives need.
+RECURSION_ROWS = "spark.sql.cteRecursionRowLimit"
 
 
 @dataclass
@@ -92,6 +94,7 @@ class Engine:
         chosen = self.scope(scope)
         visible = self.visible(chosen)
         said, used = admit(self.spark, statement, visible, cap or ROW_CAP)
+        self.spark.conf.set(RECURSION_ROWS, "-1")  # read when the frame is run, so it stays; time and levels stay bounded
         for name in used:
             database, tab = visible[name]
             view = f"threadloom_{database}_{tab}"
