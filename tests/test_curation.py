@@ -1,3 +1,6 @@
+import random
+import threading
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +112,33 @@ def test_one_key_of_half_the_rows_is_spread_with_the_same_result(spark):
     spans = spark.createDataFrame([("s", 0, 10**6 * 86_400 * 3), ("s", 5, 5), ("t", 7, 9)], "k string, o bigint, c bigint")
     signals = spark.createDataFrame([("s", 1), ("s", 86_400 * 10**6 * 2), ("s", 0), ("t", 9), ("t", 7), ("u", 8)], "k string, at bigint")
     assert sorted((r.k, r.at) for r in ingest.within_spans(signals, spans, "k", "at", "o", "c").select("s.k", "s.at").collect()) == [("s", 1), ("s", 86_400 * 10**6 * 2), ("t", 9)]
+
+
+def test_route_counts_equal_the_pairs(spark):
+    from threadloom.sources.enrichment import routing_counts, routing_rows
+
+    r = random.Random(5)
+    sessions = [(r.choice(["s1", "s2", "s3", "s4", "s5", "", None]), r.choice(["a", "b", "c", "", None])) for _ in range(14)]
+    entry = lambda s: r.choice([None, "{", f'{{"session_id": "{s}"}}'])
+    routes = [(r.choice([None, *range(25)]), r.choice(["a", "b", "c", "d", "", None]), entry(r.choice(["s1", "s3", "s5", "s9", ""]))) for _ in range(60)]
+    left, right = spark.createDataFrame(sessions, "session_id string, session_key string"), spark.createDataFrame(routes, "row bigint, session_key string, entry_json string")
+    want = {}
+    for x in routing_rows(left, right).collect():
+        want.setdefault(x.session_id, []).append(x.row)
+    want = {s: (len(rows := [x for x in found if x is not None]), min(rows, default=None)) for s, found in want.items()}
+    got = routing_counts(left, right).collect()
+    assert {x.session_id: (x.routes, x.first_row) for x in got} == want and len(got) == len(want)
+
+
+def test_one_key_of_all_sessions_and_routes_makes_no_pairs(spark, tmp_path):
+    from threadloom.catalog.families import source_hermes_routing
+
+    n = 60_000  # 3.6 billion pairs
+    spark.range(n).selectExpr("concat('s', id) AS session_id", "'p' AS project").write.parquet(f"{tmp_path}/sessions.parquet")
+    spark.range(n).selectExpr("id", "'p' AS project", "concat('s', id) AS source_session").write.parquet(f"{tmp_path}/memories.parquet")
+    timer = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        assert [tuple(x) for x in source_hermes_routing(spark, str(tmp_path)).groupBy("routes", "first_row").count().collect()] == [(n, 0, n)]
+    finally:
+        timer.cancel()

@@ -48,6 +48,25 @@ def routing_rows(sessions: DataFrame, routing: DataFrame) -> DataFrame:
     return by_key.unionByName(entry.join(sessions.select("session_id").distinct(), "session_id").select("session_id", "row")).distinct()
 
 
+def routing_counts(sessions: DataFrame, routing: DataFrame) -> DataFrame:
+    """``(session_id, routes, first_row)``: how many ``routing_rows`` a session has, and the smallest; null rows are not counted.
+
+    A key of many sessions and many rows would make all their pairs. Rows under the same keys are counted together
+    instead, then added up once for all sessions of the same keys; only rows named by an entry are met with their session.
+    """
+    key = F.when(F.col("session_key") != "", F.col("session_key"))
+    held = sessions.groupBy("session_id").agg(F.sort_array(F.collect_set(key)).alias("keys"))
+    named = routing.filter(key.isNotNull()).groupBy("row", F.when(F.col("row").isNull(), key).alias("apart")).agg(F.sort_array(F.collect_set(key)).alias("row_keys"))
+    alike = named.groupBy("row_keys").agg(F.count("row").alias("n"), F.min("row").alias("first"))
+    met = held.select("keys").distinct().withColumn("k", F.explode("keys")).join(alike.withColumn("k", F.explode("row_keys")), "k").select("keys", "row_keys", "n", "first").distinct()
+    sums = met.groupBy("keys").agg(F.sum("n").alias("routes"), F.min("first").alias("first_row"))
+    by_key = held.join(sums, "keys").select("session_id", "routes", "first_row")
+    entry = routing.select("row", F.get_json_object("entry_json", "$.session_id").alias("session_id")).filter("session_id <> ''").distinct()
+    once = entry.join(held, "session_id").join(named.filter("row IS NOT NULL").select("row", "row_keys"), "row", "left").filter(~F.coalesce(F.arrays_overlap("keys", "row_keys"), F.lit(False)))
+    by_entry = once.groupBy("session_id").agg(F.count("row").alias("routes"), F.min("row").alias("first_row"))
+    return by_key.unionByName(by_entry).groupBy("session_id").agg(F.sum("routes").alias("routes"), F.min("first_row").alias("first_row"))
+
+
 def channel_evidence(lines: DataFrame, sessions: DataFrame) -> DataFrame:
     """``(session_id, evidence, log_file, line_date)`` of log lines that name a session of the store.
 
