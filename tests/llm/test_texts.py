@@ -68,6 +68,14 @@ def test_credentials_of_any_length_and_more_formats():
         find_secrets([text])
 
 
+def test_every_assignment_of_an_unbroken_value_is_judged_at_any_length():
+    for n in (10, 600, 6_000):
+        for text in (f"token=https://h/{'a/' * n}?password=oak-elm41", f"token=$A{'-b' * n}:api_key=oak-elm41", f"secret=$A{'=b' * n}=password=$B:token=oak-elm41"):
+            assert [text[a:b] for a, b in find_secrets([text])[0]] == ["oak-elm41"], (n, text[:40])
+    nested = "token=$" + "secret=$" * 20_000 + "password=oak-elm41"
+    assert [nested[a:b] for a, b in find_secrets([nested])[0]] == ["oak-elm41"]
+
+
 def test_secrets_in_long_texts_and_redaction(spark):
     text = "word " * 4000 + f"token={KEY}" + " word" * 4000
     assert [text[a:b] for a, b in find_secrets([text])[0]] == [KEY]
