@@ -127,3 +127,25 @@ def _walk(h, n):
     keys = [("", f"{i:06d}") for i in range(n)]
     out, visited = h._traverse(keys, [None, *keys[:-1]], [False] * n, [False] * n)
     return out, keys, visited
+
+
+def test_every_node_has_its_row_and_its_descendants_at_any_size(spark, tmp_path, monkeypatch):
+    from functools import partial
+
+    from threadloom.catalog import trees
+
+    notes = [(1, None), (2, 1), (3, 2), (4, 99), (5, 6), (6, 5), (7, None), (8, 8)]
+    spark.createDataFrame(notes, "id bigint, supersedes bigint").write.parquet(f"{tmp_path}/memories.parquet")
+    said = [("c", "a", None), ("c", "b", " a "), ("c", "d", "b"), ("c", "e", "a"), ("c", "x", "y"), ("c", "y", "x"), ("t", "a", "b")]
+    spark.createDataFrame(said, "conversation_uuid string, uuid string, parent_message_uuid string").write.parquet(f"{tmp_path}/chat_messages.parquet")
+    for limit in (10**6, 1):
+        monkeypatch.setattr(trees, "hierarchy", partial(hierarchy, component_limit=limit))
+        of = lambda frame: {(x.src, x.scope, x.node): x.descendants for x in frame.collect()}
+        linked = of(trees._trees(spark, str(tmp_path), False))
+        assert linked == {
+            **{("memories", "", n): k for n, k in (("1", 2), ("2", 1), ("3", 0), ("5", -1), ("6", -1), ("8", -1))},
+            **{("chat_messages", "c", n): k for n, k in (("a", 3), ("b", 1), ("d", 0), ("e", 0), ("x", -1), ("y", -1))}, ("chat_messages", "t", "a"): 0,
+        }
+        nodes = trees.p5_nodes(spark, str(tmp_path)).cache()
+        assert of(nodes) == linked | {("memories", "", "4"): 0, ("memories", "", "7"): 0}
+        assert [(x.root, x.path, x.depth, x.in_cycle) for x in nodes.filter("node = '7'").collect()] == [("7", "7", 0, False)]

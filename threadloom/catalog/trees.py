@@ -15,12 +15,16 @@ def message_links(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chat_messages").select("conversation_uuid", "uuid", F.when(parent != "", parent).alias("parent"))
 
 
-def _trees(spark: SparkSession, d: str, with_paths: bool) -> DataFrame:
-    chat = hierarchy(message_links(spark, d), "uuid", "parent", scope="conversation_uuid", with_paths=with_paths, with_order=with_paths)
-    notes = hierarchy(table(spark, d, "memories").select("id", "supersedes"), "id", "supersedes", with_paths=with_paths, with_order=with_paths)
+def _trees(spark: SparkSession, d: str, with_paths: bool, alone: bool = False) -> DataFrame:
+    chat = hierarchy(message_links(spark, d), "uuid", "parent", scope="conversation_uuid", with_paths=with_paths)
+    notes = hierarchy(table(spark, d, "memories").select("id", "supersedes"), "id", "supersedes", with_paths=with_paths, alone=alone)
     return chat.withColumn("src", F.lit("chat_messages")).unionByName(notes.withColumn("src", F.lit("memories")))
 
 
+def _with_paths(trees: DataFrame) -> DataFrame:
+    return trees.select("src", "scope", "node", "root", F.array_join("path", "/").alias("path"), "depth", "descendants", "in_cycle", "back_edge")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     linked = _trees(spark, d, False).filter("has_parent")
     return linked.select("src", F.col("node").alias("node_key"), F.when(F.col("in_cycle"), "cycle").otherwise(F.col("root")).alias("root_key"), "depth")
@@ -28,22 +32,27 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_paths(spark: SparkSession, d: str) -> DataFrame:
     """Every linked node with its path from the root and its number of descendants."""
-    return _trees(spark, d, True).select("src", "scope", "node", "root", F.array_join("path", "/").alias("path"), "depth", "descendants", "in_cycle", "back_edge")
+    return _with_paths(_trees(spark, d, True))
+
+
+def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """``p5_paths`` for every node: notes that no link touches are roots without descendants."""
+    return _with_paths(_trees(spark, d, True, alone=True))
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     """All descendants of every replaced note, one row for each pair of ancestor and descendant."""
-    notes = hierarchy(table(spark, d, "memories").select("id", "supersedes"), "id", "supersedes", with_paths=True, with_order=False)
+    notes = hierarchy(table(spark, d, "memories").select("id", "supersedes"), "id", "supersedes", with_paths=True)
     return descendant_pairs(notes).drop("scope")
 
 
 def p5_chat_descendants(spark: SparkSession, d: str) -> DataFrame:
     """All descendants of every message, one row for each pair of ancestor and descendant in a conversation."""
-    chat = hierarchy(message_links(spark, d), "uuid", "parent", scope="conversation_uuid", with_paths=True, with_order=False)
+    chat = hierarchy(message_links(spark, d), "uuid", "parent", scope="conversation_uuid", with_paths=True)
     return descendant_pairs(chat)
 
 
-QUERIES = {"p5_found": p5_found, "p5_paths": p5_paths, "p5_descendants": p5_descendants, "p5_chat_descendants": p5_chat_descendants}
+QUERIES = {"p5_found": p5_found, "p5_paths": p5_paths, "p5_nodes": p5_nodes, "p5_descendants": p5_descendants, "p5_chat_descendants": p5_chat_descendants}
 
 ORACLES = {
     "p5_paths": """
@@ -89,3 +98,5 @@ walk AS (
   UNION ALL SELECT l.scope, l.p, w.descendant, w.distance + 1 FROM walk w JOIN link l ON l.scope = w.scope AND l.k = w.ancestor WHERE l.p IS NOT NULL)
 SELECT scope, ancestor, descendant, CAST(distance AS BIGINT) AS distance FROM walk""",
 }
+# the same over all nodes
+ORACLES["p5_nodes"] = ORACLES["p5_paths"].replace("kept AS (SELECT * FROM link l WHERE src = 'chat_messages' OR p IS NOT NULL OR EXISTS (SELECT 1 FROM link c WHERE c.src = l.src AND c.p = l.k))", "kept AS (SELECT * FROM link)")

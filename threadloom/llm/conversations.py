@@ -91,7 +91,7 @@ def _finish_frame(nodes: DataFrame) -> DataFrame:
     beside = nodes.filter("visible").groupBy(group.alias("of")).agg(F.count("*").alias("versions"), F.max(F.struct("created_at", "node"))["node"].alias("latest"))
     shown = join_unique(nodes.filter("visible").withColumn("of", group), beside.withColumn("n", F.col("versions")), "of", "n", total).withColumn("final", F.col("node") == F.col("latest")).drop("of", "latest")
     shown = checkpoint(shown)
-    above = hierarchy(shown.select("scope", "node", "marked", (~F.col("final")).alias("replaced")), "node", "marked", scope="scope", mark="replaced", with_order=False)
+    above = hierarchy(shown.select("scope", "node", "marked", (~F.col("final")).alias("replaced")), "node", "marked", scope="scope", mark="replaced")
     shown = shown.join(above.select("scope", "node", F.col("marked").isNull().alias("kept")), ["scope", "node"]).withColumn("current", F.col("final") & F.col("kept")).drop("kept")
     shown = numbered(shown, ["scope"], ["visit"], "turn_no")
     hidden = nodes.filter("NOT visible").withColumn("versions", F.lit(0).cast("bigint")).withColumn("final", F.lit(False)).withColumn("current", F.lit(False)).withColumn("turn_no", F.lit(0).cast("bigint"))
@@ -99,12 +99,12 @@ def _finish_frame(nodes: DataFrame) -> DataFrame:
     return join_unique(whole, state, "scope", "n", total).select(*nodes.columns, "reason", "versions", "final", "current", "turn_no")
 
 
-def message_trees(events: DataFrame, ordered: bool = True, limit: int = COMPONENT_LIMIT) -> DataFrame:
+def message_trees(events: DataFrame, limit: int = COMPONENT_LIMIT) -> DataFrame:
     """Folded messages of ``message_events`` with tree, reason and alternatives, from one traversal."""
     finish = Finish(_MORE, _finish_bucket, _finish_frame)
     carry = ["role", "visible", "names_parent", "created_at"]
     return hierarchy(
-        events.drop("text"), "uuid", "parent", scope="conv_key", mark="visible", reply="replies", carry=carry, latest=F.col("version"), finish=finish, with_order=ordered, component_limit=limit
+        events.drop("text"), "uuid", "parent", scope="conv_key", mark="visible", reply="replies", carry=carry, latest=F.col("version"), finish=finish, component_limit=limit
     ).withColumnsRenamed({"scope": "conv_key", "node": "uuid", "marked": "asked_by"})
 
 
@@ -121,7 +121,7 @@ def broken_chats(events: DataFrame, conversations: DataFrame, limit: int = COMPO
     A message without uuid or conversation is dropped; a conversation of ``conversations`` without messages
     is empty; of empty tables there are no rows.
     """
-    return _left_out(message_trees(message_events(events), ordered=False, limit=limit), conversations)
+    return _left_out(message_trees(message_events(events), limit=limit), conversations)
 
 
 def broken_sessions(exchanges: DataFrame, sessions: DataFrame) -> DataFrame:

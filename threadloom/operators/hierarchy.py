@@ -246,11 +246,11 @@ def _long_paths(nodes: DataFrame, total: int, hot_rows: int) -> DataFrame:
     return nodes.join(paths, "at", "left").select("scope", "node", F.concat(F.coalesce("up", F.array().cast("array<string>")), F.array("node")).alias("path"))
 
 
-def _doubling(rows: DataFrame, total: int, with_paths: bool, with_order: bool, hot_rows: int, own: Sequence[str]) -> DataFrame:
+def _doubling(rows: DataFrame, total: int, with_paths: bool, hot_rows: int, own: Sequence[str]) -> DataFrame:
     """Exact way for components beyond COMPONENT_LIMIT: ancestors 1, 2, 4, ... steps up, one join a round.
 
-    ``visit`` and ``descendants`` come from the ranked Euler tour, paths from the closed ancestor links; each only
-    where asked for, else null. The smallest node of a cycle has its ``back_edge``.
+    ``visit`` and ``descendants`` come from the ranked Euler tour, paths, where asked for, from the closed ancestor
+    links. The smallest node of a cycle has its ``back_edge``.
     """
     key = F.struct("scope", "node")
     state = rows.select(
@@ -284,11 +284,8 @@ def _doubling(rows: DataFrame, total: int, with_paths: bool, with_order: bool, h
         "scope", "node", F.col("root.node").alias("root"), F.when(cyclic, F.lit(-1)).otherwise(F.col("depth")).cast("bigint").alias("depth"), cyclic.alias("in_cycle"),
         F.coalesce("closes", F.lit(False)).alias("back_edge"), "has_parent", F.when(~cyclic, F.col("marked.node")).alias("marked"),
     )
-    nodes = _sorted_nodes(rows, whole) if with_order or with_paths else None
-    if with_order:
-        out = out.join(_visits(nodes), ["scope", "node"], "left").withColumn("visit", F.when(F.col("in_cycle"), 0).otherwise(F.col("visit"))).withColumn("descendants", F.when(F.col("in_cycle"), -1).otherwise(F.col("descendants")))
-    else:
-        out = out.withColumn("visit", F.lit(None).cast("bigint")).withColumn("descendants", F.lit(None).cast("bigint"))
+    nodes = _sorted_nodes(rows, whole)
+    out = out.join(_visits(nodes), ["scope", "node"], "left").withColumn("visit", F.when(F.col("in_cycle"), 0).otherwise(F.col("visit"))).withColumn("descendants", F.when(F.col("in_cycle"), -1).otherwise(F.col("descendants")))
     if with_paths:
         out = out.join(_long_paths(nodes, total, hot_rows), ["scope", "node"], "left")
     out = checkpoint(out.join(rows.select("scope", "node", "reply", *own), ["scope", "node"]))
@@ -299,19 +296,18 @@ def _doubling(rows: DataFrame, total: int, with_paths: bool, with_order: bool, h
 
 def hierarchy(
     rows: DataFrame, node: str, parent: str, scope: str | None = None, mark: str | None = None, reply: str | None = None, carry: Sequence[str] = (), latest: Column | None = None,
-    finish: Finish | None = None, with_paths: bool = False, component_limit: int = COMPONENT_LIMIT, bucket_rows: int = BUCKET_ROWS, hot_rows: int = HOT_ROWS, with_order: bool = True,
+    finish: Finish | None = None, with_paths: bool = False, component_limit: int = COMPONENT_LIMIT, bucket_rows: int = BUCKET_ROWS, hot_rows: int = HOT_ROWS, alone: bool = False,
 ) -> DataFrame:
     """Every node of ``rows`` with root, depth, descendants and cycle flags.
 
-    A parent counts if it is a node of the same ``scope``; without ``scope`` all rows are one scope,
-    and nodes without any link are left out. Null nodes are ignored; an empty input gives an empty
+    A parent counts if it is a node of the same ``scope``; without ``scope`` all rows are one scope, and
+    nodes without any link are roots of their own with ``alone``, else they are left out. Null nodes are ignored; an empty input gives an empty
     result. Of repeated nodes the row with the largest ``latest`` holds, or without it the smallest
     non-null parent and any mark. A node on a cycle or below one has ``in_cycle``, depth -1 and no root.
     ``mark`` names a boolean column; ``marked`` is then the nearest ancestor that has it, and ``answered``
     tells whether a node is that of one with ``reply``. ``carry`` names columns that are handed through;
     they need ``latest`` and names other than those of the result. Children are visited in key order, so
-    ``visit`` is stable and no two nodes of trees in one scope share it. Without ``with_order`` it and
-    ``descendants`` may be null. ``finish`` adds columns that depend on the whole scope.
+    ``visit`` is stable and no two nodes of trees in one scope share it. ``finish`` adds columns that depend on the whole scope.
     A scope of at most ``component_limit`` rows is brought together in one shuffle; larger scopes are cut
     into components, and components beyond the limit take doubling.
     """
@@ -350,7 +346,7 @@ def hierarchy(
     links = base.filter("parent IS NOT NULL").join(base.select("scope", F.col("node").alias("parent")), ["scope", "parent"], "left_semi")
     links = checkpoint(links.select(F.xxhash64("scope", "node").alias("a"), F.xxhash64("scope", "parent").alias("b")))
     labels = connected_components(links, hot_rows).unionByName(links.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))).groupBy(F.col("node").alias("h")).agg(F.min("component").alias("component"))
-    labelled = checkpoint(base.withColumn("h", F.xxhash64("scope", "node")).join(labels, "h", "left" if scope else "inner").withColumn("component", F.coalesce("component", "h")).drop("h"))
+    labelled = checkpoint(base.withColumn("h", F.xxhash64("scope", "node")).join(labels, "h", "left" if scope or alone else "inner").withColumn("component", F.coalesce("component", "h")).drop("h"))
     sizes = labelled.groupBy("component").agg(F.count("*").alias("n"))
     largest = sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     ordinary = labelled
@@ -359,7 +355,7 @@ def hierarchy(
         ordinary = labelled.join(huge, "component", "left_anti")
     out = _bucket_traversal(ordinary.repartition(buckets(total), "component"), with_paths, carried, apart=True)
     if largest > component_limit:
-        out = out.unionByName(_doubling(checkpoint(labelled.join(huge, "component", "left_semi")), total, with_paths, with_order, hot_rows, carry))
+        out = out.unionByName(_doubling(checkpoint(labelled.join(huge, "component", "left_semi")), total, with_paths, hot_rows, carry))
     if finish:
         out = finish.frame(out)
     return out if small is None else small.unionByName(out)
